@@ -21,6 +21,13 @@ def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from docquarry.llm.token_store import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_langid_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.langid_hd import identify
 
@@ -33,8 +40,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from docquarry.llm.bpe_stream import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_golay, op4_line_bitmaps, op6_langid_hyperdimensional, op9_decontaminate)
+    f.__name__: f for f in (op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op9_decontaminate, op10_bpe_transducer)
 }
 
 ORACLE_SQL: dict[str, str] = {}
