@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -61,7 +62,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Transducer:
-    """Encodes and decodes with a byte-level BPE vocabulary file; made once for each task."""
+    """Encodes and decodes with a byte-level BPE vocabulary file."""
 
     def __init__(self, path: str, window: int = WINDOW) -> None:
         with open(path, encoding="utf-8") as file:
@@ -193,14 +194,19 @@ class Transducer:
         return "".join(out)
 
 
+@lru_cache(maxsize=2)
+def transducer(path: str) -> Transducer:
+    """One for each worker process: its tables of known pieces serve later tasks too."""
+    return Transducer(path)
+
+
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): a row per row of docs, ids as little-endian unsigned 32-bit integers; null texts are empty."""
     arrow_limits(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
+        machine = transducer(path)
         for batch in batches:
-            machine = machine or Transducer(path)
             got = [machine.encode(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
@@ -211,9 +217,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the decoded text of each row of encode_documents()."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
+        machine = transducer(path)
         for batch in batches:
-            machine = machine or Transducer(path)
             got = [machine.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(got, pa.string())], names=["doc_id", "ids", "text"])
 
@@ -225,9 +230,8 @@ def bpe_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     arrow_limits(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
+        machine = transducer(path)
         for batch in batches:
-            machine = machine or Transducer(path)
             n, a, b = [], [], []
             for x in batch.column("text").to_pylist():
                 ids = machine.encode(x)

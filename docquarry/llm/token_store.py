@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +90,21 @@ class Encoder:
         return [b"".join([known[w] for w in part]) for part in cut]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: its table of known chunks serves later tasks too."""
+    return Encoder(path)
+
+
 def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): 16-bit little-endian ids where the vocabulary allows, else 32-bit, the end id last."""
     arrow_limits(docs.sparkSession)
     kind = id_kind(path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        library = encoder(path)
         for batch in batches:
-            encoder = encoder or Encoder(path)
-            got = [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes() for x in encoder.encode(batch.column("text").to_pylist())]
+            got = [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes() for x in library.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
     return pick(docs, doc_id, text).mapInArrow(of, "doc_id long, ids binary")
