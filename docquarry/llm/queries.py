@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from docquarry.llm.common import table
 
 
+#: Rules of the registered query on pages.
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op2_url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.url_links import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.simhash_golay import near_duplicates
 
@@ -48,7 +58,70 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op9_decontaminate, op10_bpe_transducer)
+    f.__name__: f for f in (op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op9_decontaminate, op10_bpe_transducer)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_links": rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+rules(h, q, say) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+j AS (
+  SELECT page_id, host, path, html,
+         (SELECT max_by(h || q, length(h || q)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS rule,
+         (SELECT max_by(say, length(h || q)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS said
+  FROM p),
+s AS (
+  SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0.0 END) AS distrust
+  FROM j WHERE host <> '' GROUP BY host),
+l AS (
+  SELECT host AS src, translate(d, '{_UP}', '{_LOW}') AS dst
+  FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1))) AS d FROM j WHERE host <> '')),
+e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY ALL),
+f AS (
+  SELECT 0 AS kind, src AS host, dst AS too, 0.85 * n / sum(n) OVER (PARTITION BY src) AS share FROM e
+  UNION ALL SELECT 1, dst, src, 0.85 * n / sum(n) OVER (PARTITION BY dst) FROM e),
+r AS (
+  SELECT 0 AS step, 0 AS kind, host, trust AS mass FROM s UNION ALL SELECT 0, 1, host, distrust FROM s
+  UNION ALL
+  SELECT any_value(r.step) + 1, r.kind, f.too, sum(r.mass * f.share) FROM r JOIN f ON r.kind = f.kind AND r.host = f.host
+  WHERE r.step < 20 GROUP BY r.kind, f.too),
+g AS (
+  SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS trust, coalesce(sum(mass) FILTER (kind = 1), 0) AS distrust FROM r GROUP BY host)
+SELECT j.page_id, j.host, j.path, j.rule,
+       coalesce(j.said, CASE WHEN g.distrust >= 0.5 AND g.distrust > g.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN g ON j.host = g.host
+""",
+    "op4_line_bitmaps": rf"""
+WITH l AS (
+  SELECT rowid AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+k AS (SELECT r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND k.doc_id <> c.top) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (c.key IS NULL OR k.doc_id = c.top), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.r
+""",
+    "op9_decontaminate": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, grams.n AS n FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS x FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
