@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import arrow_limits, pick
 
-#: Words: runs without these characters.  All ASCII but letters and digits separates; other characters don't.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text in its own case: all ASCII but letters and digits separates; other characters don't.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Benchmark text that one automaton takes; larger benchmarks are scanned for in several passes.
 PASS_CHARS = 32_000_000
