@@ -44,6 +44,12 @@ def op6_langid_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.media_jpeg import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.decontam import contamination_digest
 
@@ -58,7 +64,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op9_decontaminate, op10_bpe_transducer)
+    f.__name__: f for f in (op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
