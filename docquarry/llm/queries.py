@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from docquarry.llm.common import table
 
 
+def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.chat_hmm import chat_digest
+
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
 #: Rules of the registered query on pages.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -64,7 +70,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
+    f.__name__: f for f in (op1_chat_hmm, op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
