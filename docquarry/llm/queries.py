@@ -50,6 +50,12 @@ def op6_langid_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_bcr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.suffix_bcr import repeats_digest
+
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docquarry.llm.media_jpeg import media_digest
 
@@ -70,7 +76,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_hmm, op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
+    f.__name__: f for f in (op1_chat_hmm, op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op7_suffix_bcr, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
