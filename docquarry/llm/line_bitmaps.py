@@ -66,7 +66,7 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: list[list] = []
     last = None
     for h1, h2, doc, *_ in _runs(batches):
-        if not found or (h1, h2) != found[-1][:2]:
+        if not found or [h1, h2] != found[-1][:2]:
             found = [*found[:1], [h1, h2, 0]]
             last = found
         if last is found or doc != last:
@@ -183,3 +183,18 @@ def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     return joined.select("doc_id", "text", "__keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """docs with the lines of keep_bitmaps() taken out of the text column; every row and every other column stays."""
+    joined = with_bitmaps(docs, keep_bitmaps(docs, doc_id, text, min_chars, min_docs), doc_id, text)
+    names, place = docs.columns, docs.columns.index(text)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(text).to_pylist(), batch.column("__keep").to_pylist(), strict=True)
+            kept = pa.array([x if keep is None else kept_text(x, keep)[0] for x, keep in pairs], pa.string())
+            columns = [*batch.columns[:place], kept, *batch.columns[place + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*names, "__keep").mapInArrow(of, docs.schema)
