@@ -225,6 +225,21 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, ids binary, text string")
 
 
+def encode_checked(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of each row: the ids as encode_documents() gives them and the hash of their decoded text."""
+    arrow_limits(docs.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for batch in batches:
+            ids = [machine.encode(x) for x in batch.column("text").to_pylist()]
+            n, back = [len(x) // 4 for x in ids], [sha256(machine.decode(x).encode()).hexdigest() for x in ids]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return pick(docs, doc_id, text).mapInArrow(of, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+
+
 def bpe_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, encoded and decoded in one pass."""
     arrow_limits(docs.sparkSession)

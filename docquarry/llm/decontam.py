@@ -91,6 +91,12 @@ def _passes(items: list[tuple[int, str | None]], width: int, most: int) -> list[
     return made
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, width: int, pass_chars: int):
+    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull())
+    items = sorted((tuple(r) for r in rows.distinct().collect()), key=lambda x: (x[0], x[1] or ""))
+    return docs.sparkSession.sparkContext.broadcast(([x[0] for x in items], _passes(items, width, pass_chars)))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, pass_chars: int = PASS_CHARS
 ) -> DataFrame:
@@ -102,9 +108,7 @@ def contamination(
     characters, one automaton each, and every text is scanned by each of them.
     """
     arrow_limits(docs.sparkSession)
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull())
-    items = sorted(tuple(r) for r in rows.distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(([x[0] for x in items], _passes(items, width, pass_chars)))
+    shared = _shared(docs, benchmark, item_id, item_text, width, pass_chars)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, passes = shared.value
@@ -126,6 +130,21 @@ def contamination(
     return pick(docs, doc_id, text).mapInArrow(of, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<array<int>>")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs; no join, no shuffle."""
+    arrow_limits(docs.sparkSession)
+    shared = _shared(docs, benchmark, item_id, item_text, width, PASS_CHARS)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = None
+        for batch in batches:
+            machines = machines or [automaton(p) for p in shared.value[1]]
+            clean = [not any(scan(x, machine)[1] for machine in machines) for x in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import arrow_limits, pick, stash
+from docquarry.llm.common import arrow_limits, pick, row_key, stash
 from docquarry.llm.components import connected_components
 
 #: Generator polynomial of the (23,12,7) code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -153,3 +153,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; of rows equal in id and text one stays."""
+    near = near_duplicates(docs, doc_id, text, width)
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    own = docs.withColumn("__rk", row_key(doc_id, text))
+    return own.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id, "__rk"]).drop("__rk")
