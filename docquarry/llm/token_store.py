@@ -23,7 +23,7 @@ from docquarry.llm.common import arrow_limits, pick, shared_dir, stash
 
 #: Ids after which a block ends (with its document).
 BLOCK_IDS = 1 << 18
-#: Known chunks of a task's table at most; it starts anew when full.
+#: Known chunks of a generation of a worker's table; a full one becomes the older of two.
 KNOWN = 400_000
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -51,6 +51,24 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24) & _MASKS[lengths]
 
 
+class Chunks(dict):
+    """Ids of chunks; unknown ones are looked up in the generation before, else asked of the library."""
+
+    def __init__(self, tokenizer, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():  # letters and a mark after them are apart
+                ids = self[chunk[:-1]] + self[chunk[-1]]
+            else:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids by the tokenizers library, asked once for each distinct blank-separated chunk (no pre-token spans white space)."""
 
@@ -61,33 +79,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.known = Chunks(self.tokenizer, {})
 
-    @staticmethod
-    def chunks(text: str | None) -> list[str]:
-        text = (text or "").replace("\n", " ")
-        # these letters lower-case by their neighbours or to several letters: left to the library
-        return (text if "Σ" in text or "İ" in text else text.lower()).split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.known) >= KNOWN:
-            self.known.clear()
-        cut, known = [self.chunks(x) for x in texts], self.known
-        ask, ends = set(), {}
-        for x in {w for part in cut for w in part if w not in known}:
-            word = x[:-1] if x[-1:] in (",", ".") and x[:-1].isalpha() else x  # letters and a mark after them are apart
-            if word is not x:
-                ends[x] = word
-                ask.add(x[-1])
-            if word not in known:
-                ask.add(word)
-        ask = [x for x in ask if x not in known]
-        for x, got in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            known[x] = np.array(got.ids, dtype="<u4").tobytes()
-        for x, word in ends.items():
-            known[x] = known[word] + known[x[-1]]
-        return [b"".join([known[w] for w in part]) for part in cut]
+            self.known.older = {}
+            self.known = Chunks(self.tokenizer, self.known)
+        text = (text or "").replace("\n", " ")
+        # these letters lower-case by their neighbours or to several letters: left to the library
+        low = text if "Σ" in text or "İ" in text else text.lower()
+        return b"".join(map(self.known.__getitem__, low.split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +106,7 @@ def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path)
         for batch in batches:
-            got = [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes() for x in library.encode(batch.column("text").to_pylist())]
+            got = [np.append(np.frombuffer(x, dtype="<u4"), end_id).astype(kind).tobytes() for x in map(library.encode, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
     return pick(docs, doc_id, text).mapInArrow(of, "doc_id long, ids binary")
