@@ -99,8 +99,9 @@ def _pack(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lengths = np.concatenate((lengths, fill[:, None]), axis=1)
     sizes = (total + fill) // 8
     starts = np.cumsum(sizes) - sizes
-    bits = (np.cumsum(lengths, axis=1) - lengths + 8 * starts[:, None])[lengths > 0]
-    word = values[lengths > 0] << (32 - bits % 8 - lengths[lengths > 0])
+    on = lengths > 0
+    bits = (np.cumsum(lengths, axis=1) - lengths + 8 * starts[:, None])[on]
+    word = values[on] << (32 - bits % 8 - lengths[on])
     at, n = bits >> 3, int(sizes.sum()) + 4
     out = np.zeros(n)
     for j in range(4):
@@ -237,22 +238,31 @@ class Image:
             at += self.wide * h * self.high * v
         self.blocks = at
 
-    def order(self, which: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-        """(block places, place of the component in the scan, blocks of an MCU) in the order of a scan of these components."""
-        if len(which) == 1:
-            p = self.parts[which[0]]
-            cols, rows = -(-(-(-self.width * p["h"] // self.h)) // 8), -(-(-(-self.height * p["v"] // self.v)) // 8)
-            at = (p["at"] + np.arange(rows)[:, None] * p["cols"] + np.arange(cols)).reshape(-1)
-            return at, np.zeros(len(at), dtype=np.int64), 1
-        y, x = np.divmod(np.arange(self.wide * self.high), self.wide)
-        places, kinds = [], []
-        for i, c in enumerate(which):
-            p = self.parts[c]
-            for r in range(p["v"]):
-                for col in range(p["h"]):
-                    places.append(p["at"] + (y * p["v"] + r) * p["cols"] + x * p["h"] + col)
-                    kinds.append(i)
-        return np.stack(places, axis=1).reshape(-1), np.tile(np.array(kinds), len(y)), len(kinds)
+    def order(self, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+        return scan_order(self.width, self.height, self.h, self.v, tuple((p["h"], p["v"], p["at"], p["cols"]) for p in self.parts), which)
+
+
+@lru_cache(maxsize=4096)
+def scan_order(width: int, height: int, h: int, v: int, parts: tuple[tuple[int, int, int, int], ...], which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(block places, place of the component in the scan, blocks of an MCU) in the order of a scan of these components.
+
+    parts: sampling factors, first block and blocks in a row of each component.
+    """
+    wide, high = -(-width // (8 * h)), -(-height // (8 * v))
+    if len(which) == 1:
+        ph, pv, at, row = parts[which[0]]
+        cols, rows = -(-(-(-width * ph // h)) // 8), -(-(-(-height * pv // v)) // 8)
+        places = (at + np.arange(rows)[:, None] * row + np.arange(cols)).reshape(-1)
+        return places, np.zeros(len(places), dtype=np.int64), 1
+    y, x = np.divmod(np.arange(wide * high), wide)
+    places, kinds = [], []
+    for i, c in enumerate(which):
+        ph, pv, at, row = parts[c]
+        for r in range(pv):
+            for col in range(ph):
+                places.append(at + (y * pv + r) * row + x * ph + col)
+                kinds.append(i)
+    return np.stack(places, axis=1).reshape(-1), np.tile(np.array(kinds), len(y)), len(kinds)
 
 
 def parse(data: bytes, offset: int, marks: np.ndarray) -> Image:
@@ -300,7 +310,7 @@ class Lanes:
 
     def peek(self, lanes: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         bit = self.bit[lanes]
-        window = (self.words[bit >> 3] << (bit & 7)) & 0xFFFFFFFF
+        window = (self.words[bit >> 3].astype(np.int64) << (bit & 7)) & 0xFFFFFFFF
         return window >> (32 - n)
 
     def take(self, lanes: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -403,8 +413,7 @@ def decode_images(media: list[bytes]) -> list[tuple[Image, np.ndarray]]:
     kept = np.ones(len(whole), dtype=bool)
     kept[1:] = ~((whole[1:] == 0) & (whole[:-1] == 255))
     place = np.cumsum(kept) - 1
-    plain = whole[kept].astype(np.int64)
-    plain = np.concatenate((plain, np.zeros(4, dtype=np.int64)))
+    plain = np.concatenate((whole[kept], np.zeros(4, dtype=np.uint8))).astype(np.uint32)
     words = plain[:-3] << 24 | plain[1:-2] << 16 | plain[2:-1] << 8 | plain[3:]
     images = [parse(x, int(at), marks) for x, at in zip(media, offsets, strict=False)]
     base = np.cumsum([0, *(x.blocks for x in images)])
@@ -418,7 +427,7 @@ def decode_images(media: list[bytes]) -> list[tuple[Image, np.ndarray]]:
             bits, seqs, stops, orders, comps, filled = [], [], [], [], [], 0
             for i in members:
                 which, _, _, every, start, stop = images[i].scans[step]
-                places, comp, per = images[i].order(list(which))
+                places, comp, per = images[i].order(which)
                 a, b = np.searchsorted(restarts, (start + offsets[i], stop + offsets[i]))
                 starts = np.concatenate(([start + offsets[i]], restarts[a:b] + 2))
                 size = every * per or len(places)
