@@ -1,0 +1 @@
+"""Document retrieval and analytics as Spark DataFrame operations."""

@@ -1,0 +1,88 @@
+"""Command line: ingest, ask, diagnose, evaluate, components."""
+
+from __future__ import annotations
+
+import argparse
+import logging
+import sys
+from dataclasses import replace
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.plans import engine, registry
+from docquarry.sources import corpus, pdf
+
+log = logging.getLogger("docquarry")
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="docquarry")
+    top.add_argument("--log-level", default="INFO")
+    sub = top.add_subparsers(dest="command", required=True)
+    for name in ("ingest", "ask", "diagnose", "evaluate", "components"):
+        p = sub.add_parser(name)
+        if name == "components":
+            continue
+        p.add_argument("--index", default="index")
+        for option in ("chunker", "embedder", "retriever", "reranker"):
+            p.add_argument(f"--{option}")
+        p.add_argument("--k", type=int, default=0)
+        if name in ("ingest", "diagnose"):
+            p.add_argument("--corpus", required=True)
+            p.add_argument("--force", action="store_true")
+        if name == "ask":
+            p.add_argument("question")
+            p.add_argument("--section")
+        if name == "evaluate":
+            p.add_argument("--dataset", required=True)
+    return top
+
+
+def settings(args: argparse.Namespace) -> engine.Settings:
+    given = {k: getattr(args, k, None) for k in ("chunker", "embedder", "retriever", "reranker")}
+    return replace(engine.Settings.from_environment(), **{k: v for k, v in given.items() if v})
+
+
+def pages_of(spark: SparkSession, folder: str):
+    corpus.list_corpus(spark, folder)
+    pages = pdf.read_pages(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder))
+    first = pages.where("page = 1").select("source_filename", corpus.detect_section(F.col("source_filename"), F.col("raw_text")).alias("section"))
+    return pages.join(first, "source_filename")
+
+
+def run(args: argparse.Namespace) -> int:
+    if args.command == "components":
+        for r in registry.ALL:
+            print(f"{r.kind}: {', '.join(r.names())}")
+        return 0
+    spark, own = SparkSession.builder.getOrCreate(), settings(args)
+    if args.command == "ingest":
+        print("written" if engine.ingest(spark, engine.build_chunks(pages_of(spark, args.corpus), own), args.index, own, args.force) else "up to date")
+    elif args.command == "diagnose":
+        pages_of(spark, args.corpus).groupBy("source_filename", "section").count().show(truncate=False)
+    elif args.command == "ask":
+        chunks, _, _ = corpus.load_index(spark, args.index)
+        where = {"section": args.section.upper()} if args.section else None
+        asked = spark.createDataFrame([(0, args.question)], "query_id long, query string")
+        for row in engine.answer_batch(chunks, asked, own, args.k, where).collect():  # one question
+            print(row["text"])
+    else:
+        chunks, _, _ = corpus.load_index(spark, args.index)
+        cases = spark.read.option("multiLine", True).json(args.dataset).select(F.explode("cases").alias("c")).select(F.col("c.id").alias("case_id"), "c.question", "c.answerable", "c.expected_articles", "c.expected_answer_terms")
+        engine.evaluate(chunks, cases, own, args.k).show(truncate=False)
+    return 0
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    logging.basicConfig(level=args.log_level.upper(), stream=sys.stderr)
+    try:
+        return run(args)
+    except Exception:
+        log.exception("%s failed", args.command)
+        return 1
+
+
+if __name__ == "__main__":
+    sys.exit(main())
