@@ -22,9 +22,13 @@ def window_shape(tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> t
 def pieces(text: Column, tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
     """Windows of a text: the text itself if it fits in one, else blank-joined words at every step until the words end."""
     most, step = window_shape(tokens, overlap)
-    w = X.words(text)
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, most), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= most, F.array(text)).otherwise(windows)
+
+    def cut(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, most), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= most, F.array(text)).otherwise(windows)
+
+    # bound as a variable, so that a text is split once and not for each window
+    return F.element_at(F.transform(F.array(X.words(text)), cut), 1)
 
 
 def offsets(text: Column, parts: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import exprs as X
 from docquarry.operators.search import metadata_filter
+from docquarry.sources.shared import stash
 
 # ---- fixed values: the usual constants of the formula
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,7 +20,8 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     """(key, term, tf, doc_len); a text without a token counts as one token that no query has."""
     tokens = X.search_tokens(F.col(text))
     tokens = F.when(F.size(tokens) == 0, F.array(F.lit(NOTHING))).otherwise(tokens)
-    each = chunks.select(key, F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term"))
+    # the length is taken below the explode: beside it, it would be taken anew for each token
+    each = chunks.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("doc_len"), "tokens").select(key, "doc_len", F.explode("tokens").alias("term"))
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
@@ -43,7 +45,7 @@ def bm25_topk(
     A chunk without a query term can only be in a result among the first k + (chunks of a negative score) of that order, so no more
     of them are joined.
     """
-    post = postings(chunks, key)
+    post = stash(postings(chunks, key), "postings")
     terms, corpus = bm25_stats(post, key, epsilon)
     asked = queries.select(query_key, F.explode(X.search_tokens(F.col(query))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
     tf = F.col("tf").cast("double")
@@ -51,6 +53,7 @@ def bm25_topk(
     hits = asked.join(terms, "term").join(post, "term").crossJoin(F.broadcast(corpus.select("avgdl"))).groupBy(query_key, key).agg(F.sum(value).alias("score"))
     eligible = chunks.where(metadata_filter(chunks, where)).select(key, *[c for c in order if c != key])
     hits = hits.join(eligible, key)
+    hits = stash(hits, "hits")
     below = hits.where("score < 0").groupBy(query_key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     first = eligible.orderBy(*order).limit(k + below)
     blank = queries.select(query_key).distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.shared import stash
+
 #: Queries and vectors of a block: a pair of blocks has a few MB of scores.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 #: Digits that scores are rounded to before ranking, so that near-ties have one order everywhere.
@@ -30,7 +32,7 @@ def metadata_filter(df: DataFrame, where: dict | None) -> Column:
 
 def _blocks(df: DataFrame, key: str, embedding: str, size: int, names: tuple[str, str]) -> DataFrame:
     """Rows of about `size` vectors: (ids, vectors end to end)."""
-    own = df.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("e"))
+    own = stash(df.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("e")), "vectors")
     part = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-own.count() // size))))
     rows = own.groupBy(part.alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("x"))
     return rows.select(F.transform("x", lambda r: r["k"]).alias(names[0]), F.flatten(F.transform("x", lambda r: r["e"])).alias(names[1]))

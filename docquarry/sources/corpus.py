@@ -22,10 +22,13 @@ def list_corpus(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
     return found
 
 
-def corpus_hash(files: DataFrame) -> DataFrame:
-    """One row: 16 hex digits over the names and sizes in order of the names; contents aren't read."""
+def corpus_hash(files: DataFrame, *by: str) -> DataFrame:
+    """16 hex digits over the names and sizes in order of the names, for each group of `by`; contents aren't read.
+
+    The hash runs over one string, so a group is a folder's listing, not a table of documents.
+    """
     each = F.array_sort(F.collect_list(F.struct("name", "length")))
-    return files.agg(F.substring(F.sha1(F.array_join(F.transform(each, lambda x: F.concat(x["name"], x["length"].cast("string"))), "")), 1, 16).alias("corpus_hash"))
+    return files.groupBy(*by).agg(F.substring(F.sha1(F.array_join(F.transform(each, lambda x: F.concat(x["name"], x["length"].cast("string"))), "")), 1, 16).alias("corpus_hash"))
 
 
 def front_matter(text: Column) -> dict[str, Column]:
