@@ -129,6 +129,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """The vector at unit length; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    """The vector at unit length; a zero vector stays.  Vector and length are bound as variables, so each is worked out once."""
+
+    def scaled(vec: Column) -> Column:
+        return F.element_at(F.transform(F.array(F.sqrt(dot(vec, vec))), lambda n: F.transform(vec, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
+
+    return F.element_at(F.transform(F.array(v), scaled), 1)
