@@ -7,7 +7,8 @@ on collections of short strings that hold every repeat:
    anchors at equal places.  Equal texts are one text from here on (with its number of copies).
 2. Anchors that occur once can't lie in a repeat.  Around every other anchor a segment is cut that holds all windows with the anchor;
    equal segments are one string with a weight.
-3. Segments are dealt into buckets by anchor.  In a bucket the collection's transform and its common prefixes grow by one symbol of each
+3. Segments are dealt into buckets by anchor.  Within an anchor a segment is cut to what it shares with any other on either side; one that
+   lies in another whole is a repeat, marks its place there and is left out.  Over the others the collection's transform and its common prefixes grow by one symbol of each
    string a round, from the last column to the first; neighbours in suffix order that share `length` bytes form classes, and a
    class with two places in the corpus is a repeat.
 4. An anchor with very many different segments is dealt over several buckets; their classes then meet by a hash of their bytes.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import arrow_limits, pick, stash
 
-#: Bytes of an anchor string; windows hashed at a time; strings of a bucket, about.
-GRAM, BLOCK, BUCKET = 32, 1 << 15, 200
+#: Bytes of an anchor string; windows hashed at a time; segments of a bucket, about; different segments of an anchor from which it is dealt over several.
+GRAM, BLOCK, BUCKET, SPREAD = 32, 1 << 15, 1000, 4000
+#: Strings of one construction, about: its arrays stay in a core's cache.
+TOGETHER = 200
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = (1 << 32) - 1
 
@@ -166,40 +169,107 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
 
 
-BCR_SCHEMA = "h long, s1 long, s2 long, first int, stop int, w1 long, w2 long, low long, high long"
+BCR_SCHEMA = "h long, s1 long, s2 long, lead int, first int, stop int, w1 long, w2 long, low long, high long"
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes at the start that both have."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
+
+
+def _most_shared(texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """(order, for each text the most that any other shares with it from the start): the most is shared with a neighbour in order."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    most = [0] * len(texts)
+    for i, j in zip(order, order[1:]):  # noqa: B905
+        n = _shared(texts[i], texts[j])
+        most[i], most[j] = max(most[i], n), max(most[j], n)
+    return order, most
+
+
+def within_others(members: list[tuple[bytes, bytes, int]], length: int) -> tuple[list[tuple[int, int]], dict[int, int | None]]:
+    """Of the different segments of an anchor, as (bytes before it, bytes from it on, weight):
+
+    (how far each is shared before and behind the anchor, for those with a chance of a repeat the segment that they lie in, or None).  Only
+    near segments and the longest ones are tried as holders; one that isn't found costs time alone.
+    """
+    back = [m[0][::-1] for m in members]
+    by_right, right = _most_shared([m[1] for m in members])
+    by_left, left = _most_shared(back)
+    reach = [(len(m[0]), len(m[1])) if m[2] > 1 else (a, b) for m, a, b in zip(members, left, right, strict=True)]
+    order = sorted((i for i, x in enumerate(reach) if sum(x) >= length), key=lambda i: (sum(reach[i]), i))
+    rank = {i: x for x, i in enumerate(order)}
+    place_right, place_left = {i: x for x, i in enumerate(by_right)}, {i: x for x, i in enumerate(by_left)}
+    holder: dict[int, int | None] = {}
+    for i in order:
+        a, b = back[i][: reach[i][0]], members[i][1][: reach[i][1]]
+        near = {*order[-6:], *by_right[max(0, place_right[i] - 3) : place_right[i] + 4], *by_left[max(0, place_left[i] - 3) : place_left[i] + 4]}
+        holder[i] = next((j for j in sorted(near) if rank.get(j, -1) > rank[i] and back[j].startswith(a) and members[j][1].startswith(b)), None)
+    return reach, holder
 
 
 def bucket_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of one bucket: ranges of window starts known to be repeats; for anchors over several buckets also the classes by hash."""
     names = [x.split()[0] for x in BCR_SCHEMA.split(", ")]
-    strings = pdf["seg"].tolist()
-    who, start, number = classes(strings, length)
-    weight, spread = pdf["n"].to_numpy(), pdf["spread"].to_numpy() > 1
-    place = _place_id(pdf["t1"].to_numpy()[who], pdf["start"].to_numpy()[who] + start)
-    order = np.argsort(number, kind="stable")
-    firsts = np.flatnonzero(np.diff(number[order], prepend=-1))
-    low, high = np.minimum.reduceat(place[order], firsts), np.maximum.reduceat(place[order], firsts)
-    several = np.maximum.reduceat(weight[who][order], firsts) > 1
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
-    repeat = (several | (low != high))[group]
-    found = []
-    for i in range(len(strings)):
-        mine = np.flatnonzero(who == i) if len(strings) < 2 else slice(*np.searchsorted(who, (i, i + 1)))
-        edges = np.flatnonzero(np.diff(repeat[mine].astype(np.int8), prepend=0, append=0))
-        found += [(i, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    key = pdf[["h", "s1", "s2"]].to_numpy()
-    rows = [(*key[i].tolist(), a, b, None, None, None, None) for i, a, b in found]
-    hot = spread[who]
-    if hot.any():
-        # one row for each class as a partner, and one for each window that is still alone
-        chosen = np.flatnonzero(hot & (~repeat | np.isin(np.arange(len(who)), order[firsts])))
-        for x in chosen.tolist():
-            i, a = int(who[x]), int(start[x])
-            w = xxhash.xxh3_128_intdigest(strings[i][a : a + length])
-            ends = (int(low[group[x]]), int(high[group[x]]) if not several[group[x]] else int(low[group[x]]) ^ 1)
-            rows.append((*key[i].tolist(), a, a + 1, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), min(ends), max(ends)))
-    return pd.DataFrame(rows, columns=names).astype({"first": "int32", "stop": "int32", **dict.fromkeys(("w1", "w2", "low", "high"), "Int64")})
+    key = pdf[["h", "s1", "s2", "lead"]].to_numpy().tolist()
+    segs, lead, weight = pdf["seg"].tolist(), pdf["lead"].tolist(), pdf["n"].to_numpy()
+    t1, at, spread = pdf["t1"].to_numpy(), pdf["start"].to_numpy(), pdf["spread"].to_numpy() > 1
+    known: list[tuple[int, int, int]] = []
+    left: list[tuple[int, int, int]] = []  # (row, from, to): what goes through the construction
+    for _, rows in pdf.groupby("h", sort=False).indices.items():
+        rows = rows.tolist()
+        if spread[rows[0]]:
+            left += [(i, 0, len(segs[i])) for i in rows]
+            continue
+        reach, holder = within_others([(segs[i][: lead[i]], segs[i][lead[i] :], int(weight[i])) for i in rows], length)
+        alone = [m for m, j in holder.items() if j is None]
+        for m, j in holder.items():
+            i, (a, b) = rows[m], reach[m]
+            if j is not None:
+                known += [(i, lead[i] - a, lead[i] + b - length + 1), (rows[j], lead[rows[j]] - a, lead[rows[j]] + b - length + 1)]
+            elif weight[i] > 1:
+                known.append((i, lead[i] - a, lead[i] + b - length + 1))
+        if len(alone) > 1:
+            left += [(rows[m], lead[rows[m]] - reach[m][0], lead[rows[m]] + reach[m][1]) for m in alone]
+    out = [(*key[i], a, b, None, None, None, None) for i, a, b in known]
+    # an anchor's strings are neighbours, so cutting the list between anchors keeps them together
+    cuts = [0]
+    for x in range(1, len(left) + 1):
+        if x == len(left) or (x - cuts[-1] >= TOGETHER and key[left[x][0]][0] != key[left[x - 1][0]][0]):
+            cuts.append(x)
+    for begin, end in zip(cuts, cuts[1:]):  # noqa: B905
+        part = left[begin:end]
+        row = np.array([x[0] for x in part])
+        strings = [segs[i][a:b] for i, a, b in part]
+        who, start, number = classes(strings, length)
+        own = row[who]
+        offset = start + np.array([x[1] for x in part])[who]
+        place = _place_id(t1[own], at[own] + offset)
+        order = np.argsort(number, kind="stable")
+        firsts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        low, high = np.minimum.reduceat(place[order], firsts), np.maximum.reduceat(place[order], firsts)
+        several = np.maximum.reduceat(weight[own][order], firsts) > 1
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
+        repeat = (several | (low != high))[group]
+        for i in range(len(part)):
+            mine = slice(*np.searchsorted(who, (i, i + 1)))
+            edges = np.flatnonzero(np.diff(repeat[mine].astype(np.int8), prepend=0, append=0)) + part[i][1]
+            out += [(*key[part[i][0]], int(a), int(b), None, None, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        hot = spread[own]
+        if hot.any():
+            # one row for each class as a partner, and one for each window that is still alone
+            chosen = np.flatnonzero(hot & (~repeat | np.isin(np.arange(len(who)), order[firsts])))
+            for x in chosen.tolist():
+                i, a = int(who[x]), int(start[x])
+                w = xxhash.xxh3_128_intdigest(strings[i][a : a + length])
+                ends = (int(low[group[x]]), int(high[group[x]]) if not several[group[x]] else int(low[group[x]]) ^ 1)
+                out.append((*key[part[i][0]], int(offset[x]), int(offset[x]) + 1, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), min(ends), max(ends)))
+    return pd.DataFrame(out, columns=names).astype({"first": "int32", "stop": "int32", "lead": "int32", **dict.fromkeys(("w1", "w2", "low", "high"), "Int64")})
 
 
 def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -224,43 +294,43 @@ def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     wanted = each.join(shared, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "h")).alias("cut"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "s1", "s2", "t1", "t2", "start", "seg"]
-        kinds = (pa.int64(),) * 5 + (pa.int32(), pa.binary())
+        names = ["h", "s1", "s2", "lead", "t1", "t2", "start", "seg"]
+        kinds = (pa.int64(),) * 3 + (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             columns = [batch.column(x) for x in ("t1", "t2", "cut")]
             bodies = batch.column("text").cast(pa.binary()).to_pylist()
             rows = []
             for t1, t2, cut, raw in zip(*(c.to_pylist() for c in columns), bodies, strict=True):
-                # anchors of one hash can cut the same stretch of a short text: it's one member
-                for h, start, stop in sorted({(x["h"], max(0, x["at"] - (length - GRAM)), min(len(raw), x["at"] + length)) for x in cut}):
-                    seg = raw[start:stop]
+                for x in cut:
+                    start = max(0, x["at"] - (length - GRAM))
+                    seg = raw[start : x["at"] + length]
                     s = xxhash.xxh3_128_intdigest(seg)
-                    rows.append((h, (s >> 64) - (1 << 63), (s & (1 << 64) - 1) - (1 << 63), t1, t2, start, seg))
+                    rows.append((x["h"], (s >> 64) - (1 << 63), (s & (1 << 64) - 1) - (1 << 63), x["at"] - start, t1, t2, start, seg))
             for at in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 4096]], k) for i, k in enumerate(kinds)], names=names)
 
     single = own.select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
-    cut = single.join(wanted, ["t1", "t2"]).select("t1", "t2", "cut", "text").mapInArrow(segments, "h long, s1 long, s2 long, t1 long, t2 long, start int, seg binary")
+    cut = single.join(wanted, ["t1", "t2"]).select("t1", "t2", "cut", "text").mapInArrow(segments, "h long, s1 long, s2 long, lead int, t1 long, t2 long, start int, seg binary")
     cut = stash(cut, "segments")
-    reps = cut.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), F.first("seg").alias("seg"), F.min(F.struct("t1", "start")).alias("x"))
-    reps = stash(reps.select("h", "s1", "s2", "n", "seg", "x.t1", "x.start"), "strings")
+    reps = cut.groupBy("h", "s1", "s2", "lead").agg(F.count("*").alias("n"), F.first("seg").alias("seg"), F.min(F.struct("t1", "start")).alias("x"))
+    reps = stash(reps.select("h", "s1", "s2", "lead", "n", "seg", "x.t1", "x.start"), "strings")
     sizes = reps.groupBy("h").agg(F.count("*").alias("different"))
-    spread = F.ceil(F.col("different") / F.lit(BUCKET)).cast("int")
+    spread = F.ceil(F.col("different") / F.lit(SPREAD)).cast("int")
     total = reps.count()
     buckets = total // BUCKET + 1
     # a string that is all its anchor has, is repeated as often as it occurs: no other can share a window with it
-    lone = reps.join(sizes.where("different = 1").select("h"), "h").where("n > 1").select("h", "s1", "s2", F.lit(0).alias("first"), (F.octet_length("seg") - length + 1).alias("stop"))
+    lone = reps.join(sizes.where("different = 1").select("h"), "h").where("n > 1").select("h", "s1", "s2", "lead", F.lit(0).alias("first"), (F.octet_length("seg") - length + 1).alias("stop"))
     dealt = reps.join(sizes.where("different > 1"), "h").withColumn("spread", spread)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", F.pmod(F.col("s1"), F.col("spread"))), F.lit(buckets)))
     done = dealt.groupBy("bucket").applyInPandas(lambda pdf: bucket_repeats(pdf, length), BCR_SCHEMA)
     done = stash(done, "repeats")
-    known = done.where("w1 is null").select("h", "s1", "s2", "first", "stop")
+    known = done.where("w1 is null").select("h", "s1", "s2", "lead", "first", "stop")
     classes_ = done.where("w1 is not null")
     twice = classes_.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("w1", "w2")
-    met = classes_.join(twice, ["w1", "w2"]).select("h", "s1", "s2", "first", "stop")
+    met = classes_.join(twice, ["w1", "w2"]).select("h", "s1", "s2", "lead", "first", "stop")
     ranges = known.unionByName(met).unionByName(lone)
-    members = cut.select("h", "s1", "s2", "t1", "t2", "start")
-    spans = members.join(ranges, ["h", "s1", "s2"]).select("t1", "t2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("stop") - 1 + length).alias("b")).alias("x"))
+    members = cut.select("h", "s1", "s2", "lead", "t1", "t2", "start")
+    spans = members.join(ranges, ["h", "s1", "s2", "lead"]).select("t1", "t2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("stop") - 1 + length).alias("b")).alias("x"))
     by_text = spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans"))
     whole = texts.where("copies > 1").select("t1", "t2", F.lit(True).alias("whole"))
     return by_text.join(whole, ["t1", "t2"], "full").select("t1", "t2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
