@@ -120,7 +120,7 @@ c AS (SELECT v, k, arg_min(doc_id, p) AS d, string_agg(x, ' ' ORDER BY p) AS t,
 SELECT substr(sha1('vol-' || v || '|fw:A' || d || '|' || k), 1, 16) AS chunk_id, 'vol-' || v AS source_filename, 'A' || d AS article_number, k AS chunk_index, sha1(t) AS text_sha1, CAST(trunc(m * CAST(1.3 AS DOUBLE)) AS BIGINT) + 1 AS token_estimate FROM c"""
 O["chunk_id"] = "SELECT conv_id, turn, substr(sha1('conv-' || conv_id || '|' || coalesce(role, '') || '|' || turn), 1, 16) AS chunk_id, 'Art. ' || coalesce(role, '') || ' (Section A, pdf p.' || turn || ')' AS label FROM conversations"
 O["l2_normalize"] = """WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) * 3 FOR x IN embedding] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS s FROM v)
-SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS BIGINT) AS i, round(unnest(e) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) AS x FROM n"""
+SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS BIGINT) AS i, round(unnest(e) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) + CAST(0 AS DOUBLE) AS x FROM n"""
 
 
 def _cells(source: str, key: str, text: str, dim: int, name: str) -> str:
