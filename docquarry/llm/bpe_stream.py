@@ -30,7 +30,7 @@ from docquarry.llm.common import arrow_limits, pick
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a task's tables of known pieces hold at most; they start anew when full.
+#: Entries of a generation of the tables of known pieces; a full one becomes the older of two, or starts anew.
 KNOWN = 300_000
 #: Bytes of a window beyond its lookahead; longer pieces are streamed.
 WINDOW = 1024
@@ -61,6 +61,23 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return most
 
 
+class Chunks(dict):
+    """Ids of a blank and the letters behind it; unknown ones are looked up in the generation before, else encoded."""
+
+    def __init__(self, machine: Transducer, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.machine, self.older = machine, older
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = b"".join(map(self.machine._piece, self.machine.split(" " + part)))
+            if len(part) > 64:
+                return ids
+        self[part] = ids
+        return ids
+
+
 class Transducer:
     """Encodes and decodes with a byte-level BPE vocabulary file."""
 
@@ -81,7 +98,8 @@ class Transducer:
         self.split = regex.compile(PATTERN).findall
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Chunks(self, {})
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
     def merge(self, data: bytes) -> list[int]:
         """Applies the merge rules to a whole byte string: lowest rank first, leftmost among equals."""
@@ -154,42 +172,37 @@ class Transducer:
                 self.pieces[piece] = got
         return got
 
-    def _plain(self, text: str) -> Iterator[bytes]:
+    def _plain(self, text: str) -> bytes:
         if re.search(r" \s", text):  # runs of white space: the pattern decides where they end
-            yield from map(self._piece, self.split(text))
-            return
-        known, first = self.chunks, True
-        for part in text.split(" "):  # a blank before a non-blank always starts a piece
-            chunk, first = (part if first else " " + part), False
-            got = known.get(chunk)
-            if got is None:
-                got = b"".join(map(self._piece, self.split(chunk)))
-                if len(chunk) <= 64:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[chunk] = got
-            yield got
+            return b"".join(map(self._piece, self.split(text)))
+        if len(self.chunks) >= KNOWN:
+            self.chunks.older = {}
+            self.chunks = Chunks(self, self.chunks)
+        first, *rest = text.split(" ")  # a blank before a non-blank always starts a piece
+        return b"".join([*map(self._piece, self.split(first)), *map(self.chunks.__getitem__, rest)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null as the empty text; special tokens' strings give their ids."""
         if not text:
             return b""
         if not self.apart or not self.apart.search(text):
-            return b"".join(self._plain(text))
+            return self._plain(text)
         out: list[bytes] = []
         for part in self.apart.split(text):
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out.extend(self._plain(part))
+                out.append(self._plain(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as encode() gives them; bytes that are no UTF-8 become U+FFFD."""
-        machine, of, out = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of, []
+        machine, out = codecs.getincrementaldecoder("utf-8")("replace"), []
         numbers = np.frombuffer(ids, dtype="<u4")
         for at in range(0, len(numbers), STEP):
-            out.append(machine.decode(b"".join([of.get(x, b"") for x in numbers[at : at + STEP].tolist()])))
+            part = numbers[at : at + STEP]
+            part = part[part < len(self.table)]  # numbers without a token have no bytes
+            out.append(machine.decode(b"".join(map(self.table.__getitem__, part.tolist()))))
         out.append(machine.decode(b"", True))
         return "".join(out)
 
