@@ -19,7 +19,7 @@ from docquarry.llm.simhash_golay import keep_one_of_each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those like no language that was learned."""
+    """Drops what op6 calls `und`: documents without a letter, and all where no language was learned."""
     return keep_identified(docs, prototypes(docs))
 
 

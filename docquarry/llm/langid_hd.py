@@ -154,17 +154,19 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], doc_id: str = "doc_i
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(of, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], least: float = 0.05, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a cosine of at least `least`; no join, no shuffle."""
+def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that predict() doesn't call `und`; no join, no shuffle.
+
+    There is no least cosine: that of unrelated texts spreads by 1 / sqrt(SIZE), so a short clean text can lie below any useful one.
+    """
     arrow_limits(docs.sparkSession)
-    matrix = np.array([protos[k] for k in sorted(protos)])
+    learned = bool(protos)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = None
         for batch in batches:
             profiler = profiler or Profiler()
-            units = [profiler.unit(x) for x in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array([x is not None and len(matrix) > 0 and float((matrix @ x).max()) >= least for x in units], pa.bool_()))
+            yield batch.filter(pa.array([learned and profiler.unit(x) is not None for x in batch.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)
 
