@@ -3,7 +3,8 @@
 Trust is a personalised PageRank that starts from the hosts' share of allowed pages and follows links between hosts;
 distrust starts from their share of blocked pages and follows the links backwards, to hosts that link to blocked ones.
 Both are power iterations over one edge table (distrust's edges are reversed copies), unscaled: a host's own share
-counts whole.  Everything is DataFrame work; links are counted per pair of hosts before they are used.
+counts whole.  Either way a link weighs its share of the linking host's links: so a host's distrust is what its own links
+lead to, however many others link to the same blocked host.  Everything is DataFrame work; links are counted per pair of hosts before they are used.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from docquarry.llm.common import stash
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A link with a host of its own: absolute or protocol-relative.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
-#: Share of its mass that a host passes on, rounds at most, and the distrust from which a host is blocked.
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+#: Share of its mass that a host passes on, the distrust from which a host is blocked, the step at which ranks stand still,
+#: and what they may still lack then, with some room: the sum of all steps to come is under 0.85 / 0.15 of the last.
+DAMPING, THRESHOLD, STEP, SLACK = 0.85, 0.5, 1e-8, 1e-7
 
 
 def lower_ascii(column: Column) -> Column:
@@ -53,30 +55,31 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return pairs.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, n); hosts without mass are left out.
 
     A round is one join and one grouping over both kinds; ranks are written each round, so lineage stays short.
-    It ends after `rounds`, or when the mass grows by less than a millionth.
+    It ends when all that moved in a round is at most STEP: the sum over the hosts for trust, each host's own for distrust, whose
+    steps shrink by `damping` each round.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
-    forward = edges.join(out, "src").select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (damping * F.col("n") / F.col("total")).alias("share"))
-    backward = edges.join(into, "dst").select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (damping * F.col("n") / F.col("total")).alias("share"))
+    share = (damping * F.col("n") / F.col("total")).alias("share")
+    links = edges.join(out, "src").select("src", "dst", share)
+    forward, backward = links.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "share"), links.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "share")
     flows = stash(forward.unionByName(backward), "flows")
-    start = stash(
+    ranks = stash(
         seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("rank")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("rank")))).alias("x"))
-        .select("x.kind", "host", "x.rank")
+        .select("x.kind", "host", "x.rank", F.col("x.rank").alias("step"))
         .where("rank > 0"),
         "seeds",
     )
-    ranks, mass = start, start.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-    for _ in range(rounds if flows.take(1) else 0):
-        moved = ranks.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        ranks = stash(start.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
-        before, mass = mass, ranks.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        if mass - before <= 1e-6 * mass:
-            break
+    moving = bool(flows.take(1))
+    while moving:
+        step = F.col("step") * F.col("share")
+        moved = ranks.where("step > 0").join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), step.alias("rank"), step.alias("step"))
+        ranks = stash(ranks.withColumn("step", F.lit(0.0)).unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step")), "ranks")
+        left = ranks.agg(F.sum(F.when(F.col("kind") == 0, F.col("step"))), F.max(F.when(F.col("kind") == 1, F.col("step")))).first()
+        moving = max(x or 0.0 for x in left) > STEP
     at = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(at(0).alias("trust"), at(1).alias("distrust"))
 
@@ -85,7 +88,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "pa
     """(page_id, host, path, rule, verdict, trust, distrust), a row per row of pages.
 
     verdict is the rule's; without a rule, block where the host's distrust is at least the threshold and above its
-    trust, else allow.  Null urls and urls without :// have an empty host and path and are allowed.  Repeated rows and repeated
+    trust, both within SLACK, else allow.  Null urls and urls without :// have an empty host and path and are allowed.  Repeated rows and repeated
     ids are judged each for itself; a host's shares count its rows.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
@@ -95,6 +98,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "pa
     share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     seeds = base.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(seeds, host_edges(pages, url, html))
-    method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((F.col("distrust") >= threshold - SLACK) & (F.col("distrust") > F.col("trust") + SLACK), F.lit("block")).otherwise(F.lit("allow"))
     joined = base.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     return joined.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "trust", "distrust")
