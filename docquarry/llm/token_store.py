@@ -8,9 +8,12 @@ a block by a table of 256 rows of four lengths and one gather.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.bpe_stream import byte_letters
 from docquarry.llm.common import arrow_limits, pick, shared_dir, stash
 
-#: Ids after which a block ends (with its document).
-BLOCK_IDS = 1 << 18
+#: Ids after which a block ends (with its document): a batch of blocks stays small beside a worker's memory.
+BLOCK_IDS = 1 << 15
 #: Known chunks of a generation of a worker's table; a full one becomes the older of two.
 KNOWN = 400_000
+#: Letters of the longest chunk that is remembered.
+LONGEST = 64
+#: UTF-8 bytes of code points below U+0240.
+LOW_BYTES = bytes(range(0xC9))
+#: Letters, then ASCII marks (the apostrophe starts pre-tokens of its own).
+MARKED = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
@@ -52,25 +62,35 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class Chunks(dict):
-    """Ids of chunks; unknown ones are looked up in the generation before, else asked of the library."""
+    """Ids of blank-separated chunks; unknown ones are looked up in the generation before, else asked of the library."""
 
-    def __init__(self, tokenizer, older: dict[str, bytes]) -> None:
+    def __init__(self, ask: Callable[[str], bytes], older: dict[str, bytes] | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.older = tokenizer, older
+        self.ask, self.older = ask, older or {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():  # letters and a mark after them are apart
-                ids = self[chunk[:-1]] + self[chunk[-1]]
-            else:
-                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[chunk] = ids
+            ids = self.ask(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
+    def aged(self) -> Chunks:
+        """This table, or where it's full an empty one that remembers it."""
+        if len(self) < KNOWN:
+            return self
+        self.older = {}
+        return Chunks(self.ask, self)
+
 
 class Encoder:
-    """Ids by the tokenizers library, asked once for each distinct blank-separated chunk (no pre-token spans white space)."""
+    """Ids by the tokenizers library, asked once for each distinct blank-separated chunk (no pre-token spans white space).
+
+    The file's normaliser is NFC, one blank for white space, lower case.  A lower-cased run of letters below U+0240 is one pre-token that
+    normalising leaves as it is, so the library's model is asked directly; such a run and ASCII marks behind it are two pre-tokens.  Any
+    other chunk, and all chunks of texts with other letters, go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,17 +99,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known = Chunks(self.tokenizer, {})
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            self.special = [x["content"].lower() for x in json.load(file).get("added_tokens", [])]
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = [letters[b] for b in range(256)]
+        self.low, self.raw = Chunks(self.chunk), Chunks(self.library)
+
+    def library(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a lower-cased chunk of is_low() letters without an added token."""
+        if chunk.isalpha():
+            spelt = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
+            return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+        cut = MARKED.fullmatch(chunk)
+        return self.low[cut[1]] + self.low[cut[2]] if cut else self.library(chunk)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= KNOWN:
-            self.known.older = {}
-            self.known = Chunks(self.tokenizer, self.known)
         text = (text or "").replace("\n", " ")
-        # these letters lower-case by their neighbours or to several letters: left to the library
-        low = text if "Σ" in text or "İ" in text else text.lower()
-        return b"".join(map(self.known.__getitem__, low.split(" ")))
+        if is_low(text):
+            low = text.lower()
+            # an added token is sought before lower-casing: only its own spelling counts
+            if not any(x in low for x in self.special):
+                self.low = self.low.aged()
+                return b"".join(map(self.low.__getitem__, low.split(" ")))
+        self.raw = self.raw.aged()
+        return b"".join(map(self.raw.__getitem__, text.split(" ")))
+
+
+def is_low(text: str) -> bool:
+    """Code points below U+0240 only, each with a lower case of one letter that NFC leaves alone."""
+    return text.isascii() or (not text.encode().translate(None, LOW_BYTES) and "\u0130" not in text)
 
 
 @lru_cache(maxsize=2)
@@ -195,7 +238,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each row, from the files that write_store() wrote."""
+    """(doc_id, start, n_tokens, ids_crc32) of each row, from the files that write_store() wrote; no row of an empty table.
+
+    Null and empty texts hold the end id alone; repeated rows count one by one.
+    """
     spark = docs.sparkSession
     into = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_store(docs, path, into, end_id, doc_id, text)
