@@ -1,11 +1,15 @@
 """BPE encoding and decoding as bounded-lookahead streaming transducers.
 
-Encoding.  A merge rule a+b can be undone at the right edge of a prefix only by an earlier rule that takes b, or a
-piece at b's right end, together with what follows; that rule can in turn be undone only by a still earlier one.
-Such chains run through strictly falling ranks, so the longest chain's bytes are a sufficient lookahead
-(`sufficient_lookahead`): tokens that end at least so far before the right edge can't change.  A long piece of text is
-read in windows; stable tokens are emitted and the next window starts behind the last of them, so memory stays constant
-however long a piece is.  Pieces are the byte-level pre-tokens; each is encoded apart from the others.
+Encoding.  A text is read in slices (`Encoding.feed`).  What is read is decided in two ways, and decided tokens leave at once:
+
+* Pieces (the byte-level pre-tokens, each encoded apart from the others): a blank before a non-blank starts a piece whatever follows, and any other
+  piece is decided by three characters from its start and one behind its end.
+* Within a piece whose end isn't read yet: a merge rule a+b can be undone at the right edge of a prefix only by an earlier rule that takes b, or a
+  piece at b's right end, together with what follows; that rule can in turn be undone only by a still earlier one.  Such chains run through
+  strictly falling ranks, so the longest chain's bytes are a sufficient lookahead (`sufficient_lookahead`): tokens that end at least so far before
+  the edge can't change.
+
+So the state stays below a slice, a window and the lookahead however long a text or a piece is; known pieces are remembered in tables of bounded size.
 
 Decoding.  Token bytes pass through an incremental byte-to-text machine, which holds the up to three bytes of an
 unfinished character between steps.
@@ -17,7 +21,8 @@ import codecs
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -32,8 +37,14 @@ from docquarry.llm.common import arrow_limits, pick
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a generation of the tables of known pieces; a full one becomes the older of two, or starts anew.
 KNOWN = 300_000
-#: Bytes of a window beyond its lookahead; longer pieces are streamed.
-WINDOW = 1024
+#: Characters that are read at a time; an unfinished piece of more is encoded token by token.
+SLICE = 1 << 14
+#: A pair that no rule merges.
+NONE = 1 << 62
+#: Letters of the longest piece, or blank and what stands behind it, that is remembered.
+LONGEST = 64
+#: The kinds of pieces that go on with further characters.
+RUNS = {kind: regex.compile(pattern) for kind, pattern in (("letters", r"\p{L}*"), ("numbers", r"\p{N}*"), ("marks", r"[^\s\p{L}\p{N}]*"), ("spaces", r"\s*"))}
 #: Ids decoded in one step.
 STEP = 1 << 16
 
@@ -72,7 +83,7 @@ class Chunks(dict):
         ids = self.older.get(part)
         if ids is None:
             ids = b"".join(map(self.machine._piece, self.machine.split(" " + part)))
-            if len(part) > 64:
+            if len(part) > LONGEST:
                 return ids
         self[part] = ids
         return ids
@@ -81,7 +92,7 @@ class Chunks(dict):
 class Transducer:
     """Encodes and decodes with a byte-level BPE vocabulary file."""
 
-    def __init__(self, path: str, window: int = WINDOW) -> None:
+    def __init__(self, path: str, slice_: int = SLICE) -> None:
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         model, letters = whole["model"], byte_letters()
@@ -94,33 +105,34 @@ class Transducer:
         self.rules = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in reversed([*enumerate(merges)])}
         self.bytes_of = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.lengths = {v: len(k) for k, v in ids.items()}
-        self.window, self.lookahead = window, sufficient_lookahead(merges)
-        self.split = regex.compile(PATTERN).findall
+        self.slice, self.lookahead = slice_, sufficient_lookahead(merges)
+        pattern = regex.compile(PATTERN)
+        self.split, self.each = pattern.findall, pattern.finditer
+        self.starts = tuple({x[:n] for x in self.special for n in range(1, len(x))})
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[str, bytes] = {}
         self.chunks = Chunks(self, {})
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
+    def held(self, text: str) -> int:
+        """Characters at the end that may be the start of a special token."""
+        return max(map(len, filter(text.endswith, self.starts))) if text.endswith(self.starts) else 0
+
     def merge(self, data: bytes) -> list[int]:
         """Applies the merge rules to a whole byte string: lowest rank first, leftmost among equals."""
         ids = [self.single[b] for b in data]
-        rules = self.rules
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min([rules.get(a << 20 | b, 1 << 62) for a, b in zip(ids, ids[1:])])  # noqa: B905
-            if best == 1 << 62:
-                break
-            made = best & 0xFFFFF
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and rules.get(ids[i] << 20 | ids[i + 1]) == best:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        rule = self.rules.get
+        pairs = [rule(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while pairs and (best := min(pairs)) != NONE:
+            i = pairs.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rule(ids[i] << 20 | ids[i + 1], NONE)
+            if i:
+                pairs[i - 1] = rule(ids[i - 1] << 20 | ids[i], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -142,37 +154,28 @@ class Transducer:
                     heapq.heappush(heap, (rule, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Ids of a piece, window by window; those that end a lookahead before the window's edge are stable."""
-        at, most = 0, self.window + self.lookahead
-        while at < len(data):
-            part = data[at : at + most]
-            ids = self.merge(part)
-            last = at + most >= len(data)
-            stable = len(part) if last else len(part) - self.lookahead
-            end = 0
-            for x in ids:
-                if end + self.lengths[x] > stable:
-                    break
-                end += self.lengths[x]
-                yield x
-            if not end:  # no token is stable yet: a larger window
-                most *= 2
-            at += end
+    def stable(self, data: bytes) -> tuple[bytes, bytes]:
+        """(ids of the first tokens that no bytes behind data can change, the bytes behind those tokens)."""
+        end, sure, edge = 0, [], len(data) - self.lookahead
+        for x in self.merge(data) if edge > 0 else ():
+            if end + self.lengths[x] > edge:
+                break
+            end += self.lengths[x]
+            sure.append(x)
+        return np.array(sure, dtype="<u4").tobytes(), data[end:]
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            data = piece.encode()
-            ids = self.merge(data) if len(data) <= self.window else list(self.stream(data))
-            got = np.array(ids, dtype="<u4").tobytes()
-            if len(data) <= 64:
+            got = array("I", self.merge(piece.encode())).tobytes()
+            if len(piece) <= LONGEST:
                 if len(self.pieces) >= KNOWN:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """Ids of decided text: whole pieces, none of which goes on behind it."""
         if re.search(r" \s", text):  # runs of white space: the pattern decides where they end
             return b"".join(map(self._piece, self.split(text)))
         if len(self.chunks) >= KNOWN:
@@ -181,30 +184,105 @@ class Transducer:
         first, *rest = text.split(" ")  # a blank before a non-blank always starts a piece
         return b"".join([*map(self._piece, self.split(first)), *map(self.chunks.__getitem__, rest)])
 
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, as they are decided; null as the empty text; special tokens' strings give their ids."""
+        state = Encoding(self)
+        for at in range(0, len(text or ""), self.slice):
+            yield from state.feed(text[at : at + self.slice])
+        yield from state.finish()
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; null as the empty text; special tokens' strings give their ids."""
-        if not text:
-            return b""
-        if not self.apart or not self.apart.search(text):
-            return self._plain(text)
-        out: list[bytes] = []
-        for part in self.apart.split(text):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                out.append(self._plain(part))
-        return b"".join(out)
+        return b"".join(self.stream(text))
+
+    def decoded(self, ids: Iterable[bytes]) -> Iterator[str]:
+        """The text of ids as stream() gives them, step by step; bytes that are no UTF-8 become U+FFFD."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        for some in ids:
+            numbers = np.frombuffer(some, dtype="<u4")
+            for at in range(0, len(numbers), STEP):
+                part = numbers[at : at + STEP]
+                part = part[part < len(self.table)]  # numbers without a token have no bytes
+                yield machine.decode(b"".join(map(self.table.__getitem__, part.tolist())))
+        yield machine.decode(b"", True)
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids as encode() gives them; bytes that are no UTF-8 become U+FFFD."""
-        machine, out = codecs.getincrementaldecoder("utf-8")("replace"), []
-        numbers = np.frombuffer(ids, dtype="<u4")
-        for at in range(0, len(numbers), STEP):
-            part = numbers[at : at + STEP]
-            part = part[part < len(self.table)]  # numbers without a token have no bytes
-            out.append(machine.decode(b"".join(map(self.table.__getitem__, part.tolist()))))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        return "".join(self.decoded([ids]))
+
+
+class Encoding:
+    """The state of one text between slices: characters that aren't decided, or an unfinished piece's kind and its bytes behind the last stable token."""
+
+    def __init__(self, machine: Transducer) -> None:
+        self.machine, self.rest, self.kind, self.open = machine, "", None, b""
+
+    def feed(self, text: str) -> Iterator[bytes]:
+        """Ids that are decided by now."""
+        machine, text = self.machine, self.rest + text
+        if machine.apart:
+            while found := machine.apart.search(text):
+                self.rest = ""
+                yield from self._read(text[: found.start()], True)
+                yield machine.special[found.group()].to_bytes(4, "little")
+                text = text[found.end() :]
+            held = machine.held(text)
+            if held:
+                yield from self._read(text[:-held], False)
+                self.rest += text[-held:]
+                return
+        yield from self._read(text, False)
+
+    def finish(self) -> Iterator[bytes]:
+        """Ids of what is left, as no text follows."""
+        yield from self._read(self.rest, True)
+
+    def _read(self, text: str, last: bool) -> Iterator[bytes]:
+        if self.kind:
+            text = yield from self._go_on(text, last)
+        cut = len(text) if last else last_start(text)
+        if cut:
+            yield self.machine.plain(text[:cut])
+        if len(text) - cut > self.machine.slice:
+            yield from self._by_pieces(text[cut:])
+        else:
+            self.rest = text[cut:]
+
+    def _by_pieces(self, text: str) -> Iterator[bytes]:
+        """Text without a sure start of a piece near its end."""
+        for found in self.machine.each(text):
+            if found.end() == len(text) or found.start() + 3 > len(text):
+                break
+            yield self.machine._piece(found.group())
+        text = text[found.start() :]
+        self.rest = text
+        if len(text) > max(3, self.machine.slice):  # no contraction
+            self.kind = next(kind for kind, run in RUNS.items() if run.match(text[-1]).end())
+            self.rest, text = (text[-1], text[:-1]) if self.kind == "spaces" else ("", text)
+            ids, self.open = self.machine.stable(text.encode())
+            yield ids
+
+    def _go_on(self, text: str, last: bool) -> Generator[bytes, None, str]:
+        """Reads an unfinished piece's further characters; what is behind them.  The last blank of several may belong to the next piece."""
+        end = RUNS[self.kind].match(text).end()
+        ended = last or end < len(text)
+        if self.kind == "spaces" and not (last and end == len(text)):
+            end -= 1
+        self.open += text[:end].encode()
+        if ended:
+            yield np.array(self.machine.merge(self.open), dtype="<u4").tobytes()
+            self.kind, self.open = None, b""
+        else:
+            ids, self.open = self.machine.stable(self.open)
+            yield ids
+        return text[end:]
+
+
+def last_start(text: str) -> int:
+    """The last blank before a non-blank: a piece starts there whatever follows; 0 where there is none."""
+    at = len(text)
+    while (at := text.rfind(" ", 0, at)) > 0:
+        if text[at + 1 : at + 2].strip():
+            return at
+    return 0
 
 
 @lru_cache(maxsize=2)
@@ -246,26 +324,46 @@ def encode_checked(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         machine = transducer(path)
         for batch in batches:
             ids = [machine.encode(x) for x in batch.column("text").to_pylist()]
-            n, back = [len(x) // 4 for x in ids], [sha256(machine.decode(x).encode()).hexdigest() for x in ids]
+            n, back = [len(x) // 4 for x in ids], [_hash(x.encode() for x in machine.decoded([y])) for y in ids]
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     return pick(docs, doc_id, text).mapInArrow(of, "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
 
 
+def _hash(parts: Iterable[bytes]) -> str:
+    done = sha256()
+    for x in parts:
+        done.update(x)
+    return done.hexdigest()
+
+
+def _digest(machine: Transducer, text: str | None) -> tuple[int, str, str]:
+    """(tokens, hash of the ids, hash of the decoded text): ids pass from the encoder to the decoder as they are decided and aren't gathered."""
+    n, ids_hash = 0, sha256()
+
+    def passing() -> Iterator[bytes]:
+        nonlocal n
+        for ids in machine.stream(text):
+            n += len(ids) // 4
+            ids_hash.update(ids)
+            yield ids
+
+    back = _hash(x.encode() for x in machine.decoded(passing()))
+    return n, ids_hash.hexdigest(), back
+
+
 def bpe_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, encoded and decoded in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, encoded and decoded in one pass.
+
+    Null texts are empty; repeated rows and rows that share an id are worked out one by one; an empty table gives no row; further columns are ignored.
+    """
     arrow_limits(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column("text").to_pylist():
-                ids = machine.encode(x)
-                n.append(len(ids) // 4)
-                a.append(sha256(ids).hexdigest())
-                b.append(sha256(machine.decode(ids).encode()).hexdigest())
+            n, a, b = zip(*[_digest(machine, x) for x in batch.column("text").to_pylist()], strict=True) if batch.num_rows else ((), (), ())
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
