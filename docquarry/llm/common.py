@@ -38,7 +38,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._stash = path
+    return held
+
+
+def drop_stash(held: DataFrame) -> None:
+    """Deletes what stash() wrote, once everything that reads it has been written itself."""
+    jvm, conf = held.sparkSession._jvm, held.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(held._stash)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def row_key(doc_id: str, text: str) -> Column:

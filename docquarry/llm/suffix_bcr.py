@@ -1,22 +1,24 @@
 """Suffix-array dedup: byte strings that occur twice, found by column-wise construction of Burrows-Wheeler transforms.
 
-Over whole corpora the column-wise construction would take as many passes over all data as the longest document has bytes, so it runs
-on collections of short strings that hold every repeat:
-
-1. Winnowing: in each window of `length` bytes the smallest hash of a GRAM-byte string is an anchor.  Equal windows have equal
-   anchors at equal places.  Equal texts are one text from here on (with its number of copies).
-2. Anchors that occur once can't lie in a repeat.  Around every other anchor a segment is cut that holds all windows with the anchor;
-   equal segments are one string with a weight.
-3. Segments are dealt into buckets by anchor.  Within an anchor a segment is cut to what it shares with any other on either side; one that
-   lies in another whole is a repeat, marks its place there and is left out.  Over the others the collection's transform and its common prefixes grow by one symbol of each
-   string a round, from the last column to the first; neighbours in suffix order that share `length` bytes form classes, and a
-   class with two places in the corpus is a repeat.
-4. An anchor with very many different segments is dealt over several buckets; their classes then meet by a hash of their bytes.
+Over a whole corpus the column-wise construction would take as many passes over all data as the longest document has bytes, so it runs
+on collections of short strings that together hold every window of `length` bytes that can occur twice:
+
+1. A window's mark is the smallest hash of a GRAM-byte string in it.  Windows that follow one another and share their mark are cut as one
+   segment: each window of the corpus lies in one segment, and equal windows have equal marks.
+2. Marks that occur once hold no repeat; nothing else is left out.  Equal segments of the other marks are one string with a weight.  Up to here, and between the
+   tasks, only hashes and places are dealt; one place of each string then fetches its bytes.
+3. Strings are dealt into buckets by mark.  Each string gives `word` strings of words, one for each start modulo `word`, and over
+   them the collection's transform and common prefixes grow by one symbol (a word of bytes) of each string a round, from the last column to the
+   first, by sequential passes over two files.  Neighbours in suffix order that share `length` bytes form classes; a class of two windows, or of one
+   in a string of weight two, is a repeat.
+4. A mark with very many different strings is dealt over several buckets; their classes then meet by a hash of their bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -25,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import arrow_limits, pick, stash
+from docquarry.llm.common import arrow_limits, drop_stash, pick, stash
 
-#: Bytes of an anchor string; windows hashed at a time; segments of a bucket, about; different segments of an anchor from which it is dealt over several.
-GRAM, BLOCK, BUCKET, SPREAD = 32, 1 << 15, 1000, 4000
-#: Strings of one construction, about: its arrays stay in a core's cache.
-TOGETHER = 200
+#: Bytes of a marking string; windows hashed at a time; strings of a bucket, about; different strings of a mark from which it is dealt over several buckets.
+GRAM, BLOCK, BUCKET, SPREAD = 32, 1 << 15, 1000, 1000
+#: Strings of one construction, about; records of a file that are held at a time.
+TOGETHER, RECORDS = 250, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
-_PLACE = (1 << 32) - 1
+_LOW = (1 << 32) - 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -55,89 +57,151 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sliding(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
     span = 1
     while span * 2 <= width:
-        values = of(values[:-span], values[span:])
+        values = np.minimum(values[:-span], values[span:])
         span *= 2
-    return of(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all windows of `length` bytes; ties all count."""
+def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, mark) of each segment, in order; at most length - GRAM + 1 windows each."""
     data, width = np.frombuffer(raw, dtype=np.uint8), length - GRAM + 1
-    places, hashes = [], []
+    firsts, counts, marks = [], [], []
     for at in range(0, len(data) - length + 1, BLOCK):
-        h = gram_hashes(data[at : min(at + BLOCK + length - 1, len(data))])
-        least = _sliding(h, width, np.minimum)
-        pad = np.zeros(width - 1, dtype=np.uint64)
-        found = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == h)
-        places.append(found + at)
-        hashes.append(h[found])
-    if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    where, first = np.unique(np.concatenate(places), return_index=True)
-    return where, np.concatenate(hashes)[first]
-
-
-def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, common prefixes, places) of a collection.
-
-    transform: the symbol before each suffix in order (0 where there is none); common prefixes: bytes shared with the suffix before;
+        least = _least(gram_hashes(data[at : min(at + BLOCK + length - 1, len(data))]), width)
+        starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        sizes = np.diff(np.append(starts, len(least)))
+        if (sizes > width).any():  # the same string again and again
+            pieces = -(-sizes // width)
+            within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            left = np.repeat(sizes, pieces) - within * width
+            starts, sizes = np.repeat(starts, pieces) + within * width, np.minimum(left, width)
+        firsts.append(starts + at)
+        counts.append(sizes)
+        marks.append(least[starts])
+    if not firsts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(marks)
+
+
+class Records:
+    """A file of equal numbers that is only written and read from its start to its end."""
+
+    def __init__(self, kind: str, scratch: Callable[[], BinaryIO]) -> None:
+        self.kind, self.file = np.dtype(kind), scratch()
+
+    def append(self, values: np.ndarray) -> None:
+        self.file.write(memoryview(np.ascontiguousarray(values, dtype=self.kind)).cast("B"))
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        self.file.seek(0)
+        while raw := self.file.read(RECORDS * self.kind.itemsize):
+            yield np.frombuffer(raw, dtype=self.kind)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _beside(keys: Records, asked: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(number, keys of no symbol, place of the same symbol before, and behind, each -1 where there is none) of sorted keys that are in the file."""
+    at, sides, zero, start, last = np.zeros(len(asked), np.int64), np.full((2, len(asked)), -1, np.int64), 0, 0, np.int64(-1)
+    done, waiting = 0, None
+    for block in keys.blocks():
+        if waiting is not None and block[0] >> 32 == asked[waiting] >> 32:
+            sides[1, waiting] = block[0] & _LOW
+        stop = int(np.searchsorted(asked, block[-1], side="right"))
+        mine, waiting = asked[done:stop], None
+        if len(mine):
+            place = np.searchsorted(block, mine)
+            at[done:stop] = start + place
+            wide = np.concatenate(([last], block, [np.int64(-1)]))
+            for side, beside in enumerate((wide[place], wide[place + 2])):
+                sides[side, done:stop] = np.where(beside >> 32 == mine >> 32, beside & _LOW, -1)
+            waiting = stop - 1 if place[-1] == len(block) - 1 else None
+        zero += int(np.searchsorted(block, 1 << 32))
+        start, last, done = start + len(block), block[-1], stop
+    return at, zero, sides[0], sides[1]
+
+
+def _least_between(prefixes: Records, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The least of the file's numbers first..stop - 1, for each pair."""
+    got, start = np.full(len(first), 1 << 30, dtype=np.int64), 0
+    for block in prefixes.blocks():
+        mine = np.flatnonzero((first < start + len(block)) & (stop > start))
+        if len(mine):
+            a, b = np.maximum(first[mine] - start, 0), np.minimum(stop[mine] - start, len(block))
+            # two ranges of a power of two cover each
+            power, of, least = np.frexp(b - a)[1] - 1, np.empty(len(mine), dtype=np.int64), block
+            for k in range(int(power.max()) + 1):
+                now = np.flatnonzero(power == k)
+                of[now] = np.minimum(least[a[now]], least[b[now] - (1 << k)])
+                least = np.minimum(least[: -(1 << k)], least[1 << k :])
+            got[mine] = np.minimum(got[mine], of)
+        start += len(block)
+    return got
+
+
+def column_wise(strings: list, scratch: Callable[[], BinaryIO] = io.BytesIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(transform, common prefixes, places) of a collection of strings of symbols above 0 (bytes or whole numbers).
+
+    transform: the symbol before each suffix in order (0 where there is none); common prefixes: symbols shared with the suffix before;
     places: by string and start, the suffix's number in order (-1 behind a string's end).
+
+    Two files hold the collection's state: keys (a suffix's symbol before it, then its place) in their order, and the common prefixes by place.  A round reads
+    both from start to end and writes the next ones; scratch makes a file.  A key's number is where the suffix with its symbol belongs.
     """
     m, longest = len(strings), max(map(len, strings))
     sizes = np.array([len(s) for s in strings])
-    used = np.zeros(256, dtype=bool)
-    text = np.zeros((m, longest + 1), dtype=np.uint8)  # right-aligned; column 0 and what is left of a string stay 0
+    symbols = np.zeros((m, longest + 1), dtype=np.int64)  # right-aligned; column 0 and what is left of a string stay 0
     for i, s in enumerate(strings):
-        text[i, longest + 1 - len(s) :] = np.frombuffer(s, dtype=np.uint8)
-        used[text[i, longest + 1 - len(s) :]] = True
-    code = np.cumsum(used).astype(np.uint8)  # UTF-8 never uses all 256 values
-    symbols = np.where(np.arange(longest + 1)[None, :] > longest - sizes[:, None], code[text], 0).astype(np.uint8)
-    # the transform as sorted keys: symbol, then place in order; a key's number tells where its own suffix goes
-    keys = np.sort(symbols[:, longest].astype(np.int64) << 32 | np.arange(m))
-    lcp, active, place = np.zeros(m, dtype=np.int32), np.arange(m), np.arange(m)
+        symbols[i, longest + 1 - len(s) :] = np.frombuffer(s, dtype=np.uint8) if isinstance(s, bytes) else s
+    keys, prefixes = Records("<i8", scratch), Records("<i4", scratch)
+    active, place, n = np.arange(m), np.arange(m), m
+    keys.append(np.sort(symbols[:, longest] << 32 | place))
+    prefixes.append(np.zeros(m))
     for column in range(longest - 1, -1, -1):
-        now = symbols[active, column + 1] > 0
-        active, place = active[now], place[now]
-        if not len(active):
+        asked = symbols[active, column + 1] << 32 | place
+        now = np.flatnonzero(asked > _LOW)
+        if not len(now):
             break
-        own = symbols[active, column + 1].astype(np.int64) << 32
-        at = np.searchsorted(keys, own | place)
-        to = m + at - int(np.searchsorted(keys, 1 << 32))
+        now = now[np.argsort(asked[now])]
+        active, place, asked = active[now], place[now], asked[now]
+        at, zero, before, behind = _beside(keys, asked)
+        to = m + at - zero  # ascending, as the keys are
         # what a new suffix shares with its neighbours: one more than the least common prefix between the symbol's occurrences
-        wide = np.append(lcp, 0)
-        sides = []
-        for step in (-1, 1):
-            beside = keys[np.clip(at + step, 0, len(keys) - 1)]
-            has = (at + step >= 0) & (at + step < len(keys)) & (beside - (beside & _PLACE) == own)
-            other = beside[has] & _PLACE
-            pairs = np.stack((np.minimum(other, place[has]) + 1, np.maximum(other, place[has]) + 1), axis=1).reshape(-1)
-            got = np.zeros(len(at), dtype=np.int32)
-            if len(pairs):
-                got[has] = 1 + np.minimum.reduceat(wide, pairs)[::2]
-            sides.append(got)
-        old = np.ones(len(lcp) + len(at), dtype=bool)
-        old[to] = False
-        shared = np.empty(len(old) + 1, dtype=np.int32)
-        shared[:-1][old] = lcp
-        shared[to + 1] = sides[1]
-        shared[to] = sides[0]
-        lcp = shared[:-1]
-        was = keys & _PLACE
-        keys += np.flatnonzero(old)[was] - was
-        fresh = np.sort(symbols[active, column].astype(np.int64) << 32 | to)
-        slots = np.searchsorted(keys, fresh) + np.arange(len(fresh))
-        grown, gap = np.empty(len(old), dtype=np.int64), np.ones(len(old), dtype=bool)
-        gap[slots] = False
-        grown[gap], grown[slots] = keys, fresh
-        keys = grown
-        by_place = np.argsort(to)  # keeps the ranges of the next round short
-        active, place = active[by_place], to[by_place]
-    bwt, rank = np.empty(len(keys), dtype=np.uint8), np.empty(len(keys), dtype=np.int64)
-    bwt[keys & _PLACE] = keys >> 32
-    rank[keys & _PLACE] = np.arange(len(keys))
+        sides, has = np.zeros((2, len(to)), dtype=np.int64), np.stack((before >= 0, behind >= 0))
+        first, stop = np.concatenate((before[has[0]], place[has[1]])) + 1, np.concatenate((place[has[0]], behind[has[1]])) + 1
+        sides[has] = 1 + _least_between(prefixes, first, stop)
+        slot = to - np.arange(len(to))  # old suffixes before the new one
+        grown, done, start = Records("<i4", scratch), 0, 0
+        for block in prefixes.blocks():
+            end = len(slot) if start + len(block) == n else int(np.searchsorted(slot, start + len(block)))
+            where, block = slot[done:end] - start, block.copy()
+            inner = where < len(block)
+            block[where[inner]] = sides[1, done:end][inner]
+            grown.append(np.insert(block, where, sides[0, done:end]))
+            start, done = start + len(block), end
+        prefixes.close()
+        prefixes = grown
+        shift = np.cumsum(np.bincount(slot, minlength=n + 1))
+        fresh = np.sort(symbols[active, column] << 32 | to)
+        grown, done, start = Records("<i8", scratch), 0, 0
+        for block in keys.blocks():
+            block = block + shift[block & _LOW]
+            end = len(fresh) if start + len(block) == n else int(np.searchsorted(fresh, block[-1]))
+            grown.append(np.insert(block, np.searchsorted(block, fresh[done:end]), fresh[done:end]))
+            start, done = start + len(block), end
+        keys.close()
+        keys, place, n = grown, to, n + len(to)
+    whole, lcp = np.concatenate([*keys.blocks()]), np.concatenate([*prefixes.blocks()])
+    keys.close()
+    prefixes.close()
+    bwt, rank = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    bwt[whole & _LOW] = whole >> 32
+    rank[whole & _LOW] = np.arange(n)
     shift = m - int((bwt == 0).sum())
     places = np.full((m, longest + 1), -1, dtype=np.int64)
     at, live = np.arange(m), np.arange(m)
@@ -150,195 +214,139 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return bwt, lcp, places
 
 
-def classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, class) of all windows of `length` bytes; equal windows have equal classes."""
-    _, lcp, places = column_wise(strings)
-    sizes = np.array([len(s) for s in strings])
-    who, start = np.nonzero(np.arange(places.shape[1])[None, :] + length <= sizes[:, None])
-    number = np.cumsum(lcp < length)
-    return who, start, number[places[who, start]]
-
-
-def _place_id(t1: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number for each byte of the corpus: the text's hash and the place in it, mixed."""
-    x = t1.astype(np.int64).view(np.uint64) ^ (at.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-    return (x ^ (x >> np.uint64(30))).view(np.int64)
-
-
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
-
-
-BCR_SCHEMA = "h long, s1 long, s2 long, lead int, first int, stop int, w1 long, w2 long, low long, high long"
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    """Bytes at the start that both have."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
-    return low
-
-
-def _most_shared(texts: list[bytes]) -> tuple[list[int], list[int]]:
-    """(order, for each text the most that any other shares with it from the start): the most is shared with a neighbour in order."""
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    most = [0] * len(texts)
-    for i, j in zip(order, order[1:]):  # noqa: B905
-        n = _shared(texts[i], texts[j])
-        most[i], most[j] = max(most[i], n), max(most[j], n)
-    return order, most
-
-
-def within_others(members: list[tuple[bytes, bytes, int]], length: int) -> tuple[list[tuple[int, int]], dict[int, int | None]]:
-    """Of the different segments of an anchor, as (bytes before it, bytes from it on, weight):
-
-    (how far each is shared before and behind the anchor, for those with a chance of a repeat the segment that they lie in, or None).  Only
-    near segments and the longest ones are tried as holders; one that isn't found costs time alone.
-    """
-    back = [m[0][::-1] for m in members]
-    by_right, right = _most_shared([m[1] for m in members])
-    by_left, left = _most_shared(back)
-    reach = [(len(m[0]), len(m[1])) if m[2] > 1 else (a, b) for m, a, b in zip(members, left, right, strict=True)]
-    order = sorted((i for i, x in enumerate(reach) if sum(x) >= length), key=lambda i: (sum(reach[i]), i))
-    rank = {i: x for x, i in enumerate(order)}
-    place_right, place_left = {i: x for x, i in enumerate(by_right)}, {i: x for x, i in enumerate(by_left)}
-    holder: dict[int, int | None] = {}
-    for i in order:
-        a, b = back[i][: reach[i][0]], members[i][1][: reach[i][1]]
-        near = {*order[-6:], *by_right[max(0, place_right[i] - 3) : place_right[i] + 4], *by_left[max(0, place_left[i] - 3) : place_left[i] + 4]}
-        holder[i] = next((j for j in sorted(near) if rank.get(j, -1) > rank[i] and back[j].startswith(a) and members[j][1].startswith(b)), None)
-    return reach, holder
+def classes(strings: list[bytes], length: int, scratch: Callable[[], BinaryIO] = io.BytesIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, class) of all windows of `length` bytes, by string and start; equal windows have equal classes."""
+    word = next(w for w in range(8, 0, -1) if length % w == 0)
+    ends = np.cumsum([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint64)
+    words = data[: len(data) - word + 1].copy()
+    for k in range(1, word):
+        words |= data[k : len(data) - word + 1 + k] << np.uint64(8 * k)
+    names = np.unique(words, return_inverse=True)[1] + 1
+    pieces, which, phase = [], [], []
+    for i, (end, s) in enumerate(zip(ends.tolist(), strings, strict=True)):
+        for p in range(min(word, len(s) - length + 1)):
+            pieces.append(names[end - len(s) + p : end - word + 1 : word])
+            which.append(i)
+            phase.append(p)
+    if not pieces:
+        return (np.zeros(0, np.int64),) * 3
+    _, lcp, places = column_wise(pieces, scratch)
+    sizes = np.array([len(x) for x in pieces])
+    row, start = np.nonzero(np.arange(places.shape[1])[None, :] + length // word <= sizes[:, None])
+    number = np.cumsum(lcp < length // word)[places[row, start]]
+    who, at = np.array(which)[row], start * word + np.array(phase)[row]
+    order = np.argsort(who << 32 | at)
+    return who[order], at[order], number[order]
+
+
+FOUND_SCHEMA = "s1 long, s2 long, first int, stop int, w1 long, w2 long, weight long"
 
 
 def bucket_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of one bucket: ranges of window starts known to be repeats; for anchors over several buckets also the classes by hash."""
-    names = [x.split()[0] for x in BCR_SCHEMA.split(", ")]
-    key = pdf[["h", "s1", "s2", "lead"]].to_numpy().tolist()
-    segs, lead, weight = pdf["seg"].tolist(), pdf["lead"].tolist(), pdf["n"].to_numpy()
-    t1, at, spread = pdf["t1"].to_numpy(), pdf["start"].to_numpy(), pdf["spread"].to_numpy() > 1
-    known: list[tuple[int, int, int]] = []
-    left: list[tuple[int, int, int]] = []  # (row, from, to): what goes through the construction
-    for _, rows in pdf.groupby("h", sort=False).indices.items():
-        rows = rows.tolist()
-        if spread[rows[0]]:
-            left += [(i, 0, len(segs[i])) for i in rows]
-            continue
-        reach, holder = within_others([(segs[i][: lead[i]], segs[i][lead[i] :], int(weight[i])) for i in rows], length)
-        alone = [m for m, j in holder.items() if j is None]
-        for m, j in holder.items():
-            i, (a, b) = rows[m], reach[m]
-            if j is not None:
-                known += [(i, lead[i] - a, lead[i] + b - length + 1), (rows[j], lead[rows[j]] - a, lead[rows[j]] + b - length + 1)]
-            elif weight[i] > 1:
-                known.append((i, lead[i] - a, lead[i] + b - length + 1))
-        if len(alone) > 1:
-            left += [(rows[m], lead[rows[m]] - reach[m][0], lead[rows[m]] + reach[m][1]) for m in alone]
-    out = [(*key[i], a, b, None, None, None, None) for i, a, b in known]
-    # an anchor's strings are neighbours, so cutting the list between anchors keeps them together
+    """Of one bucket: ranges of windows known to be repeats; for marks over several buckets also the classes by hash."""
+    pdf = pdf.drop_duplicates(["s1", "s2"]).sort_values("h", kind="stable")  # repeated rows fetch a string twice
+    marks, segs, weight, hot = pdf["h"].to_numpy(), pdf["seg"].tolist(), pdf["n"].to_numpy(), pdf["hot"].to_numpy()
+    key = pdf[["s1", "s2"]].to_numpy().tolist()
+    # a mark's strings are neighbours, so cutting the list between marks keeps them together
+    changes = np.flatnonzero(np.diff(marks)) + 1
     cuts = [0]
-    for x in range(1, len(left) + 1):
-        if x == len(left) or (x - cuts[-1] >= TOGETHER and key[left[x][0]][0] != key[left[x - 1][0]][0]):
+    for x in changes.tolist():
+        if x - cuts[-1] >= TOGETHER:
             cuts.append(x)
-    for begin, end in zip(cuts, cuts[1:]):  # noqa: B905
-        part = left[begin:end]
-        row = np.array([x[0] for x in part])
-        strings = [segs[i][a:b] for i, a, b in part]
-        who, start, number = classes(strings, length)
-        own = row[who]
-        offset = start + np.array([x[1] for x in part])[who]
-        place = _place_id(t1[own], at[own] + offset)
-        order = np.argsort(number, kind="stable")
-        firsts = np.flatnonzero(np.diff(number[order], prepend=-1))
-        low, high = np.minimum.reduceat(place[order], firsts), np.maximum.reduceat(place[order], firsts)
-        several = np.maximum.reduceat(weight[own][order], firsts) > 1
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
-        repeat = (several | (low != high))[group]
-        for i in range(len(part)):
-            mine = slice(*np.searchsorted(who, (i, i + 1)))
-            edges = np.flatnonzero(np.diff(repeat[mine].astype(np.int8), prepend=0, append=0)) + part[i][1]
-            out += [(*key[part[i][0]], int(a), int(b), None, None, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        hot = spread[own]
-        if hot.any():
+    out = []
+    for begin, end in zip(cuts, [*cuts[1:], len(segs)], strict=True):
+        who, start, number = classes(segs[begin:end], length)
+        own = weight[begin:end][who]
+        total = np.bincount(number, weights=own).astype(np.int64)[number]
+        repeat = total > 1
+        edges = np.diff(np.where(repeat, who + 1, 0), prepend=0, append=0)
+        at = np.flatnonzero(edges)
+        # runs of repeated windows of one string: both sides of each change
+        for a, b in zip(at, at[1:]):  # noqa: B905
+            if repeat[a]:
+                out.append((*key[begin + who[a]], int(start[a]), int(start[b - 1]) + 1, None, None, None))
+        if hot[begin:end].any():
             # one row for each class as a partner, and one for each window that is still alone
-            chosen = np.flatnonzero(hot & (~repeat | np.isin(np.arange(len(who)), order[firsts])))
+            chosen = np.flatnonzero(hot[begin:end][who] & (~repeat | np.isin(np.arange(len(who)), np.unique(number, return_index=True)[1])))
             for x in chosen.tolist():
-                i, a = int(who[x]), int(start[x])
-                w = xxhash.xxh3_128_intdigest(strings[i][a : a + length])
-                ends = (int(low[group[x]]), int(high[group[x]]) if not several[group[x]] else int(low[group[x]]) ^ 1)
-                out.append((*key[part[i][0]], int(offset[x]), int(offset[x]) + 1, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), min(ends), max(ends)))
-    return pd.DataFrame(out, columns=names).astype({"first": "int32", "stop": "int32", "lead": "int32", **dict.fromkeys(("w1", "w2", "low", "high"), "Int64")})
+                i, a = begin + int(who[x]), int(start[x])
+                w = xxhash.xxh3_128_intdigest(segs[i][a : a + length])
+                out.append((*key[i], a, a + 1, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), int(total[x])))
+    names = [x.split()[0] for x in FOUND_SCHEMA.split(", ")]
+    return pd.DataFrame(out, columns=names).astype({"first": "int32", "stop": "int32", **dict.fromkeys(("w1", "w2", "weight"), "Int64")})
 
 
-def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """(t1, t2, whole, spans) by the hashes of a text: its bytes [start, end) that lie in a repeated string, merged.
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows with a key of 128 bits; equal rows share it, and their results."""
+    own = pick(docs, doc_id, text)
+    return own.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"))
 
-    whole: the text occurs several times, so all of it is repeated.  Texts without a repeat have no row.
-    """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    own = _hashed(pick(docs, doc_id, text).where(F.octet_length("text") >= length))
+
+def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+    """(k1, k2, spans) by a row's key: its bytes [start, end) that lie in a repeated string.  Rows without a repeat are left out."""
+    arrow_limits(docs.sparkSession)
+    own = _keyed(docs, doc_id, text).where(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [anchors(x, length) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            columns = [batch.column("t1"), batch.column("t2"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1].view(np.int64) for x in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["t1", "t2", "at", "h"])
-
-    found = own.select("text", "t1", "t2").mapInArrow(find, "t1 long, t2 long, at array<int>, h array<long>")
-    texts = stash(found.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("at").alias("at"), F.first("h").alias("h")), "anchors")
-    each = texts.select("t1", "t2", F.explode(F.arrays_zip("at", "h")).alias("x")).select("t1", "t2", "x.at", "x.h")
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = each.join(shared, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "h")).alias("cut"))
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "s1", "s2", "lead", "t1", "t2", "start", "seg"]
-        kinds = (pa.int64(),) * 3 + (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                first, count, mark = segments(raw, length)
+                digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)])
+                s = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+                for into, x in zip(out, (first.astype(np.int32), count.astype(np.int32), mark.view(np.int64), s[:, 0], s[:, 1]), strict=True):
+                    into.append(x)
+            kinds = (pa.list_(pa.int32()),) * 2 + (pa.list_(pa.int64()),) * 3
+            columns = [batch.column("k1"), batch.column("k2"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "at", "windows", "h", "s1", "s2"])
+
+    schema = "k1 long, k2 long, at array<int>, windows array<int>, h array<long>, s1 array<long>, s2 array<long>"
+    cut = stash(own.select("text", "k1", "k2").mapInArrow(find, schema), "segments")
+    shared = stash(cut.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").select("h"), "marks")
+    each = cut.select("k1", "k2", F.explode(F.arrays_zip("at", "windows", "h", "s1", "s2")).alias("x")).select("k1", "k2", "x.*")
+    members = stash(each.join(shared, "h"), "members")
+    drop_stash(cut)
+    # all of a string's firsts are of one row
+    strings = members.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "windows")))
+    strings = stash(strings, "strings")
+    buckets = strings.count() // BUCKET + 1
+    many = strings.groupBy("h").count().where(F.col("count") > SPREAD).select("h", F.ceil(F.col("count") / SPREAD).alias("spread"))
+    bucket = F.pmod(F.xxhash64("h", F.pmod(F.col("s1"), F.coalesce("spread", F.lit(1)))), F.lit(buckets))
+    dealt = strings.join(many, "h", "left").select("k1", "k2", F.struct(bucket.alias("bucket"), "h", "s1", "s2", "n", F.col("spread").isNotNull().alias("hot"), "at", "windows").alias("x"))
+    wanted = dealt.groupBy("k1", "k2").agg(F.collect_list("x").alias("cut"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = ["bucket", "h", "s1", "s2", "n", "hot"], None
         for batch in batches:
-            columns = [batch.column(x) for x in ("t1", "t2", "cut")]
-            bodies = batch.column("text").cast(pa.binary()).to_pylist()
-            rows = []
-            for t1, t2, cut, raw in zip(*(c.to_pylist() for c in columns), bodies, strict=True):
-                for x in cut:
-                    start = max(0, x["at"] - (length - GRAM))
-                    seg = raw[start : x["at"] + length]
-                    s = xxhash.xxh3_128_intdigest(seg)
-                    rows.append((x["h"], (s >> 64) - (1 << 63), (s & (1 << 64) - 1) - (1 << 63), x["at"] - start, t1, t2, start, seg))
-            for at in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 4096]], k) for i, k in enumerate(kinds)], names=names)
-
-    single = own.select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
-    cut = single.join(wanted, ["t1", "t2"]).select("t1", "t2", "cut", "text").mapInArrow(segments, "h long, s1 long, s2 long, lead int, t1 long, t2 long, start int, seg binary")
-    cut = stash(cut, "segments")
-    reps = cut.groupBy("h", "s1", "s2", "lead").agg(F.count("*").alias("n"), F.first("seg").alias("seg"), F.min(F.struct("t1", "start")).alias("x"))
-    reps = stash(reps.select("h", "s1", "s2", "lead", "n", "seg", "x.t1", "x.start"), "strings")
-    sizes = reps.groupBy("h").agg(F.count("*").alias("different"))
-    spread = F.ceil(F.col("different") / F.lit(SPREAD)).cast("int")
-    total = reps.count()
-    buckets = total // BUCKET + 1
-    # a string that is all its anchor has, is repeated as often as it occurs: no other can share a window with it
-    lone = reps.join(sizes.where("different = 1").select("h"), "h").where("n > 1").select("h", "s1", "s2", "lead", F.lit(0).alias("first"), (F.octet_length("seg") - length + 1).alias("stop"))
-    dealt = reps.join(sizes.where("different > 1"), "h").withColumn("spread", spread)
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", F.pmod(F.col("s1"), F.col("spread"))), F.lit(buckets)))
-    done = dealt.groupBy("bucket").applyInPandas(lambda pdf: bucket_repeats(pdf, length), BCR_SCHEMA)
-    done = stash(done, "repeats")
-    known = done.where("w1 is null").select("h", "s1", "s2", "lead", "first", "stop")
-    classes_ = done.where("w1 is not null")
-    twice = classes_.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("w1", "w2")
-    met = classes_.join(twice, ["w1", "w2"]).select("h", "s1", "s2", "lead", "first", "stop")
-    ranges = known.unionByName(met).unionByName(lone)
-    members = cut.select("h", "s1", "s2", "lead", "t1", "t2", "start")
-    spans = members.join(ranges, ["h", "s1", "s2", "lead"]).select("t1", "t2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("stop") - 1 + length).alias("b")).alias("x"))
-    by_text = spans.groupBy("t1", "t2").agg(F.collect_set("x").alias("spans"))
-    whole = texts.where("copies > 1").select("t1", "t2", F.lit(True).alias("whole"))
-    return by_text.join(whole, ["t1", "t2"], "full").select("t1", "t2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-
-
-def merge_spans(spans: list, whole: bool, size: int) -> list[tuple[int, int]]:
+            rows = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "cut")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            got, bodies = [], []
+            for k1, k2, cut, raw in rows:
+                if (k1, k2) == last:
+                    continue
+                last = (k1, k2)
+                got += cut
+                bodies += [raw[x["at"] : x["at"] + x["windows"] + length - 1] for x in cut]
+            kinds = (pa.int64(),) * 5 + (pa.bool_(),)
+            for at in range(0, len(got), 4096):
+                columns = [pa.array([x[c] for x in got[at : at + 4096]], k) for c, k in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies[at : at + 4096], pa.binary())], names=[*names, "seg"])
+
+    fetched = own.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(fetch, "bucket long, h long, s1 long, s2 long, n long, hot boolean, seg binary")
+    found = stash(fetched.groupBy("bucket").applyInPandas(lambda pdf: bucket_repeats(pdf, length), FOUND_SCHEMA), "repeats")
+    drop_stash(strings)
+    met = found.where("w1 is not null")
+    twice = met.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
+    known = found.where("w1 is null").select("s1", "s2", "first", "stop").unionByName(met.join(twice, ["w1", "w2"]).select("s1", "s2", "first", "stop"))
+    ranges = known.groupBy("s1", "s2").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
+    spans = members.select("k1", "k2", "at", "s1", "s2").join(ranges, ["s1", "s2"])
+    span = F.transform("ranges", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["stop"] - 1 + length).alias("b")))
+    return spans.select("k1", "k2", F.explode(span).alias("x")).groupBy("k1", "k2").agg(F.collect_set("x").alias("spans"))
+
+
+def merge_spans(spans: list | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in [(0, size)] if whole else sorted((x["a"], x["b"]) for x in spans or []):
+    for a, b in sorted((x["a"], x["b"]) for x in spans or []):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -350,26 +358,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_bytes, n_removed, spans, kept), a row per row of docs: bytes covered by a `length`-byte string that also starts elsewhere are removed.
 
     Strings are bytes of UTF-8, within a document, judged on the input; `spans` are the maximal removed runs, `kept` the other bytes.  Null and
-    short texts keep everything; repeated rows count as further documents.
+    short texts keep everything; repeated rows count as further documents; an empty table gives no row; further columns are ignored.
+    `length` is at least GRAM.
     """
-    spark = docs.sparkSession
     spans = repeat_spans(docs, doc_id, text, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
         for batch in batches:
             rows = []
-            for raw, found, whole in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = raw or b""
-                gone = merge_spans(found, bool(whole), len(raw))
+                gone = merge_spans(found)
                 ends = [0, *(x for pair in gone for x in pair), len(raw)]
                 kept = b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)])
                 rows.append((len(raw), len(raw) - len(kept), [list(x) for x in gone], kept))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
-    arrow_limits(spark)
-    joined = _hashed(pick(docs, doc_id, text)).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans", "whole")
+    joined = _keyed(docs, doc_id, text).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
 
 
@@ -377,4 +384,3 @@ def repeats_digest(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) from remove_repeats()."""
     got = remove_repeats(docs, length=length)
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
