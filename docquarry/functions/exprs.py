@@ -112,18 +112,6 @@ def search_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
-def hash_bucket(token: Column, dim: int) -> Column:
-    """Bucket of a token: the first eight md5 bytes as a little-endian unsigned number, modulo dim."""
-    h = F.md5(token)
-    little = F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8)))
-    return (F.conv(little, 16, 10).cast("decimal(20,0)") % F.lit(dim)).cast("int")
-
-
-def hash_sign(token: Column) -> Column:
-    """+1 where the top bit of the eighth md5 byte is set, else -1."""
-    return F.when(F.substring(F.md5(token), 15, 1).isin(*"89abcdef"), 1).otherwise(-1)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -69,17 +69,29 @@ def chunk_fixed_window(articles: DataFrame, tokens: int = CHUNK_TOKENS, overlap:
     the windows that it overlaps.
     """
     most, step = window_shape(tokens, overlap)
-    w = articles.withColumn("w", X.words(F.col("text"))).where(F.size("w") > 0)
-    order = Window.partitionBy("source_filename").orderBy("article_seq")
-    w = w.withColumn("first", F.coalesce(F.sum(F.size("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    low = F.greatest(F.lit(0), F.floor((F.col("first") - most) / step) + 1).cast("int")
-    high = F.floor((F.col("first") + F.size("w") - 1) / step).cast("int")
-    each = w.withColumn("win", F.explode(F.when(low <= high, F.sequence(low, high))))
-    begin = F.col("win") * step
-    start = F.greatest(begin, F.col("first"))
-    part = F.slice("w", start - F.col("first") + 1, F.least(begin + most, F.col("first") + F.size("w")) - start)
+    sizes = articles.select("source_filename", "article_seq", F.size(X.words(F.col("text"))).alias("size")).where("size > 0")
+    before = Window.partitionBy("source_filename").orderBy("article_seq").rowsBetween(Window.unboundedPreceding, -1)
+    # running totals over lengths alone; texts are joined to them, not sorted
+    sizes = sizes.select("source_filename", "article_seq", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("first"))
+    w = articles.join(sizes, ["source_filename", "article_seq"])
+
+    def cut(w: Column) -> Column:
+        first, end = F.col("first"), F.col("first") + F.size(w)
+        low = F.greatest(F.lit(0), F.floor((first - most) / step) + 1).cast("int")
+        high = F.floor((end - 1) / step).cast("int")
+
+        def part(i: Column) -> Column:
+            start = F.greatest(i * step, first)
+            return F.struct(i.alias("win"), F.array_join(F.slice(w, start - first + 1, F.least(i * step + most, end) - start), " ").alias("said"))
+
+        return F.when(low <= high, F.transform(F.sequence(low, high), part))
+
     label = F.col("page_label") if "page_label" in articles.columns else F.lit(None).cast("string")
-    each = each.select("source_filename", "section", "win", F.struct(F.col("first"), "article_seq", "article_number", "parent_article", "heading", "page", label.alias("page_label"), F.array_join(part, " ").alias("said")).alias("x"))
+    # an article's windows are cut within its row, so that no row holds the words of the whole article beside a window
+    parts = F.element_at(F.transform(F.array(X.words(F.col("text"))), cut), 1)
+    few = [F.col("first"), *map(F.col, ("source_filename", "section", "article_seq", "article_number", "parent_article", "heading", "page")), label.alias("page_label")]
+    each = w.select(*few, parts.alias("parts")).select("*", F.explode("parts").alias("part")).drop("parts")
+    each = each.select("source_filename", "section", "part.win", F.struct("first", "article_seq", "article_number", "parent_article", "heading", "page", "page_label", "part.said").alias("x"))
     made = each.groupBy("source_filename", "section", "win").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     head = lambda name: F.element_at("xs", 1)[name].alias(name)
     made = made.select("source_filename", "section", F.col("win").alias("chunk_index"), *(head(n) for n in ("article_seq", "article_number", "parent_article", "heading", "page", "page_label")), F.array_join(F.transform("xs", lambda x: x["said"]), " ").alias("piece"))

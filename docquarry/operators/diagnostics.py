@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST, PREVIEW, SHOWN = 15, 120, 4000
@@ -18,8 +18,9 @@ def corpus_diagnostics(meta: DataFrame, pages: DataFrame, articles: DataFrame, v
     ranked = articles.where("article_seq is not null")
     count = ranked.groupBy("source_filename").agg(F.count("*").alias("n_articles"))
     row = F.struct("article_seq", "article_number", "parent_article", "heading", "page", F.substring("text", 1, PREVIEW).alias("text_preview"))
-    # the smallest records by order only: a bounded list for each document
-    first = ranked.groupBy("source_filename").agg(F.slice(F.array_sort(F.collect_list(row)), 1, FIRST).alias("first_articles"))
+    # cut before it's gathered: a bounded list for each document
+    place = F.row_number().over(Window.partitionBy("source_filename").orderBy("article_seq"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= FIRST).groupBy("source_filename").agg(F.array_sort(F.collect_list(row)).alias("first_articles"))
     out = meta.join(by_page, "source_filename", "left").join(count, "source_filename", "left").join(first, "source_filename", "left")
     if visuals is not None:
         seen = visuals.where(F.size("kinds") > 0).groupBy("source_filename").agg(F.array_sort(F.collect_list(F.struct("page", "kinds"))).alias("likely_visual_pages"))

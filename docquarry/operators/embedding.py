@@ -1,15 +1,17 @@
-"""Embeddings: feature hashing inside the JVM, dense or sparse; a neural encoder behind an import guard."""
+"""Embeddings: feature hashing within a row, dense or sparse; a neural encoder behind an import guard."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions import exprs as X
-
 DIM = 256
 
 
@@ -17,22 +19,49 @@ def hash_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _hashed(token: str) -> tuple[int, int]:
+    """(the first eight md5 bytes as a little-endian number, the sign by the top bit of the eighth)."""
+    raw = hashlib.md5(token.encode()).digest()
+    return int.from_bytes(raw[:8], "little"), 1 if raw[7] >= 128 else -1
+
+
+def _tables(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    """Each row's hashed vector as whole numbers: a hash for each different token of the batch, then one count."""
+    tokens = batch.column("tokens")
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    known = tokens.flatten().dictionary_encode()
+    hashed = [_hashed(x) for x in known.dictionary.to_pylist()]
+    bucket, sign = np.array([h % dim for h, _ in hashed], dtype=np.int64), np.array([s for _, s in hashed], dtype=np.float64)
+    place = known.indices.to_numpy(zero_copy_only=False)
+    flat = np.bincount(row * dim + bucket[place], weights=sign[place], minlength=batch.num_rows * dim) if len(place) else np.zeros(batch.num_rows * dim)
+    return flat.reshape(batch.num_rows, dim)
+
+
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, bucket, value): the non-zero cells of each text's hashed vector, as whole numbers before normalisation.
+    """(key, bucket, value): the non-zero cells of each text's hashed vector, as whole numbers before normalisation.  A row alone decides its cells: no shuffle."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = _tables(batch, dim)
+            row, bucket = np.nonzero(table)
+            columns = [batch.column(key).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(table[row, bucket].astype(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "bucket", "value"])
 
-    Tokens are counted before they are hashed, so a hash is taken once for each different token of a text.
-    """
-    counts = df.select(key, F.explode(hash_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    cells = counts.groupBy(key, X.hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum(F.col("n") * X.hash_sign(F.col("token"))).alias("value"))
-    return cells.where("value <> 0")
+    return df.select(key, hash_tokens(F.col(text)).alias("tokens")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, bucket int, value long")
 
 
 def hash_vectors(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, embedding): unit vectors of dim numbers; texts without a token have the zero vector."""
-    cells = hash_embed(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
-    joined = df.select(key).join(cells, key, "left")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0)).cast("double"))
-    return joined.select(key, X.l2_normalize(raw).alias("embedding"))
+    """(key, embedding): unit vectors of dim numbers; texts without a token have the zero vector.  No shuffle."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = _tables(batch, dim)
+            length = np.sqrt((table * table).sum(axis=1, keepdims=True))
+            table /= np.where(length == 0, 1.0, length)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, dim), pa.int32()), pa.array(table.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), vectors], names=[key, "embedding"])
+
+    return df.select(key, hash_tokens(F.col(text)).alias("tokens")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
 
 
 def neural_vectors(df: DataFrame, key: str, text: str, model: str = "sentence-transformers/all-MiniLM-L6-v2", batch: int = 32) -> DataFrame:

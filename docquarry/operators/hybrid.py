@@ -28,8 +28,9 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int = 8, alpha: float = ALPHA
     both = v.join(w, [query_key, key], "full_outer")
     score = F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("w", F.lit(0.0)), DIGITS)
     both = both.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.col("v_rank").asc_nulls_last(), "k_rank")) - 1
-    return both.withColumn("rank", rank).where(F.col("rank") < k).select(query_key, key, "score", "similarity", "keyword_score", "rank")
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.col("v_rank").asc_nulls_last(), "k_rank"))
+    both = both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return both.select(query_key, key, "score", "similarity", "keyword_score", (F.col("rank") - 1).alias("rank"))
 
 
 def rerank_identity(candidates: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Okapi BM25 over all chunks: statistics by grouping, scores by a join of query terms with postings."""
+"""Okapi BM25 over all chunks: statistics by grouping, scores chunk by chunk against blocks of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import exprs as X
+from docquarry.operators import topk
 from docquarry.operators.search import metadata_filter
 from docquarry.sources.shared import stash
 
@@ -14,22 +20,24 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 #: What an empty text is indexed as.
 NOTHING = "\u0000"
+#: Cells of a table of chunks by query terms.
+CELLS = 1 << 22
+
 
+def index_tokens(text: Column) -> Column:
+    """A text's tokens; one without a token counts as one token that no query has."""
+    tokens = X.search_tokens(text)
+    return F.when(F.size(tokens) == 0, F.array(F.lit(NOTHING))).otherwise(tokens)
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, doc_len); a text without a token counts as one token that no query has."""
-    tokens = X.search_tokens(F.col(text))
-    tokens = F.when(F.size(tokens) == 0, F.array(F.lit(NOTHING))).otherwise(tokens)
-    # the length is taken below the explode: beside it, it would be taken anew for each token
-    each = chunks.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("doc_len"), "tokens").select(key, "doc_len", F.explode("tokens").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
+def bm25_stats(chunks: DataFrame, text: str = "text", epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
+    """(terms: term, df, idf; corpus: one row n_docs, avgdl, mean_idf).  A negative idf becomes epsilon times the mean of all.
 
-def bm25_stats(post: DataFrame, key: str = "chunk_id", epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
-    """(terms: term, df, idf; corpus: one row n_docs, avgdl, mean_idf).  A negative idf becomes epsilon times the mean of all."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    size = post.agg(F.sum("tf").alias("n_tokens")).crossJoin(post.select(key).distinct().agg(F.count("*").alias("n_docs")))
-    size = size.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
+    A chunk counts once for each of its terms, so only (term, count) is shuffled; the corpus row needs no shuffle at all.
+    """
+    tokens = chunks.select(index_tokens(F.col(text)).alias("tokens"))
+    size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
+    df = stash(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -39,24 +47,43 @@ def bm25_stats(post: DataFrame, key: str = "chunk_id", epsilon: float = EPSILON)
 def bm25_topk(
     chunks: DataFrame, queries: DataFrame, k: int = 8, where: dict | None = None, key: str = "chunk_id", order: tuple[str, ...] = ("chunk_id",), query_key: str = "query_id", query: str = "query", k1: float = K1, b: float = B, epsilon: float = EPSILON
 ) -> DataFrame:
-    """(query_key, key, score, rank from 0): scores over the whole corpus, filtered after scoring; ties, and chunks without a query term
+    """(query_key, key, order columns, score, rank from 0): scores over the whole corpus, filtered after scoring; ties, and chunks without a query term
     (score 0), in the corpus order given by `order`.
 
-    A chunk without a query term can only be in a result among the first k + (chunks of a negative score) of that order, so no more
-    of them are joined.
+    Blocks of queries, as weights of their terms, are broadcast.  A chunk is scored in its own row against all of a block's queries by one
+    product, and each task keeps k chunks for each query, so no pairs of query and chunk are ever rows.
     """
-    post = stash(postings(chunks, key), "postings")
-    terms, corpus = bm25_stats(post, key, epsilon)
+    terms, corpus = bm25_stats(chunks, epsilon=epsilon)
     asked = queries.select(query_key, F.explode(X.search_tokens(F.col(query))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    tf = F.col("tf").cast("double")
-    value = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    hits = asked.join(terms, "term").join(post, "term").crossJoin(F.broadcast(corpus.select("avgdl"))).groupBy(query_key, key).agg(F.sum(value).alias("score"))
-    eligible = chunks.where(metadata_filter(chunks, where)).select(key, *[c for c in order if c != key])
-    hits = hits.join(eligible, key)
-    hits = stash(hits, "hits")
-    below = hits.where("score < 0").groupBy(query_key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    first = eligible.orderBy(*order).limit(k + below)
-    blank = queries.select(query_key).distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    everything = hits.unionByName(blank).groupBy(query_key, *eligible.columns).agg(F.round(F.sum("score"), DIGITS).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), *order)) - 1
-    return everything.withColumn("rank", rank).where(F.col("rank") < k)
+    weights = asked.join(terms, "term").groupBy(query_key).agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("weights"))
+    weights = stash(queries.select(query_key).distinct().join(weights, query_key, "left"), "weights")
+    longest = weights.agg(F.max(F.size("weights"))).first()[0] or 0
+    average = corpus.first()["avgdl"] or 1.0
+
+    def blocks() -> Iterator[tuple[list, tuple]]:
+        for rows in topk.query_blocks(weights, query_key, weight=1 + longest // 1000):
+            found = sorted({x["term"] for r in rows for x in r["weights"] or []})
+            place = {t: i for i, t in enumerate(found)}
+            table = np.zeros((len(found), len(rows)))
+            for i, r in enumerate(rows):
+                for x in r["weights"] or []:
+                    table[place[x["term"]], i] = x["w"]
+            yield [r[query_key] for r in rows], (found, table)
+
+    def scores(batch: pa.RecordBatch, block: tuple) -> np.ndarray:
+        found, table = block
+        tokens = batch.column("tokens")
+        length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(length)), length)
+        term = pc.index_in(tokens.flatten(), value_set=pa.array(found, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        row, term = row[term >= 0], term[term >= 0].astype(np.int64)
+        out = np.zeros((len(length), table.shape[1]))
+        step = max(1, CELLS // max(1, len(found)))
+        for at in range(0, len(length) if len(found) else 0, step):
+            n, mine = min(step, len(length) - at), slice(*np.searchsorted(row, (at, at + step)))
+            tf = np.bincount((row[mine] - at) * len(found) + term[mine], minlength=n * len(found)).reshape(n, len(found)).astype(np.float64)
+            out[at : at + n] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at : at + n, None] / average)) @ table
+        return np.round(out, DIGITS) + 0.0
+
+    eligible = chunks.where(metadata_filter(chunks, where)).select(key, *(c for c in order if c != key), index_tokens(F.col("text")).alias("tokens"))
+    return topk.best(eligible, blocks(), scores, k, queries.schema[query_key], key, order, "score")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.sources.shared import stash
+from docquarry.operators import topk
 
-#: Queries and vectors of a block: a pair of blocks has a few MB of scores.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 #: Digits that scores are rounded to before ranking, so that near-ties have one order everywhere.
 DIGITS = 6
 
@@ -30,34 +26,23 @@ def metadata_filter(df: DataFrame, where: dict | None) -> Column:
     return met
 
 
-def _blocks(df: DataFrame, key: str, embedding: str, size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows of about `size` vectors: (ids, vectors end to end)."""
-    own = stash(df.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("e")), "vectors")
-    part = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-own.count() // size))))
-    rows = own.groupBy(part.alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("x"))
-    return rows.select(F.transform("x", lambda r: r["k"]).alias(names[0]), F.flatten(F.transform("x", lambda r: r["e"])).alias(names[1]))
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict | None = None, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """(query_key, key, similarity, distance, rank from 0): the k nearest of each query; ties by key.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict | None = None, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """(query_key, key, similarity, distance, rank from 0): the k nearest of each query; ties by `order`, which is the key unless given.
 
-    Vectors are assumed to be at unit length.  Filters hold before ranking.  Vectors and the stated query set are packed into blocks; each
-    pair of blocks is one row, one matrix product and k rows for each query, so no pairs of vectors are ever rows.
+    Vectors are assumed to be at unit length; those that are null are left out.  Filters hold before ranking.  Blocks of queries are broadcast as one matrix; a batch of
+    vectors is one product with it, and each task keeps k vectors for each query, so no pairs of vectors are ever rows.
     """
-    eligible = _blocks(vectors.where(metadata_filter(vectors, where)), key, embedding, VECTOR_BLOCK, ("ids", "vectors"))
-    asked = _blocks(queries, query_key, embedding, QUERY_BLOCK, ("query_ids", "queries"))
+    asked = queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
+    rows = vectors.where(metadata_filter(vectors, where)).where(F.col(embedding).isNotNull())
+    rows = rows.select(key, *(c for c in order if c != key), F.col(embedding).cast("array<double>").alias("e"))
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ids, vectors, query_ids, queries in zip(frame["ids"], frame["vectors"], frame["query_ids"], frame["queries"], strict=True):
-                keys, asked = np.asarray(ids), np.asarray(query_ids)
-                scores = np.round(np.reshape(queries, (len(asked), -1)) @ np.reshape(vectors, (len(keys), -1)).T, DIGITS)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend in a block, so ties go by id
-                yield pd.DataFrame({query_key: np.repeat(asked, best.shape[1]), key: keys[best].reshape(-1), "similarity": np.take_along_axis(scores, best, axis=1).reshape(-1)})
+    def scores(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+        own = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return np.round(own @ matrix.T, DIGITS) + 0.0
 
-    found = eligible.crossJoin(asked).mapInPandas(of, f"{query_key} long, {key} long, similarity double")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)) - 1
-    return found.withColumn("rank", rank).where(F.col("rank") < k).select(query_key, key, "similarity", F.round(1 - F.col("similarity"), DIGITS).alias("distance"), "rank")
+    blocks = (([r[query_key] for r in block], np.array([r["e"] for r in block])) for block in topk.query_blocks(asked, query_key))
+    found = topk.best(rows, blocks, scores, k, queries.schema[query_key], key, order or (key,), "similarity")
+    return found.select(query_key, key, "similarity", F.round(1 - F.col("similarity"), DIGITS).alias("distance"), "rank")
 
 
 def vector_topk_lsh(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", tables: int = 8, length: float = 2.0) -> DataFrame:
@@ -69,5 +54,4 @@ def vector_topk_lsh(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str
     asked = queries.select(F.col(query_key).cast("long").alias(query_key), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=1).fit(own)
     pairs = model.approxSimilarityJoin(asked, own, 2.0, "d").select(F.col(f"datasetA.{query_key}").alias(query_key), F.col(f"datasetB.{key}").alias(key), F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)) - 1
-    return pairs.withColumn("rank", rank).where(F.col("rank") < k)
+    return topk.ranked(pairs, query_key, "similarity", k, (key,))
