@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
+import os
 import sys
+from collections.abc import Iterator
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.operators import generation
+from docquarry.operators.diagnostics import markdown_report, render_trace
 from docquarry.plans import engine, registry
 from docquarry.sources import corpus, pdf
+from docquarry.sources.shared import stash
 
 log = logging.getLogger("docquarry")
 
@@ -33,22 +40,48 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--force", action="store_true")
         if name == "ask":
             p.add_argument("question")
-            p.add_argument("--section")
+            p.add_argument("--section", type=section)
+            p.add_argument("--trace", help="folder for the trace as JSON")
         if name == "evaluate":
             p.add_argument("--dataset", required=True)
+            p.add_argument("--generate", action="store_true")
+        if name in ("ask", "evaluate"):
+            p.add_argument("--generator", choices=("none", "stub", "anthropic"), default="none")
+            p.add_argument("--model", default="")
+        if name in ("diagnose", "evaluate"):
+            p.add_argument("--out", default=name, help="folder for the reports")
     return top
 
 
+def section(value: str) -> str:
+    if value.upper() not in tuple("ABCDEF"):
+        raise argparse.ArgumentTypeError(f"{value!r} is no section: A to F")
+    return value.upper()
+
+
+def generator(args: argparse.Namespace):
+    """What makes the generator in each task, or None."""
+    if args.generator == "stub":
+        return generation.StubGenerator
+    if args.generator == "anthropic":
+        key, model = os.environ.get("ANTHROPIC_API_KEY"), args.model
+        generation.anthropic_generator(model, key)  # fails here rather than in a task
+        return lambda: generation.anthropic_generator(model, key)
+    return None
+
+
 def settings(args: argparse.Namespace) -> engine.Settings:
     given = {k: getattr(args, k, None) for k in ("chunker", "embedder", "retriever", "reranker")}
     return replace(engine.Settings.from_environment(), **{k: v for k, v in given.items() if v})
 
 
 def pages_of(spark: SparkSession, folder: str):
-    corpus.list_corpus(spark, folder)
+    """(pages, corpus hash); a file of an unknown section is an error."""
+    files = corpus.list_corpus(spark, folder)
     pages = pdf.read_pages(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder))
     first = pages.where("page = 1").select("source_filename", corpus.detect_section(F.col("source_filename"), F.col("raw_text")).alias("section"))
-    return pages.join(first, "source_filename")
+    corpus.check_sections(first)
+    return pages.join(first, "source_filename"), corpus.corpus_hash(files).first()[0]
 
 
 def run(args: argparse.Namespace) -> int:
@@ -58,22 +91,43 @@ def run(args: argparse.Namespace) -> int:
         return 0
     spark, own = SparkSession.builder.getOrCreate(), settings(args)
     if args.command == "ingest":
-        print("written" if engine.ingest(spark, engine.build_chunks(pages_of(spark, args.corpus), own), args.index, own, args.force) else "up to date")
+        pages, named = pages_of(spark, args.corpus)
+        print("written" if engine.ingest(spark, engine.build_chunks(pages, own), args.index, own, args.force, named) else "up to date")
     elif args.command == "diagnose":
-        pages_of(spark, args.corpus).groupBy("source_filename", "section").count().show(truncate=False)
+        report(engine.diagnose(pages_of(spark, args.corpus)[0]), args.out)
+        print(args.out)
     elif args.command == "ask":
-        chunks, _, _ = corpus.load_index(spark, args.index)
-        where = {"section": args.section.upper()} if args.section else None
+        chunks, vectors, _ = engine.load(spark, args.index, own)
+        where = {"section": args.section} if args.section else None
         asked = spark.createDataFrame([(0, args.question)], "query_id long, query string")
-        for row in engine.answer_batch(chunks, asked, own, args.k, where).collect():  # one question
-            print(row["text"])
+        trace = stash(engine.ask(chunks, asked, own, args.k, where, vectors, generator(args)), "trace")
+        if args.trace:
+            corpus.write_jsonl(trace, args.trace)
+        for row in trace.collect():  # one question
+            print(render_trace(row.asDict(recursive=True)))
     else:
-        chunks, _, _ = corpus.load_index(spark, args.index)
-        cases = spark.read.option("multiLine", True).json(args.dataset).select(F.explode("cases").alias("c")).select(F.col("c.id").alias("case_id"), "c.question", "c.answerable", "c.expected_articles", "c.expected_answer_terms")
-        engine.evaluate(chunks, cases, own, args.k).show(truncate=False)
+        chunks, vectors, held = engine.load(spark, args.index, own)
+        make = generator(args) if args.generate else None
+        summary, at = engine.save_run(chunks, corpus.load_cases(spark, args.dataset), own, args.out, args.k, vectors, make, held["corpus_hash"])
+        summary.show(truncate=False)
+        print(at)
     return 0
 
 
+def report(found: DataFrame, out: str) -> None:
+    """Diagnostics as JSON lines, and as Markdown in a folder for each document."""
+    held = stash(found, "diagnostics")
+    corpus.write_jsonl(held, f"{out}/json")
+    schema = "source_filename string, markdown string"
+    pages = held.select("source_filename", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).mapInPandas(_markdown, schema)
+    pages.repartition("source_filename").write.mode("overwrite").partitionBy("source_filename").text(f"{out}/markdown", lineSep="\n")
+
+
+def _markdown(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"source_filename": frame["source_filename"], "markdown": [markdown_report(json.loads(x)) for x in frame["row"]]})
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=args.log_level.upper(), stream=sys.stderr)

@@ -37,11 +37,16 @@ def corpus_diagnostics(meta: DataFrame, pages: DataFrame, articles: DataFrame, v
     return out.withColumn("warnings", warn)
 
 
-def query_trace(queries: DataFrame, candidates: DataFrame, contexts: DataFrame, config: dict[str, str], query_key: str = "query_id") -> DataFrame:
-    """A nested row per query: the query, its candidates with previews and whether selected, the context and the configuration."""
-    row = F.struct("rank", "chunk_id", "score", F.substring("text", 1, 200).alias("text_preview"))
+def query_trace(queries: DataFrame, candidates: DataFrame, contexts: DataFrame, config: dict[str, str], answers: DataFrame | None = None, query_key: str = "query_id") -> DataFrame:
+    """A nested row per query: the query, its candidates with previews and whether selected, the context and the configuration.
+
+    answers: query_key, prompt_version, prompt, answer, unanswerable, citations, where there are any.
+    """
+    row = F.struct("rank", "chunk_id", "article_number", "score", F.substring("text", 1, 200).alias("text_preview"))
     found = candidates.groupBy(query_key).agg(F.array_sort(F.collect_list(row)).alias("candidates"))
     joined = queries.join(found, query_key, "left").join(contexts.select(query_key, "selected", "discarded", F.col("text").alias("context"), "token_estimate"), query_key, "left")
+    if answers is not None:
+        joined = joined.join(answers, query_key, "left")
     settings = F.create_map(*(F.lit(str(x)) for pair in sorted(config.items()) for x in pair))
     marked = F.transform("candidates", lambda c: c.withField("selected", F.exists("selected", lambda s: s["chunk_id"] == c["chunk_id"])))
     return joined.withColumn("candidates", marked).withColumn("config", settings)
@@ -51,7 +56,10 @@ def render_trace(row: dict) -> str:
     """A trace row as text."""
     lines = [f"query  {row.get('query')}", f"config {row.get('config')}", ""]
     lines += [f"{c['rank']:>3} {'*' if c['selected'] else ' '} {c['score']:>10.4f} {c['chunk_id']}  {c['text_preview'][:60]}" for c in row.get("candidates") or []]
-    return "\n".join([*lines, "", (row.get("context") or "")[:SHOWN]])
+    lines += ["", (row.get("context") or "")[:SHOWN]]
+    if row.get("answer"):
+        lines += ["", f"answer ({row.get('prompt_version')})", row["answer"], "", *(f"cites  {c['label']}  {c['chunk_id']}" for c in row.get("citations") or [])]
+    return "\n".join(lines)
 
 
 def markdown_report(row: dict) -> str:

@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docquarry.functions.exprs import UNANSWERABLE
 
@@ -37,7 +38,7 @@ def with_prompts(contexts: DataFrame, question: str = "query", context: str = "t
 
 def generate(contexts: DataFrame, make: Callable[[], Generator], version: str = "v1") -> DataFrame:
     """contexts with `answer`; rows without context have none.  `make` builds the generator once in each task."""
-    schema = contexts.schema.add("answer", "string")
+    schema = StructType([*contexts.schema, StructField("answer", StringType())])
 
     def of(frames):
         generator = make()

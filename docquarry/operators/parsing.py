@@ -9,14 +9,16 @@ from docquarry.functions import exprs as X
 
 
 def line_stream(pages: DataFrame, text: str = "text") -> DataFrame:
-    """(source_filename, section, seq, line, page) of the non-contents pages; seq counts the lines of a document from 1."""
-    kept = pages.where(~F.coalesce(F.col("is_toc"), F.lit(False))).select("source_filename", "section", "page", F.posexplode(X.lines(F.col(text))).alias("pos", "line"))
+    """(source_filename, section, seq, line, page) of the non-contents pages, and their page_label where there is one; seq counts the lines of a document from 1."""
+    label = [c for c in pages.columns if c == "page_label"]
+    kept = pages.where(~F.coalesce(F.col("is_toc"), F.lit(False))).select("source_filename", "section", "page", *label, F.posexplode(X.lines(F.col(text))).alias("pos", "line"))
     seq = F.row_number().over(Window.partitionBy("source_filename").orderBy("page", "pos"))
-    return kept.select("source_filename", "section", seq.alias("seq"), "line", "page")
+    return kept.select("source_filename", "section", seq.alias("seq"), "line", "page", *label)
 
 
 def parse_articles(stream: DataFrame) -> DataFrame:
-    """(source_filename, section, article_seq, article_number, parent_article, heading, text, page) from line_stream().
+    """(source_filename, section, article_seq, article_number, parent_article, heading, text, page) from line_stream(), with the page_label of
+    an article's first page where the lines have it.
 
     A number takes the next line, whatever it is: as its heading if it reads like one, else as the first line of its text.  An ARTICLE line
     without a heading takes a heading-like next line.  Whether a line may take its successor depends on the two alone; in a run of such
@@ -44,10 +46,11 @@ def parse_articles(stream: DataFrame) -> DataFrame:
     number = F.coalesce(X.extract(F.col("line"), X.ARTICLE_INLINE), X.extract(F.col("line"), X.BARE_NUMBER))
     first = lambda c: F.max(F.when(F.col("starts"), c))
     heading = F.when((F.col("kind") == "number") & ~F.col("next_heads"), F.col("last_title")).otherwise(F.col("title"))
+    label = [first(F.col(c)).alias(c) for c in s.columns if c == "page_label"]
     made = s.groupBy("source_filename", "section", "record").agg(
-        first(number).alias("article_number"), first(heading).alias("heading"), first(F.col("page")).alias("page"),
+        *label, first(number).alias("article_number"), first(heading).alias("heading"), first(F.col("page")).alias("page"),
         F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("seq", "said")))).alias("said"),
     )
     text = X.strip(F.array_join(F.transform("said", lambda x: x["said"]), "\n"))
     made = made.withColumn("text", text).where((F.col("text") != "") | (F.coalesce("heading", F.lit("")) != ""))
-    return made.select("source_filename", "section", F.col("record").cast("int").alias("article_seq"), "article_number", X.parent_of(F.col("article_number")).alias("parent_article"), "heading", "text", "page")
+    return made.select("source_filename", "section", F.col("record").cast("int").alias("article_seq"), "article_number", X.parent_of(F.col("article_number")).alias("parent_article"), "heading", "text", "page", *(c for c in made.columns if c == "page_label"))

@@ -37,3 +37,18 @@ def kinds(image: Column, paths: Column, table: Column, equation: Column) -> Colu
     drawn = paths >= DRAWING_PATHS
     pairs = (("image", image), ("diagram", drawn), ("drawing", drawn), ("table", table), ("equation", equation))
     return F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in pairs)))
+
+
+def visual_pages(pages: DataFrame) -> DataFrame:
+    """(source_filename, page, kinds) of pages (source_filename, page, raw_text, blocks; width and height, areas of images and paths of drawings where there are any)."""
+    has = set(pages.columns)
+    wide = {"x0", "y0"} <= set(pages.schema["blocks"].dataType.elementType.names)
+    areas = F.coalesce("areas", F.array().cast("array<double>")) if "areas" in has else F.array().cast("array<double>")
+    paths = F.coalesce("paths", F.lit(0)) if "paths" in has else F.lit(0)
+    size = F.col("width") * F.col("height") if {"width", "height"} <= has else F.lit(0.0)
+    own = pages.select("source_filename", "page", has_image(areas, size).alias("image"), paths.alias("paths"), has_equation(F.col("raw_text")).alias("equation"))
+    if wide:
+        tables = table_pages(pages.select("source_filename", "page", F.explode("blocks").alias("b")).select("source_filename", "page", "b.x0", "b.y0"))
+        own = own.join(tables, ["source_filename", "page"], "left")
+    table = F.coalesce("has_table", F.lit(False)) if wide else F.lit(False)
+    return own.select("source_filename", "page", kinds(F.col("image"), F.col("paths"), table, F.col("equation")).alias("kinds"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import exprs as X
-from docquarry.operators import cleanup, embedding, hybrid, keyword, parsing, search
-from docquarry.operators.context import pack_context
+from docquarry.operators import cleanup, generation, hybrid, keyword, parsing, search, visuals
+from docquarry.operators.context import extract_citations, unanswerable
+from docquarry.operators.diagnostics import corpus_diagnostics, query_trace
 from docquarry.operators.evaluation import metric_summary
 from docquarry.plans import registry
 from docquarry.sources import corpus
+from docquarry.sources.shared import stash
 
 
 @dataclass(frozen=True)
@@ -37,6 +43,16 @@ class Settings:
         return cls(**{k: kind(os.environ[f"DOCQUARRY_{k.upper()}"]) for k, kind in kinds.items() if f"DOCQUARRY_{k.upper()}" in os.environ})
 
 
+    def index_config(self, corpus_hash: str | None = None) -> dict:
+        """What an index depends on."""
+        return {k: getattr(self, k) for k in ("chunker", "embedder", "dim", "chunk_tokens", "overlap_tokens")} | {"corpus_hash": corpus_hash}
+
+
+#: Retrievers that need vectors.
+WITH_VECTORS = ("vector", "hybrid")
+ORDER = ("source_filename", "article_seq", "chunk_index", "chunk_id")
+
+
 def build_chunks(pages: DataFrame, settings: Settings, min_fraction: float = 0.5) -> DataFrame:
     """Chunks of raw pages (source_filename, section, page, raw_text, height, blocks): clean, parse, chunk."""
     clean = cleanup.clean_pages(pages, min_fraction).join(pages.select("source_filename", "page", "section"), ["source_filename", "page"])
@@ -44,55 +60,130 @@ def build_chunks(pages: DataFrame, settings: Settings, min_fraction: float = 0.5
     return registry.CHUNKERS.get(settings.chunker)(articles, settings.chunk_tokens, settings.overlap_tokens)
 
 
-def ingest(spark: SparkSession, chunks: DataFrame, path: str, settings: Settings, force: bool = False) -> bool:
-    """Writes the index unless one of the same configuration is there; whether it wrote."""
-    config = asdict(settings)
+def ingest(spark: SparkSession, chunks: DataFrame, path: str, settings: Settings, force: bool = False, corpus_hash: str | None = None) -> bool:
+    """Writes the index unless one of the same corpus and configuration is there; whether it wrote."""
+    config = settings.index_config(corpus_hash)
     if not force and corpus.is_current(spark, path, config):
         return False
-    vectors = registry.EMBEDDERS.get(settings.embedder)(chunks, "chunk_id", "text", settings.dim)
-    corpus.save_index(chunks, vectors, path, config)
+    held = stash(chunks, "chunks")
+    corpus.save_index(held, registry.EMBEDDERS.get(settings.embedder)(held, "chunk_id", "text", settings.dim), path, config)
     return True
 
 
-def _vector(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int, where: dict | None) -> DataFrame:
-    """Chunk ids are hashed to numbers for the search and joined back; a collision would show as two ids for a number."""
-    named = chunks.withColumn("vec_id", F.xxhash64("chunk_id"))
-    asked = embedding.hash_vectors(queries.select("query_id", "query"), "query_id", "query", settings.dim)
-    vectors = named.join(embedding.hash_vectors(chunks, "chunk_id", "text", settings.dim), "chunk_id")
-    found = search.vector_topk(vectors, asked, k, where)
-    return found.join(named.select("vec_id", "chunk_id"), "vec_id").select("query_id", "chunk_id", "similarity", F.col("similarity").alias("score"), "rank")
+def load(spark: SparkSession, path: str, settings: Settings) -> tuple[DataFrame, DataFrame, dict]:
+    """(chunks, vectors, configuration) of the index; one that was embedded otherwise than the settings say is an error."""
+    chunks, vectors, held = corpus.load_index(spark, path)
+    for name in ("embedder", "dim"):
+        if held[name] != getattr(settings, name):
+            raise ValueError(f"the index has {name} {held[name]}, not {getattr(settings, name)}")
+    return chunks, vectors, held
+
+
+def _vector(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int, where: dict | None, vectors: DataFrame | None) -> DataFrame:
+    """Stored vectors if given, else those of the settings' embedder; equal similarities in corpus order."""
+    embed = registry.EMBEDDERS.get(settings.embedder)
+    asked = embed(queries.select("query_id", "query"), "query_id", "query", settings.dim)
+    held = chunks.join(embed(chunks, "chunk_id", "text", settings.dim) if vectors is None else vectors, "chunk_id")
+    found = search.vector_topk(held, asked, k, where, key="chunk_id", order=ORDER)
+    return found.select("query_id", "chunk_id", "similarity", F.col("similarity").alias("score"), "rank")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int = 0, where: dict | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for queries (query_id, query); k = 0 is the default k."""
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int = 0, where: dict | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for queries (query_id, query); k = 0 is the default k; vectors: (chunk_id, embedding) of the index."""
     k = k or settings.top_k
     queries = queries.withColumn("query", X.squeeze(F.col("query")))
-    order = ("source_filename", "article_seq", "chunk_index", "chunk_id")
     if settings.retriever == "bm25":
-        got = keyword.bm25_topk(chunks, queries, k, where, order=order)
+        got = keyword.bm25_topk(chunks, queries, k, where, order=ORDER)
     elif settings.retriever == "vector":
-        got = _vector(chunks, queries, settings, k, where)
+        got = _vector(chunks, queries, settings, k, where, vectors)
     elif settings.retriever == "hybrid":
         pool = settings.pool * k
-        got = hybrid.fuse(_vector(chunks, queries, settings, pool, where), keyword.bm25_topk(chunks, queries, pool, where, order=order), k, settings.alpha)
+        got = hybrid.fuse(_vector(chunks, queries, settings, pool, where, vectors), keyword.bm25_topk(chunks, queries, pool, where, order=ORDER), k, settings.alpha)
     else:
         registry.RETRIEVERS.get(settings.retriever)
         raise ValueError(f"{settings.retriever} can't be used here")
     return registry.RERANKERS.get(settings.reranker)(got)
 
 
-def answer_batch(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int = 0, where: dict | None = None) -> DataFrame:
-    """(query_id, query, selected, discarded, text, token_estimate): packed contexts of all queries at once."""
-    found = retrieve(chunks, queries, settings, k, where).select("query_id", "chunk_id", "rank")
-    return queries.join(pack_context(found.join(chunks, "chunk_id"), settings.context_tokens), "query_id")
+EMPTY_CONTEXT = {
+    "selected": "array<struct<chunk_id:string,label:string,tokens:int>>", "discarded": "array<struct<chunk_id:string,label:string,reason:string>>",
+}
+
+
+def answer_batch(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int = 0, where: dict | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, query, selected, discarded, text, token_estimate): packed contexts of all queries at once; empty ones where nothing was found."""
+    found = retrieve(chunks, queries, settings, k, where, vectors).select("query_id", "chunk_id", "rank")
+    return _contexts(queries, found.join(chunks, "chunk_id"), settings)
+
+
+def _contexts(queries: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    packed = queries.join(registry.PACKERS.get("greedy")(found, settings.context_tokens), "query_id", "left")
+    empty = {c: F.coalesce(c, F.array().cast(kind)) for c, kind in EMPTY_CONTEXT.items()}
+    return packed.withColumns(empty | {"text": F.coalesce("text", F.lit("")), "token_estimate": F.coalesce("token_estimate", F.lit(0))})
+
 
+def ask(chunks: DataFrame, queries: DataFrame, settings: Settings, k: int = 0, where: dict | None = None, vectors: DataFrame | None = None, make: Callable[[], generation.Generator] | None = None, version: str = "v1") -> DataFrame:
+    """A trace row per query (query_id, query): candidates, context and, where `make` gives a generator, prompt, answer and citations.
 
-def evaluate(chunks: DataFrame, cases: DataFrame, settings: Settings, k: int = 0) -> DataFrame:
-    """metric_summary() of retrieval over cases (case_id, question, answerable, expected_articles, expected_answer_terms)."""
+    Each step is written once, as later ones read it several times and an answer must not be generated anew.
+    """
+    found = retrieve(chunks, queries, settings, k, where, vectors).select("query_id", "chunk_id", "score", "rank")
+    found = stash(found.join(chunks, "chunk_id"), "candidates")
+    contexts = stash(_contexts(queries, found, settings), "contexts")
+    answers = None
+    if make is not None:
+        said = stash(generation.generate(generation.with_prompts(contexts.select("query_id", "query", "text"), version=version), make, version).select("query_id", "prompt", "answer"), "answers")
+        held = contexts.select("query_id", F.explode("selected.chunk_id").alias("chunk_id")).join(found, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "label", "article_number", "rank")
+        cited = extract_citations(said, held).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "label", "article_number"))).alias("citations"))
+        none = F.array().cast("array<struct<rank:int,chunk_id:string,label:string,article_number:string>>")
+        answers = said.join(cited, "query_id", "left").withColumns({"prompt_version": F.lit(version), "unanswerable": unanswerable(F.col("answer")), "citations": F.coalesce("citations", none)})
+    config = {"retriever": settings.retriever, "reranker": settings.reranker, "embedder": settings.embedder, "dim": settings.dim, "k": k or settings.top_k, "where": json.dumps(where or {}), "context_tokens": settings.context_tokens}
+    return query_trace(queries, found, contexts, config, answers)
+
+
+def diagnose(pages: DataFrame, min_fraction: float = 0.5) -> DataFrame:
+    """corpus_diagnostics() of raw pages (source_filename, section, page, raw_text, height, blocks; areas, paths and width where there are any)."""
+    clean = cleanup.clean_pages(pages, min_fraction).join(pages.select("source_filename", "page", "section"), ["source_filename", "page"])
+    clean = stash(clean, "clean")
+    articles = parsing.parse_articles(parsing.line_stream(clean))
+    first = pages.where("page = 1")
+    meta = first.select("source_filename", *(c.alias(name) for name, c in corpus.front_matter(F.col("raw_text")).items()))
+    return corpus_diagnostics(meta, clean, articles, visuals.visual_pages(pages))
+
+
+def case_results(chunks: DataFrame, cases: DataFrame, settings: Settings, k: int = 0, vectors: DataFrame | None = None, make: Callable[[], generation.Generator] | None = None) -> DataFrame:
+    """The cases with retrieved_articles, context_articles, citation_articles, answer_text and is_unanswerable."""
     queries = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("query"))
-    found = retrieve(chunks, queries, settings, k).join(chunks.select("chunk_id", "article_number"), "chunk_id")
-    lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_number"))), lambda x: x["article_number"]).alias("retrieved_articles"))
     none = F.array().cast("array<string>")
-    full = cases.join(lists.withColumnRenamed("query_id", "case_id"), "case_id", "left").withColumn("retrieved_articles", F.coalesce("retrieved_articles", none))
-    full = full.withColumns({"context_articles": F.col("retrieved_articles"), "citation_articles": none, "answer_text": F.lit(None).cast("string"), "is_unanswerable": F.lit(False)})
+    if make is None:
+        found = retrieve(chunks, queries, settings, k, vectors=vectors).join(chunks.select("chunk_id", "article_number"), "chunk_id")
+        lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_number"))), lambda x: x["article_number"]).alias("retrieved_articles"))
+        full = cases.join(lists.withColumnRenamed("query_id", "case_id"), "case_id", "left").withColumn("retrieved_articles", F.coalesce("retrieved_articles", none))
+        return full.withColumns({"context_articles": F.col("retrieved_articles"), "citation_articles": none, "answer_text": F.lit(None).cast("string"), "is_unanswerable": F.lit(False)})
+    trace = ask(chunks, queries, settings, k, vectors=vectors, make=make)
+    numbers = lambda xs: F.transform(xs, lambda c: c["article_number"])
+    got = trace.select(
+        F.col("query_id").alias("case_id"), F.coalesce(numbers("candidates"), none).alias("retrieved_articles"), F.coalesce(numbers(F.filter("candidates", lambda c: c["selected"])), none).alias("context_articles"),
+        F.coalesce(numbers("citations"), none).alias("citation_articles"), F.col("answer").alias("answer_text"), F.coalesce("unanswerable", F.lit(False)).alias("is_unanswerable"),
+    )
+    return cases.join(got, "case_id")
+
+
+def evaluate(chunks: DataFrame, cases: DataFrame, settings: Settings, k: int = 0, vectors: DataFrame | None = None, make: Callable[[], generation.Generator] | None = None) -> DataFrame:
+    """metric_summary() over cases (case_id, question, answerable, expected_articles, expected_answer_terms)."""
+    full = case_results(chunks, cases, settings, k, vectors, make)
     return metric_summary(full, k or settings.top_k).withColumn("config", F.lit(str(sorted(asdict(settings).items()))))
+
+
+def save_run(chunks: DataFrame, cases: DataFrame, settings: Settings, path: str, k: int = 0, vectors: DataFrame | None = None, make: Callable[[], generation.Generator] | None = None, corpus_hash: str | None = None) -> tuple[DataFrame, str]:
+    """(summary row, folder): an evaluation whose record (time, settings, corpus, metrics) and results by case are written as JSON lines."""
+    spark, at = chunks.sparkSession, f"{path}/{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
+    corpus.write_jsonl(case_results(chunks, cases, settings, k, vectors, make), f"{at}/cases")
+    full = corpus.read_jsonl(spark, f"{at}/cases", RESULTS)
+    summary = metric_summary(full, k or settings.top_k)
+    about = {"timestamp": datetime.now(UTC).isoformat(), "corpus_hash": corpus_hash, "config": json.dumps(asdict(settings) | {"k": k or settings.top_k}), "prompt_version": "v1" if make else None}
+    corpus.write_jsonl(summary.select(*(F.lit(v).cast("string").alias(c) for c, v in about.items()), F.struct(*summary.columns).alias("metrics")), f"{at}/record")
+    return summary, at
+
+
+RESULTS = corpus.CASES + ", retrieved_articles array<string>, context_articles array<string>, citation_articles array<string>, answer_text string, is_unanswerable boolean"

@@ -171,6 +171,16 @@ def _vec(k: int) -> str:
     return f"{_VEC}, vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) - 1 AS rank FROM vf QUALIFY rank < {k})"
 
 
+O["evaluate_run"] = f"""WITH {_BM},
+bf AS (SELECT query_id, vec_id, vec_id // 1048576 AS doc_id, round(coalesce(s, 0), 6) AS score FROM qs CROSS JOIN tk LEFT JOIN hs USING (query_id, vec_id)),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'doc-' || doc_id, vec_id) - 1 AS rank FROM bf QUALIFY rank < 8),
+g AS (SELECT DISTINCT query_id, doc_id FROM qs JOIN (SELECT doc_id, {_SQUEEZE.format('text')} AS body FROM documents) ON query <> '' AND contains(body, query)),
+e AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+h AS (SELECT query_id, count(DISTINCT doc_id) AS found, min(rank) AS top FROM g JOIN br USING (query_id, doc_id) GROUP BY 1),
+a AS (SELECT e.n IS NOT NULL AS held, coalesce(found, 0)::DOUBLE / n AS recall, coalesce(1::DOUBLE / (top + 1), 0) AS rr, CASE WHEN top IS NULL THEN 0 ELSE 1 END AS hit FROM qs LEFT JOIN e USING (query_id) LEFT JOIN h USING (query_id))
+SELECT count(*) AS n_cases, count(*) FILTER (held) AS n_answerable, round(coalesce(avg(recall) FILTER (held), 0), 4) AS recall_at_k, round(coalesce(avg(rr) FILTER (held), 0), 4) AS mrr,
+  round(coalesce(avg(hit) FILTER (held), 0), 4) AS article_hit_rate, 0::DOUBLE AS citation_accuracy, 0::DOUBLE AS unsupported_claim_rate, round(coalesce(avg(CASE WHEN held THEN 1 ELSE 0 END), 0), 4) AS unanswerable_handling,
+  0::DOUBLE AS answer_term_coverage, 8 AS k FROM a"""
 O["bm25_stats"] = f"WITH {_BM} SELECT CASE WHEN term = chr(1) THEN chr(0) ELSE term END AS term, df, round(idf, 6) AS idf, n_docs, round(avgdl, 4) AS avgdl FROM tm, sz"
 O["retrieve_bm25"] = f"WITH {_bm25(8)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"
 O["retrieve_bm25_filtered"] = f"WITH {_bm25(8, 'tk.lang = ' + chr(39) + 'fr' + chr(39))} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"
@@ -185,7 +195,7 @@ O["min_max"] = """SELECT o_custkey, o_orderkey, round(CASE WHEN max(o_totalprice
 FROM orders WINDOW w AS (PARTITION BY o_custkey)"""
 O["rerank_identity"] = "SELECT o_orderkey, o_totalprice AS score, o_totalprice AS rerank_score FROM orders"
 O["dedup_key"] = f"SELECT doc_id, {_SQUEEZE.format('lower(text)')}[1:160] AS dedup_key FROM documents"
-O["pack_context"] = f"""WITH RECURSIVE {_bm25(8)},
+_PACKED = f"""{_bm25(8)},
 c AS (SELECT br.query_id, br.rank, substr(sha1('doc-' || doc_id || '|A' || doc_id || '|' || chunk_index), 1, 16) AS chunk_id, {_SQUEEZE.format('lower(text)')}[1:160] AS key, {_EST.format(_WORDS.format('text'))} AS tokens
       FROM br JOIN ch ON br.vec_id = ch.doc_id * 1048576 + ch.chunk_index),
 s AS (SELECT query_id, CAST(-1 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS VARCHAR) AS fate FROM qs
@@ -193,12 +203,15 @@ s AS (SELECT query_id, CAST(-1 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, CA
   SELECT query_id, rank, CASE WHEN fate = 'selected' THEN used + tokens ELSE used END, CASE WHEN fate = 'selected' THEN list_append(keys, key) ELSE keys END, chunk_id, fate FROM (
     SELECT s.query_id, c.rank, s.used, s.keys, c.key, c.tokens, c.chunk_id,
       CASE WHEN list_contains(s.keys, c.key) THEN 'duplicate_of_selected' WHEN s.used + c.tokens > 900 AND len(s.keys) > 0 THEN 'budget_exhausted' ELSE 'selected' END AS fate
-    FROM s JOIN c ON s.query_id = c.query_id AND c.rank = s.rank + 1))
-SELECT query_id, chunk_id, fate FROM s WHERE rank >= 0"""
-_AN = """an AS (SELECT conv_id * 7 + turn AS query_id, conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 5 = 0 THEN 'UNANSWERABLE ' || text
+    FROM s JOIN c ON s.query_id = c.query_id AND c.rank = s.rank + 1))"""
+O["pack_context"] = f"WITH RECURSIVE {_PACKED} SELECT query_id, chunk_id, fate FROM s WHERE rank >= 0"
+O["query_trace"] = f"""WITH RECURSIVE {_PACKED}
+SELECT qs.query_id, any_value(qs.query) AS query, CAST(count(*) AS BIGINT) AS n_candidates, count(*) FILTER (fate = 'selected') AS n_selected, CAST(max(used) AS INT) AS token_estimate
+FROM qs JOIN s ON qs.query_id = s.query_id AND s.rank >= 0 GROUP BY 1"""
+_AN = """an AS (SELECT conv_id * 1048576 + turn AS query_id, conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 5 = 0 THEN 'UNANSWERABLE ' || text
   WHEN (conv_id * 7 + turn) % 5 < 3 THEN text || ' [Art. A' || ((conv_id * 7 + turn) % 9) || ' (Section A, pdf p.1)] [Art. A' || ((conv_id * 7 + turn) % 4) || '.2 (Section A, pdf p.1)]' ELSE text END AS answer FROM conversations)"""
 O["unanswerable_flag"] = f"WITH {_AN} SELECT conv_id, turn, starts_with(answer, 'UNANSWERABLE') AS unanswerable FROM an"
-O["extract_citations"] = rf"""WITH {_AN}, a AS (SELECT query_id, min(answer) AS answer FROM an GROUP BY 1),
+O["extract_citations"] = rf"""WITH {_AN}, a AS (SELECT query_id, answer FROM an),
 c AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(answer, '\[Art\.\s+([A-F]\d+(?:\.\d+)*)', 1)) AS n FROM a WHERE NOT starts_with(answer, 'UNANSWERABLE')),
 o AS (SELECT query_id, i AS chunk_id, 'A' || i || CASE WHEN i > 4 THEN '' ELSE '.2' END AS article_number FROM a, generate_series(0, 8) g(i))
 SELECT o.query_id, o.chunk_id, o.article_number FROM o JOIN c ON o.query_id = c.query_id AND o.article_number = c.n"""

@@ -35,7 +35,7 @@ try:
 except ImportError:
     pass
 else:
-    EMBEDDERS.register("minilm", embedding.neural_vectors)
+    EMBEDDERS.register("minilm", lambda df, key, text, dim: embedding.neural_vectors(df, key, text))
 INDEXES.register("exact", search.vector_topk)
 INDEXES.register("lsh", search.vector_topk_lsh)
 RETRIEVERS.register("vector", search.vector_topk)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,26 +57,71 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def check_sections(found: DataFrame) -> None:
+    """found: (source_filename, section); a file whose section neither its name nor its first page tells is an error."""
+    lost = [r[0] for r in found.where("section is null").select("source_filename").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no section in {', '.join(lost)}")
+
+
 def save_index(chunks: DataFrame, vectors: DataFrame, path: str, config: dict) -> None:
-    """Parquet tables chunks and vectors, and a manifest of the whole configuration.  As many vectors as chunks, else an error."""
-    n, m = chunks.count(), vectors.count()
+    """Parquet tables chunks and vectors in a folder of their own, then one more manifest row that names it.  As many vectors as chunks, else an error.
+
+    Readers follow the last manifest row, so a write that fails leaves the index before it as it was.
+    """
+    spark, at = chunks.sparkSession, uuid.uuid4().hex
+    chunks.write.parquet(f"{path}/{at}/chunks")
+    vectors.write.parquet(f"{path}/{at}/vectors")
+    n, m = (spark.read.parquet(f"{path}/{at}/{x}").count() for x in ("chunks", "vectors"))
     if n != m:
         raise ValueError(f"{n} chunks and {m} vectors")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    spark = chunks.sparkSession
-    spark.createDataFrame([(json.dumps(config | {"n_chunks": n}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    made = {"config": config, "n_chunks": n, "at": at, "number": (_manifest(spark, path) or {"number": 0})["number"] + 1}
+    spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    try:
+        rows = spark.read.text(f"{path}/manifest").collect()  # a row per save
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return max((json.loads(r[0]) for r in rows), key=lambda x: x["number"])
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    """(chunks, vectors, the configuration with n_chunks); no index is an error."""
+    held = _manifest(spark, path)
+    if held is None:
+        raise ValueError(f"no index in {path}")
+    return spark.read.parquet(f"{path}/{held['at']}/chunks"), spark.read.parquet(f"{path}/{held['at']}/vectors"), held["config"] | {"n_chunks": held["n_chunks"]}
 
 
 def is_current(spark: SparkSession, path: str, config: dict) -> bool:
     """Whether an index with exactly this configuration is there."""
-    try:
-        held = load_index(spark, path)[2]
-    except Exception:  # noqa: BLE001  no index yet
-        return False
-    held.pop("n_chunks", None)
-    return held == json.loads(json.dumps(config))
+    held = _manifest(spark, path)
+    return held is not None and held["config"] == json.loads(json.dumps(config))
+
+
+CASES = "case_id string, question string, expected_articles array<string>, expected_answer_terms array<string>, answerable boolean, notes string"
+
+
+def save_cases(cases: DataFrame, path: str) -> None:
+    """Evaluation cases as JSON lines."""
+    write_jsonl(cases, path)
+
+
+def load_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases from JSON lines, or from one JSON document with a list `cases` whose ids are `id`; a case without an id or a question is an error."""
+    whole = spark.read.option("multiLine", True).json(path)
+    if "cases" in whole.columns:
+        each = whole.select(F.explode("cases").alias("c")).select("c.*")
+        each = each.withColumnRenamed("id", "case_id") if "id" in each.columns else each
+        defaults = {"expected_articles": F.array().cast("array<string>"), "expected_answer_terms": F.array().cast("array<string>"), "answerable": F.lit(True), "notes": F.lit(None).cast("string")}
+        filled = (F.coalesce(F.col(c), v) if c in each.columns else v for c, v in defaults.items())
+        cases = each.select(F.col("case_id").cast("string").alias("case_id"), "question", *(v.alias(c) for c, v in zip(defaults, filled, strict=True)))
+    else:
+        cases = read_jsonl(spark, path, CASES)
+    if cases.where("case_id is null or question is null").limit(1).count():
+        raise ValueError(f"{path}: a case without an id or a question")
+    return cases

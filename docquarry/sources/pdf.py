@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PAGES = "source_filename string, page int, raw_text string, width double, height double, blocks array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
+PAGES = "source_filename string, page int, raw_text string, width double, height double, blocks array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>, areas array<double>, paths int"
 
 
 def read_pages(files: DataFrame) -> DataFrame:
@@ -24,7 +25,27 @@ def read_pages(files: DataFrame) -> DataFrame:
                 with pymupdf.open(stream=content, filetype="pdf") as pdf:
                     for i, page in enumerate(pdf):
                         blocks = [{"text": b[4].strip(), "x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3]} for b in page.get_text("blocks") if b[4].strip()]
-                        rows.append((path.rpartition("/")[2], i + 1, page.get_text(), page.rect.width, page.rect.height, blocks))
-                yield pd.DataFrame(rows, columns=["source_filename", "page", "raw_text", "width", "height", "blocks"])
+                        areas = [abs(box.width * box.height) for image in page.get_images(full=True) for box in page.get_image_rects(image[0])]
+                        rows.append((path.rpartition("/")[2], i + 1, page.get_text(), page.rect.width, page.rect.height, blocks, areas, len(page.get_drawings())))
+                yield pd.DataFrame(rows, columns=["source_filename", "page", "raw_text", "width", "height", "blocks", "areas", "paths"])
 
     return files.select("path", "content").mapInPandas(of, PAGES)
+
+
+def render_pages(files: DataFrame, pages: DataFrame, dpi: int = 110) -> DataFrame:
+    """(source_filename, page, image): PNG bytes of the stated pages (source_filename, page) of a binaryFile table."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("source_filename"), "content")
+    wanted = pages.groupBy("source_filename").agg(F.collect_set("page").alias("wanted"))
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import pymupdf
+        except ImportError as e:
+            raise RuntimeError("rendering PDF needs PyMuPDF") from e
+        for frame in frames:
+            for name, content, numbers in zip(frame["source_filename"], frame["content"], frame["wanted"], strict=True):
+                with pymupdf.open(stream=content, filetype="pdf") as pdf:
+                    for number in sorted(int(x) for x in numbers):
+                        yield pd.DataFrame([(name, number, pdf[number - 1].get_pixmap(dpi=dpi).tobytes("png"))], columns=["source_filename", "page", "image"])
+
+    return named.join(wanted, "source_filename").mapInPandas(of, "source_filename string, page int, image binary")
