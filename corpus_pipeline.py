@@ -19,7 +19,7 @@ from docquarry.llm.simhash_golay import keep_one_of_each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what op6 calls `und`: documents without a letter, and all where no language was learned."""
+    """Drops what op6 calls `und`: documents without a letter, and all where no language was learned; a null lang becomes the predicted one."""
     return keep_identified(docs, prototypes(docs))
 
 
@@ -53,7 +53,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the language model nor the fingerprints' XXH64; tests/llm hold run() against plain Python.
+#: SQL can express neither the language model nor the fingerprints' XXH64; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -183,7 +183,7 @@ def render(lines: list[list[tuple[int, str]]], path: list[int], opened: bool, cl
 def parse_transcripts(rows: DataFrame, model: Model, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv_id, turn, role_pred, n_lines, n_turns, rendered), a row per row of the transcript.
 
-    A row is a stretch of transcript lines; rows are in the order of turn, then text (nulls first).  role_pred is the role of its last
+    A row is a stretch of transcript lines; rows are in the order of turn (nulls first), then of a hash of the text.  role_pred is the role of its last
     line, n_turns the turns that begin in it; `rendered` drops speaker markers, and a conversation's rendered rows in order are its
     canonical form.  A null text is one empty line; rows with a null conv_id are one conversation; an empty table gives none.
     """

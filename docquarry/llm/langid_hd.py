@@ -8,6 +8,7 @@ the sum of its texts' bundles at unit length.  A document's language is the prot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def ngram_counts(text: str, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Profiler:
-    """Bundles texts; made once for each task."""
+    """Bundles texts."""
 
     def __init__(self) -> None:
         self.symbols = symbol_table()
@@ -86,6 +87,12 @@ class Profiler:
         return bundle / norm if norm else None
 
 
+@lru_cache(maxsize=1)
+def shared_profiler() -> Profiler:
+    """One for each worker process: its table of trigram vectors serves later tasks too."""
+    return Profiler()
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
@@ -93,7 +100,7 @@ def held_out(doc_id: str = "doc_id"):
 def prototypes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from labelled rows that are not held out.
 
-    Of each language about `sample` documents, at most twice as many, chosen by a hash of the id, are read; all of them where
+    Of each language about `sample` documents, chosen by a hash of the id (so the number spreads by its root), are read; all of them where
     there are fewer.  Only one sum of SIZE numbers per language reaches the driver.
     """
     spark = docs.sparkSession
@@ -103,14 +110,13 @@ def prototypes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, sample / n) * 1_000_000))))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n))))
     chosen = rows.where(place < share[F.col("lang")])
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, sums = None, {}
+        profiler, sums = shared_profiler(), {}
         for batch in batches:
-            profiler = profiler or Profiler()
             for body, label in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 unit = profiler.unit(body)
                 if unit is not None:
@@ -139,9 +145,8 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], doc_id: str = "doc_i
     names, matrix = sorted(protos), np.array([protos[k] for k in sorted(protos)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = None
+        profiler = shared_profiler()
         for batch in batches:
-            profiler = profiler or Profiler()
             langs, scores = [], []
             for body in batch.column("text").to_pylist():
                 unit = profiler.unit(body) if names else None
@@ -154,19 +159,22 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], doc_id: str = "doc_i
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(of, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that predict() doesn't call `und`; no join, no shuffle.
+def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, that predict() doesn't call `und`, a null lang filled with the predicted one; no join, no shuffle.
 
-    There is no least cosine: that of unrelated texts spreads by 1 / sqrt(SIZE), so a short clean text can lie below any useful one.
+    Where no language was learned, every document is `und`, so none is left.  There is no least cosine: that of unrelated texts spreads by 1 / sqrt(SIZE), so a short clean text can lie below any useful one.
     """
     arrow_limits(docs.sparkSession)
-    learned = bool(protos)
+    names, matrix = sorted(protos), np.array([protos[k] for k in sorted(protos)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = None
+        profiler = shared_profiler()
         for batch in batches:
-            profiler = profiler or Profiler()
-            yield batch.filter(pa.array([learned and profiler.unit(x) is not None for x in batch.column(text).to_pylist()], pa.bool_()))
+            units = [profiler.unit(x) if names else None for x in batch.column(text).to_pylist()]
+            said = batch.column(lang).to_pylist()
+            filled = [names[int(np.argmax(np.round(matrix @ u.astype(np.float64), 6)))] if x is None and u is not None else x for x, u in zip(said, units, strict=True)]
+            at = batch.schema.get_field_index(lang)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(filled, batch.schema.field(at).type)).filter(pa.array([u is not None for u in units], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)
 

@@ -247,7 +247,10 @@ def test_decontamination(spark, docs):
                     ids |= held
         want[str(r[0])] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
     assert {str(r[0]): tuple(r[1:]) for r in decontam.contamination_digest(df, bench).collect()} == want
-    assert {str(r[0]): (r[1], r[2]) for r in decontam.contamination(df, bench, pass_chars=1).collect()} == {k: v[:2] for k, v in want.items()}
+    assert {str(r[0]): (r[1], r[2]) for r in decontam.contamination(df, bench, pass_chars=4000).collect()} == {k: v[:2] for k, v in want.items()}
+    assert len(list(decontam._passes(bench, "item_id", "text", 10, 4000))) > 1
+    for chars in (4000, 1 << 25):
+        assert sorted(str(r[0]) for r in decontam.drop_contaminated(df, bench, pass_chars=chars).collect()) == sorted(str(r[0]) for r in rows if not want[str(r[0])][4])
     for r in decontam.contamination(df, bench).where("n_hit > 0").join(df.select("doc_id", "text"), "doc_id").collect():
         assert sum(len(word.findall(low(r["text"][a:b]))) for a, b in r["spans"]) == r["n_hit"]
     assert not any(r[-1] for r in decontam.contamination_digest(df, bench.limit(0)).collect())
