@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only on a single machine where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="docquarry-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
