@@ -101,16 +101,16 @@ l AS (
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY ALL),
 f AS (
   SELECT 0 AS kind, src AS host, dst AS too, 0.85 * n / sum(n) OVER (PARTITION BY src) AS share FROM e
-  UNION ALL SELECT 1, dst, src, 0.85 * n / sum(n) OVER (PARTITION BY dst) FROM e),
+  UNION ALL SELECT 1, dst, src, 0.85 * n / sum(n) OVER (PARTITION BY src) FROM e),
 r AS (
   SELECT 0 AS step, 0 AS kind, host, trust AS mass FROM s UNION ALL SELECT 0, 1, host, distrust FROM s
   UNION ALL
   SELECT any_value(r.step) + 1, r.kind, f.too, sum(r.mass * f.share) FROM r JOIN f ON r.kind = f.kind AND r.host = f.host
-  WHERE r.step < 20 GROUP BY r.kind, f.too),
+  WHERE r.mass > 1e-12 GROUP BY r.kind, f.too),
 g AS (
   SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS trust, coalesce(sum(mass) FILTER (kind = 1), 0) AS distrust FROM r GROUP BY host)
 SELECT j.page_id, j.host, j.path, j.rule,
-       coalesce(j.said, CASE WHEN g.distrust >= 0.5 AND g.distrust > g.trust THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(j.said, CASE WHEN g.distrust >= 0.5 - 1e-7 AND g.distrust > g.trust + 1e-7 THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN g ON j.host = g.host
 """,
     "op4_line_bitmaps": rf"""
