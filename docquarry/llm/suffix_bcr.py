@@ -31,8 +31,8 @@ from docquarry.llm.common import arrow_limits, drop_stash, pick, stash
 
 #: Bytes of a marking string; windows hashed at a time; strings of a bucket, about; different strings of a mark from which it is dealt over several buckets.
 GRAM, BLOCK, BUCKET, SPREAD = 32, 1 << 15, 1000, 1000
-#: Strings of one construction, about; records of a file that are held at a time.
-TOGETHER, RECORDS = 250, 1 << 17
+#: Bytes of a symbol at most; strings of one construction, about; records of a file that are held at a time.
+WORD, TOGETHER, RECORDS = 25, 250, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
 _LOW = (1 << 32) - 1
 
@@ -149,15 +149,21 @@ def column_wise(strings: list, scratch: Callable[[], BinaryIO] = io.BytesIO) ->
 
     transform: the symbol before each suffix in order (0 where there is none); common prefixes: symbols shared with the suffix before;
     places: by string and start, the suffix's number in order (-1 behind a string's end).
+    """
+    sizes = np.array([len(s) for s in strings])
+    symbols = np.zeros((len(strings), sizes.max() + 1), dtype=np.int64)
+    for i, s in enumerate(strings):
+        symbols[i, symbols.shape[1] - len(s) :] = list(s)
+    return construct(symbols, sizes, scratch)
+
+
+def construct(symbols: np.ndarray, sizes: np.ndarray, scratch: Callable[[], BinaryIO] = io.BytesIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """column_wise() of a table with a string of `sizes` symbols at the end of each row; what is left of it, and all of column 0, is 0.
 
     Two files hold the collection's state: keys (a suffix's symbol before it, then its place) in their order, and the common prefixes by place.  A round reads
     both from start to end and writes the next ones; scratch makes a file.  A key's number is where the suffix with its symbol belongs.
     """
-    m, longest = len(strings), max(map(len, strings))
-    sizes = np.array([len(s) for s in strings])
-    symbols = np.zeros((m, longest + 1), dtype=np.int64)  # right-aligned; column 0 and what is left of a string stay 0
-    for i, s in enumerate(strings):
-        symbols[i, longest + 1 - len(s) :] = np.frombuffer(s, dtype=np.uint8) if isinstance(s, bytes) else s
+    m, longest = len(symbols), symbols.shape[1] - 1
     keys, prefixes = Records("<i8", scratch), Records("<i4", scratch)
     active, place, n = np.arange(m), np.arange(m), m
     keys.append(np.sort(symbols[:, longest] << 32 | place))
@@ -216,30 +222,42 @@ def column_wise(strings: list, scratch: Callable[[], BinaryIO] = io.BytesIO) ->
 
 def classes(strings: list[bytes], length: int, scratch: Callable[[], BinaryIO] = io.BytesIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of all windows of `length` bytes, by string and start; equal windows have equal classes."""
-    word = next(w for w in range(8, 0, -1) if length % w == 0)
+    word = next(w for w in range(WORD, 0, -1) if length % w == 0)
     ends = np.cumsum([len(s) for s in strings])
-    data = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint64)
-    words = data[: len(data) - word + 1].copy()
-    for k in range(1, word):
-        words |= data[k : len(data) - word + 1 + k] << np.uint64(8 * k)
-    names = np.unique(words, return_inverse=True)[1] + 1
-    pieces, which, phase = [], [], []
-    for i, (end, s) in enumerate(zip(ends.tolist(), strings, strict=True)):
-        for p in range(min(word, len(s) - length + 1)):
-            pieces.append(names[end - len(s) + p : end - word + 1 : word])
-            which.append(i)
-            phase.append(p)
-    if not pieces:
+    names = word_names(np.frombuffer(b"".join(strings), dtype=np.uint8), word) + 1
+    # a string of words for each start modulo `word` that has a window
+    long = np.array([len(s) for s in strings])
+    phases = np.minimum(word, np.maximum(long - length + 1, 0))
+    which = np.repeat(np.arange(len(strings)), phases)
+    if not len(which):
         return (np.zeros(0, np.int64),) * 3
-    _, lcp, places = column_wise(pieces, scratch)
-    sizes = np.array([len(x) for x in pieces])
+    phase = np.arange(len(which)) - np.repeat(np.cumsum(phases) - phases, phases)
+    sizes = (long[which] - word - phase) // word + 1
+    back = np.arange(-int(sizes.max()) - 1, 0)[None, :] + sizes[:, None]
+    first = (ends - long)[which] + phase
+    symbols = np.where(back >= 0, names[np.maximum(first[:, None] + back * word, 0)], 0)
+    _, lcp, places = construct(symbols, sizes, scratch)
     row, start = np.nonzero(np.arange(places.shape[1])[None, :] + length // word <= sizes[:, None])
     number = np.cumsum(lcp < length // word)[places[row, start]]
-    who, at = np.array(which)[row], start * word + np.array(phase)[row]
+    who, at = which[row], start * word + phase[row]
     order = np.argsort(who << 32 | at)
     return who[order], at[order], number[order]
 
 
+def word_names(data: np.ndarray, word: int) -> np.ndarray:
+    """A number for each start: equal ones for equal strings of `word` bytes, and for no others.  A name of more bytes is the pair of two shorter ones' names."""
+    width = min(word, 8)
+    names = data[: len(data) - width + 1].astype(np.uint64)
+    for k in range(1, width):
+        names |= data[k : len(data) - width + 1 + k].astype(np.uint64) << np.uint64(8 * k)
+    names = np.unique(names, return_inverse=True)[1]
+    while width < word:
+        step = min(width, word - width)
+        names = np.unique(names[:-step] << 32 | names[step:], return_inverse=True)[1]
+        width += step
+    return names
+
+
 FOUND_SCHEMA = "s1 long, s2 long, first int, stop int, w1 long, w2 long, weight long"
 
 
