@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions import exprs as X
 from docquarry.operators import topk
 
 #: Digits that scores are rounded to before ranking, so that near-ties have one order everywhere.
@@ -46,7 +49,10 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict
 
 
 def vector_topk_lsh(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", tables: int = 8, length: float = 2.0) -> DataFrame:
-    """vector_topk() by random projections: unit vectors near in cosine are near in Euclidean distance.  Approximate."""
+    """vector_topk() by random projections: unit vectors near in cosine are near in Euclidean distance.  Approximate.
+
+    It saves work only where near vectors are far nearer than the rest; vectors without such clusters share a bucket with nearly all others.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -55,3 +61,36 @@ def vector_topk_lsh(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=1).fit(own)
     pairs = model.approxSimilarityJoin(asked, own, 2.0, "d").select(F.col(f"datasetA.{query_key}").alias(query_key), F.col(f"datasetB.{key}").alias(key), F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("similarity"))
     return topk.ranked(pairs, query_key, "similarity", k, (key,))
+
+
+def quantised(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(key, code, scale): an index of every vector with a byte per number; a null vector has no row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            scale = np.abs(own).max(axis=1, initial=0.0) / 127
+            code = np.rint(own / np.where(scale == 0, 1.0, scale)[:, None]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(scale)], names=[key, "code", "scale"])
+
+    own = vectors.select(key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
+    return own.mapInArrow(of, f"{key} {dict(vectors.dtypes)[key]}, code binary, scale double")
+
+
+def vector_topk_quantised(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", pool: int = 4, index: DataFrame | None = None) -> DataFrame:
+    """vector_topk() in two steps, approximate: `pool` * k candidates of each query by the index's codes alone (an eighth of the vectors' bytes), then exact similarities of these.
+
+    The codes' error is a few thousandths whatever the number of vectors, so only neighbours nearer than that to the pool's edge can be missed.  index: quantised().
+    """
+    codes = quantised(vectors, key, embedding) if index is None else index
+    asked = queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
+
+    def scores(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+        own = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.int8).reshape(batch.num_rows, -1)
+        return (own.astype(np.float32) @ matrix.T) * batch.column("scale").to_numpy()[:, None]
+
+    blocks = (([r[query_key] for r in block], np.array([r["e"] for r in block], dtype=np.float32)) for block in topk.query_blocks(asked, query_key))
+    near = topk.best(codes, blocks, scores, pool * k, queries.schema[query_key], key, (key,), "near").select(query_key, key)
+    exact = near.join(vectors.select(key, F.col(embedding).alias("own")), key).join(asked, query_key)
+    found = exact.select(query_key, key, (F.round(X.dot(F.col("own"), F.col("e")), DIGITS) + F.lit(0.0)).alias("similarity"))
+    return topk.ranked(found, query_key, "similarity", k, (key,))

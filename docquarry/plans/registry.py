@@ -37,6 +37,7 @@ except ImportError:
 else:
     EMBEDDERS.register("minilm", lambda df, key, text, dim: embedding.neural_vectors(df, key, text))
 INDEXES.register("exact", search.vector_topk)
+INDEXES.register("quantised", search.vector_topk_quantised)
 INDEXES.register("lsh", search.vector_topk_lsh)
 RETRIEVERS.register("vector", search.vector_topk)
 RETRIEVERS.register("bm25", keyword.bm25_topk)
