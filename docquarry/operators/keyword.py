@@ -20,6 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 #: What an empty text is indexed as.
 NOTHING = "\u0000"
+#: Stands for the chunk itself among its terms.
+EVERY = ""
 #: Cells of a table of chunks by query terms.
 CELLS = 1 << 22
 
@@ -33,11 +35,14 @@ def index_tokens(text: Column) -> Column:
 def bm25_stats(chunks: DataFrame, text: str = "text", epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
     """(terms: term, df, idf; corpus: one row n_docs, avgdl, mean_idf).  A negative idf becomes epsilon times the mean of all.
 
-    A chunk counts once for each of its terms, so only (term, count) is shuffled; the corpus row needs no shuffle at all.
+    A chunk counts once for each of its terms and once for all, so one pass gives both and only (term, count) is shuffled.
     """
-    tokens = chunks.select(index_tokens(F.col(text)).alias("tokens"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = stash(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    tokens = index_tokens(F.col(text))
+    each = chunks.select(tokens.alias("tokens")).select(F.size("tokens").alias("n"), F.explode(F.concat(F.array(F.lit(EVERY)), F.array_distinct("tokens"))).alias("term"))
+    counts = stash(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == EVERY, F.col("n"))).alias("total")), "terms")
+    n_docs = F.coalesce(F.sum(F.when(F.col("term") == EVERY, F.col("df"))), F.lit(0))
+    size = counts.agg(n_docs.alias("n_docs"), F.sum("total").alias("total")).select("n_docs", F.try_divide("total", "n_docs").alias("avgdl"))
+    df = counts.where(F.col("term") != EVERY).select("term", "df")
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))

@@ -1,6 +1,7 @@
 """The retrieval operators on small fixtures."""
 
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -73,42 +74,43 @@ def test_fixed_windows_ignore_articles(spark):
     assert [r["article_seq"] for r in rows] == [owner[i] for i in range(0, len(words), 10)]
 
 
-def sequential_articles(lines):
-    """The rule of the parser, line by line."""
-    import re
+#: Which lines belong together, over a letter for each line: a number with any next line, an article without a title with a next line that reads like a heading.
+TOGETHER = re.compile("[nN].?|[eE][A-Z]?|.")
+
+
+def letter(line):
+    """t: article with a title, e: without one, n: number, g: annotation, b: other text; a capital if it reads like a heading."""
+    kind = "t" if re.match(r"ARTICLE\s+[A-F]\d+\s*:\s*\S", line) else "e" if re.match(r"ARTICLE\s+[A-F]\d+\s*:", line) else "n" if re.fullmatch(r"[A-F]\d+(\.\d+)+", line) else "g" if re.match(r"(?i)(Advisory Committee|Governance)\s*:", line) else "b"
+    return kind.upper() if not re.fullmatch(r"\d{1,3}", line) and len(line.split()) <= 10 and line[-1] not in ".;,:" else kind
 
-    heads = lambda t: bool(t) and not re.match(r"^\d{1,3}$", t) and len(t.split()) <= 10 and t[-1] not in ".;,:"
-    out, title, i = [], None, 0
-    while i < len(lines):
-        nxt = lines[i + 1] if i + 1 < len(lines) else ""
-        if m := re.match(r"^ARTICLE\s+([A-F]\d+)\s*:\s*(.*)$", lines[i]):
-            own, i = m[2].strip(), i + 1
-            if not own and heads(nxt):
-                own, i = nxt, i + 1
-            title = own or title
-            out.append([m[1], own or None, []])
-        elif m := re.match(r"^([A-F]\d+(?:\.\d+)+)\s*$", lines[i]):
-            if heads(nxt):
-                title = nxt
-                out.append([m[1], title, []])
-            else:
-                out.append([m[1], title, [nxt] if nxt else []])
-            i += 2
-        else:
-            if out and not re.match(r"(?i)^(Advisory Committee|Governance)\s*:", lines[i]):
-                out[-1][2].append(lines[i])
-            i += 1
-    return [(a, h, "\n".join(t)) for a, h, t in out if t or h]
+
+def articles_by_grammar(lines):
+    """The parser's rule, read off a string of line kinds."""
+    records, heading = [], None
+    kinds = "".join(map(letter, lines))
+    for group in TOGETHER.finditer(kinds):
+        line, *taken = lines[group.start() : group.end()]
+        kind, reads_like_one = group[0][0].lower(), group[0][1:].isupper()
+        if kind == "b" and records:
+            records[-1][2].append(line)
+        elif kind in "te":
+            found = [line.partition(":")[2].strip()] if kind == "t" else taken
+            heading = (found or [heading])[0]
+            records.append((line.partition(":")[0].split()[1], (found or [None])[0], []))
+        elif kind == "n":
+            heading = taken[0] if reads_like_one else heading
+            records.append((line, heading, [] if reads_like_one else taken))
+    return [(number, title, "\n".join(said)) for number, title, said in records if title or said]
 
 
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["ARTICLE A1:", "ARTICLE B2: TITLE", "A1.1", "A1.2.3", "Governance: x", "17", "Scope", "The rule holds.", "a;"]), max_size=14), min_size=1, max_size=12))
-def test_parser_equals_the_sequential_rule(spark, docs):
+def test_parser_equals_the_grammar(spark, docs):
     rows = [(f"d{d}", "A", i + 1, line, False) for d, lines in enumerate(docs) for i, line in enumerate(lines)]
     pages = spark.createDataFrame(rows, "source_filename string, section string, page int, text string, is_toc boolean")
     got = parsing.parse_articles(parsing.line_stream(pages)).orderBy("source_filename", "article_seq").collect()
     for d, lines in enumerate(docs):
-        assert [(r["article_number"], r["heading"], r["text"]) for r in got if r["source_filename"] == f"d{d}"] == sequential_articles(lines)
+        assert [(r["article_number"], r["heading"], r["text"]) for r in got if r["source_filename"] == f"d{d}"] == articles_by_grammar(lines)
 
 
 def test_cleanup_removes_headers_and_finds_contents(spark):
@@ -250,3 +252,39 @@ def test_index_is_rewritten_only_for_another_configuration(spark, tmp_path):
     for retriever in ("bm25", "vector", "hybrid"):
         got = answer_batch(held, spark.createDataFrame([(5, " tyre   pressure ")], "query_id long, query string"), Settings(dim=32, retriever=retriever), 1).first()
         assert "tyre pressure" in got["text"]
+
+
+def test_quantised_search_finds_the_neighbours(spark):
+    """Recall against the exact search, on vectors without clusters and on copies of one another."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    own = r.normal(size=(3000, 48))
+    own[2000:] = own[r.integers(0, 20, size=1000)] + r.normal(size=(1000, 48)) * 0.3
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(own.tolist())] + [(9999, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r["query_id"], r["vec_id"]) for r in search.vector_topk(df, asked, 8).collect()}
+    rows = search.vector_topk_quantised(df, asked, 8, index=search.quantised(df)).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in rows}
+    assert len(rows) == len(exact) == 480 and len(exact & found) / len(exact) >= 0.99
+    assert search.vector_topk_quantised(df.limit(0), asked, 8).count() == 0
+
+
+def test_many_queries_are_asked_in_blocks(spark, monkeypatch):
+    from docquarry.operators import topk
+
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7, i % 7 + 3))) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(i, f"w{i % 9} w{i % 4} nothing") for i in range(40)], "query_id int, query string")
+    once = sorted(map(tuple, keyword.bm25_topk(chunks, queries, 5).collect()))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk.query_blocks, "__defaults__", (1, 7))
+    assert sorted(map(tuple, keyword.bm25_topk(chunks, queries, 5).collect())) == once and len(once) == 200
+
+
+def test_ranks_are_cut_before_the_shuffle(spark):
+    from docquarry.operators import topk
+
+    df = spark.range(1000).selectExpr("id % 10 AS query_id", "id AS vec_id", "cast(id AS double) AS score")
+    assert "WindowGroupLimit" in topk.ranked(df, "query_id", "score", 3, ("vec_id",))._jdf.queryExecution().toString()
