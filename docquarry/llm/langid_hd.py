@@ -71,7 +71,7 @@ class Profiler:
 
     def __init__(self) -> None:
         self.symbols = symbol_table()
-        self.vectors = ngram_vectors(letter_vectors()).astype(np.float32)
+        self.vectors = ngram_vectors(letter_vectors())  # a byte each: they stay with the worker
 
     def unit(self, text: str | None) -> np.ndarray | None:
         """The text's bundle at unit length; None for null and for texts without a letter."""
@@ -82,7 +82,7 @@ class Profiler:
         codes, counts = codes[keep], counts[keep]
         if not len(codes):
             return None
-        bundle = counts.astype(np.float32) @ self.vectors[codes]
+        bundle = counts.astype(np.float32) @ self.vectors[codes].astype(np.float32)
         norm = float(np.linalg.norm(bundle))
         return bundle / norm if norm else None
 
