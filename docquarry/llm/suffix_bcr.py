@@ -5,8 +5,9 @@ on collections of short strings that together hold every window of `length` byte
 
 1. A window's mark is the smallest hash of a GRAM-byte string in it.  Windows that follow one another and share their mark are cut as one
    segment: each window of the corpus lies in one segment, and equal windows have equal marks.
-2. Marks that occur once hold no repeat; nothing else is left out.  Equal segments of the other marks are one string with a weight.  Up to here, and between the
-   tasks, only hashes and places are dealt; one place of each string then fetches its bytes.
+2. Equal windows hold their mark at two places: in two segments, or twice in one (a periodic text).  Marks at one place in the whole corpus hold no repeat; nothing
+   else is left out.  Equal segments of the other marks are one string with a weight.  Up to here, and between the tasks, only hashes and places are dealt; one
+   place of each string then fetches its bytes.
 3. Strings are dealt into buckets by mark.  Each string gives `word` strings of words, one for each start modulo `word`, and over
    them the collection's transform and common prefixes grow by one symbol (a word of bytes) of each string a round, from the last column to the
    first, by sequential passes over two files.  Neighbours in suffix order that share `length` bytes form classes; a class of two windows, or of one
@@ -66,12 +67,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, mark) of each segment, in order; at most length - GRAM + 1 windows each."""
+def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, mark, whether the mark is at two or more places in it) of each segment, in order; at most length - GRAM + 1 windows each."""
     data, width = np.frombuffer(raw, dtype=np.uint8), length - GRAM + 1
-    firsts, counts, marks = [], [], []
+    firsts, counts, marks, twice = [], [], [], []
     for at in range(0, len(data) - length + 1, BLOCK):
-        least = _least(gram_hashes(data[at : min(at + BLOCK + length - 1, len(data))]), width)
+        hashes = gram_hashes(data[at : min(at + BLOCK + length - 1, len(data))])
+        least = _least(hashes, width)
         starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         sizes = np.diff(np.append(starts, len(least)))
         if (sizes > width).any():  # the same string again and again
@@ -79,12 +81,17 @@ def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             left = np.repeat(sizes, pieces) - within * width
             starts, sizes = np.repeat(starts, pieces) + within * width, np.minimum(left, width)
+        spans = sizes + width - 1  # strings of GRAM bytes in each segment
+        begun = np.cumsum(spans) - spans
+        within = np.arange(begun[-1] + spans[-1], dtype=np.int32) + np.repeat((starts - begun).astype(np.int32), spans)
+        places = np.add.reduceat(hashes[within] == np.repeat(least[starts], spans), begun, dtype=np.int32)
         firsts.append(starts + at)
         counts.append(sizes)
         marks.append(least[starts])
+        twice.append(places > 1)
     if not firsts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(marks)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(marks), np.concatenate(twice)
 
 
 class Records:
@@ -308,20 +315,21 @@ def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                first, count, mark = segments(raw, length)
+                first, count, mark, twice = segments(raw, length)
                 digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)])
                 s = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-                for into, x in zip(out, (first.astype(np.int32), count.astype(np.int32), mark.view(np.int64), s[:, 0], s[:, 1]), strict=True):
+                for into, x in zip(out, (first.astype(np.int32), count.astype(np.int32), mark.view(np.int64), s[:, 0], s[:, 1], twice), strict=True):
                     into.append(x)
-            kinds = (pa.list_(pa.int32()),) * 2 + (pa.list_(pa.int64()),) * 3
+            kinds = (pa.list_(pa.int32()),) * 2 + (pa.list_(pa.int64()),) * 3 + (pa.list_(pa.bool_()),)
             columns = [batch.column("k1"), batch.column("k2"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "at", "windows", "h", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "at", "windows", "h", "s1", "s2", "twice"])
 
-    schema = "k1 long, k2 long, at array<int>, windows array<int>, h array<long>, s1 array<long>, s2 array<long>"
+    schema = "k1 long, k2 long, at array<int>, windows array<int>, h array<long>, s1 array<long>, s2 array<long>, twice array<boolean>"
     cut = stash(own.select("text", "k1", "k2").mapInArrow(find, schema), "segments")
-    shared = stash(cut.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").select("h"), "marks")
+    places = F.sum(F.when(F.col("x.twice"), 2).otherwise(1))
+    shared = stash(cut.select(F.explode(F.arrays_zip("h", "twice")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(places.alias("places")).where("places > 1").select("h"), "marks")
     each = cut.select("k1", "k2", F.explode(F.arrays_zip("at", "windows", "h", "s1", "s2")).alias("x")).select("k1", "k2", "x.*")
     members = stash(each.join(shared, "h"), "members")
     drop_stash(cut)
