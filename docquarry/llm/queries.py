@@ -75,12 +75,66 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.html_blocks import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.bag_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docquarry.llm.vector_codes import codes_digest
+
+    return codes_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_hmm, op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op7_suffix_bcr, op8_progressive_jpeg, op9_decontaminate, op10_bpe_transducer)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_hmm, op2_url_links, op3_simhash_golay, op4_line_bitmaps, op5_token_store, op6_langid_hyperdimensional, op7_suffix_bcr, op8_progressive_jpeg, op9_decontaminate,
+        op10_bpe_transducer, op11_html_blocks, op12_bag_search, op13_vector_codes,
+    )
+}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Product codes: each round a nearest entry for each part, then the entries' new components."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT p.r, p.part, any_value(p.v) AS v, min(CAST(p.norm - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT) * {entries} + c.entry) AS best
+  FROM p JOIN c{r} c ON p.part = c.part GROUP BY p.r, p.part)"""
+    moved = """
+c{n} AS MATERIALIZED (
+  WITH s AS (
+    SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS DOUBLE) AS x
+    FROM (SELECT part, best % {entries} AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL),
+  m AS (SELECT part, entry, list(x ORDER BY i) AS v FROM s GROUP BY ALL)
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m ON c.part = m.part AND c.entry = m.entry)"""
+    steps = [nearest.format(r=0, entries=entries)]
+    for r in range(rounds):
+        steps += [moved.format(r=r, n=r + 1, entries=entries), nearest.format(r=r + 1, entries=entries)]
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding, len(embedding) // {parts} AS d
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT *, list_inner_product(v, v) AS norm
+  FROM (SELECT r, part, list_transform(embedding[part * d + 1 : (part + 1) * d], lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM k, range({parts}) t(part))),
+c0 AS (SELECT part, r AS entry, v FROM p WHERE r < {entries}),{",".join(steps)},
+e AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c{rounds}))
+SELECT k.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM k JOIN e USING (r), h
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_links": rf"""
 WITH RECURSIVE p AS (
@@ -142,4 +196,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
+    "op12_bag_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+t AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+c AS (SELECT r, doc_id, term, v.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS part FROM t JOIN v USING (term), s),
+x AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM c JOIN b USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10
+""",
+    "op13_vector_codes": _codes_sql(),
 }
