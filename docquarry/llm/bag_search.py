@@ -182,6 +182,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], StructType([kind, StructField("score", LongType()), StructField("docs", ArrayType(LongType()))]))
-    each = found.select("item_id", "score", F.explode("docs").alias("doc_id"))
+    # k documents lie in the k best classes, as each class has a first document; only these are listed
+    best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.get("docs", F.lit(0)).asc_nulls_last()))
+    each = found.withColumn("best", best).where(F.col("best") <= k).select("item_id", "score", F.explode("docs").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
