@@ -22,6 +22,8 @@ DIGITS = 6
 NOTHING = "\u0000"
 #: Stands for the chunk itself among its terms.
 EVERY = ""
+#: Blocks of queries of a pass; a block's table of terms by queries is a dense one.
+PASS_BLOCKS = 16
 #: Cells of a table of chunks by query terms.
 CELLS = 1 << 22
 
@@ -65,15 +67,18 @@ def bm25_topk(
     longest = weights.agg(F.max(F.size("weights"))).first()[0] or 0
     average = corpus.first()["avgdl"] or 1.0
 
-    def blocks() -> Iterator[tuple[list, tuple]]:
-        for rows in topk.query_blocks(weights, query_key, weight=1 + longest // 1000):
-            found = sorted({x["term"] for r in rows for x in r["weights"] or []})
-            place = {t: i for i, t in enumerate(found)}
-            table = np.zeros((len(found), len(rows)))
-            for i, r in enumerate(rows):
-                for x in r["weights"] or []:
-                    table[place[x["term"]], i] = x["w"]
-            yield [r[query_key] for r in rows], (found, table)
+    def asked_terms(rows: list) -> tuple[list, tuple]:
+        found = sorted({x["term"] for r in rows for x in r["weights"] or []})
+        place = {t: i for i, t in enumerate(found)}
+        table = np.zeros((len(found), len(rows)))
+        for i, r in enumerate(rows):
+            for x in r["weights"] or []:
+                table[place[x["term"]], i] = x["w"]
+        return [r[query_key] for r in rows], (found, table)
+
+    def passes() -> Iterator[list]:
+        for blocks in topk.query_passes(weights, query_key, weight=1 + longest // 1000, together=PASS_BLOCKS):
+            yield [asked_terms(rows) for rows in blocks]
 
     def scores(batch: pa.RecordBatch, block: tuple) -> np.ndarray:
         found, table = block
@@ -91,4 +96,4 @@ def bm25_topk(
         return np.round(out, DIGITS) + 0.0
 
     eligible = chunks.where(metadata_filter(chunks, where)).select(key, *(c for c in order if c != key), index_tokens(F.col("text")).alias("tokens"))
-    return topk.best(eligible, blocks(), scores, k, queries.schema[query_key], key, order, "score")
+    return topk.best(eligible, passes(), scores, k, queries.schema[query_key], key, order, "score")

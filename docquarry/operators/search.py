@@ -32,8 +32,8 @@ def metadata_filter(df: DataFrame, where: dict | None) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict | None = None, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", order: tuple[str, ...] = ()) -> DataFrame:
     """(query_key, key, similarity, distance, rank from 0): the k nearest of each query; ties by `order`, which is the key unless given.
 
-    Vectors are assumed to be at unit length; those that are null are left out.  Filters hold before ranking.  Blocks of queries are broadcast as one matrix; a batch of
-    vectors is one product with it, and each task keeps k vectors for each query, so no pairs of vectors are ever rows.
+    Vectors are assumed to be at unit length; those that are null are left out.  Filters hold before ranking.  Blocks of queries are broadcast as matrices and asked in one scan (`topk.PASS_BLOCKS` of them a
+    scan); a batch of vectors is one product with each, and a task keeps k vectors for each query, so no pairs of vectors are ever rows.
     """
     asked = queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
     rows = vectors.where(metadata_filter(vectors, where)).where(F.col(embedding).isNotNull())
@@ -43,8 +43,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict
         own = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
         return np.round(own @ matrix.T, DIGITS) + 0.0
 
-    blocks = (([r[query_key] for r in block], np.array([r["e"] for r in block])) for block in topk.query_blocks(asked, query_key))
-    found = topk.best(rows, blocks, scores, k, queries.schema[query_key], key, order or (key,), "similarity")
+    passes = ([([r[query_key] for r in block], np.array([r["e"] for r in block])) for block in blocks] for blocks in topk.query_passes(asked, query_key))
+    found = topk.best(rows, passes, scores, k, queries.schema[query_key], key, order or (key,), "similarity")
     return found.select(query_key, key, "similarity", F.round(1 - F.col("similarity"), DIGITS).alias("distance"), "rank")
 
 
@@ -89,8 +89,8 @@ def vector_topk_quantised(vectors: DataFrame, queries: DataFrame, k: int = 8, ke
         own = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.int8).reshape(batch.num_rows, -1)
         return (own.astype(np.float32) @ matrix.T) * batch.column("scale").to_numpy()[:, None]
 
-    blocks = (([r[query_key] for r in block], np.array([r["e"] for r in block], dtype=np.float32)) for block in topk.query_blocks(asked, query_key))
-    near = topk.best(codes, blocks, scores, pool * k, queries.schema[query_key], key, (key,), "near").select(query_key, key)
+    passes = ([([r[query_key] for r in block], np.array([r["e"] for r in block], dtype=np.float32)) for block in blocks] for blocks in topk.query_passes(asked, query_key))
+    near = topk.best(codes, passes, scores, pool * k, queries.schema[query_key], key, (key,), "near").select(query_key, key)
     exact = near.join(vectors.select(key, F.col(embedding).alias("own")), key).join(asked, query_key)
     found = exact.select(query_key, key, (F.round(X.dot(F.col("own"), F.col("e")), DIGITS) + F.lit(0.0)).alias("similarity"))
     return topk.ranked(found, query_key, "similarity", k, (key,))

@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Queries of a block at most: what is broadcast, and a batch's scores, stay bounded however many queries there are.
-QUERY_BLOCK = 256
+#: Queries of a block at most, and blocks of a pass over the rows: what is broadcast, and a batch's scores, stay bounded however many queries there are.
+QUERY_BLOCK, PASS_BLOCKS = 256, 64
 
 
-def query_blocks(queries: DataFrame, key: str, weight: int = 1, most: int = QUERY_BLOCK) -> Iterator[list[Row]]:
-    """The queries in blocks of about `most` by a hash of their key; weight: how much larger than usual they are."""
-    blocks = max(1, -(-queries.count() * weight // most))
-    for i in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect()  # about `most` rows
+def query_passes(queries: DataFrame, key: str, weight: int = 1, most: int = 0, together: int = 0) -> Iterator[list[list[Row]]]:
+    """The queries as lists of blocks, a list for each pass over the rows; weight: how much larger than usual queries are.
+
+    All that fit in one pass (`together` blocks of `most`) are fetched by one job; more are dealt to passes by a hash of their key.
+    """
+    size, together = max(1, (most or QUERY_BLOCK) // weight), together or PASS_BLOCKS
+    found = queries.limit(size * together + 1).collect()  # bounded
+    passes = 1 if len(found) <= size * together else -(-queries.count() // (size * together))
+    for p in range(passes):
+        rows = found if passes == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(passes)) == p).collect()  # about a pass
+        yield [rows[i : i + size] for i in range(0, len(rows), size)]
 
 
 def ranked(df: DataFrame, query_key: str, score: str, k: int, order: tuple[str, ...]) -> DataFrame:
@@ -31,11 +37,37 @@ def ranked(df: DataFrame, query_key: str, score: str, k: int, order: tuple[str,
     return df.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def best(rows: DataFrame, blocks: Iterable[tuple[list, Any]], scores: Callable[[pa.RecordBatch, Any], np.ndarray], k: int, query: StructField, key: str, order: tuple[str, ...], score: str) -> DataFrame:
+class Held:
+    """The k best rows of a block's queries among those seen so far."""
+
+    def __init__(self, queries: int, k: int, order: tuple[str, ...]) -> None:
+        self.k, self.by, self.floor, self.rows = k, ["_query", "_score", *order], np.full(queries, -np.inf), None
+
+    def add(self, frame: pd.DataFrame, got: np.ndarray) -> None:
+        """frame: rows in their order; got: a score for each row and query."""
+        if len(frame) > 4 * self.k:
+            # the k first of each column: those above its k-th score, and of those at it the first
+            edge = np.partition(got, len(frame) - self.k, axis=0)[len(frame) - self.k]
+            above, at = got > edge, got == edge
+            at &= np.cumsum(at, axis=0) <= self.k - above.sum(axis=0)
+            row, asked = np.nonzero((above | at) & (got >= self.floor))
+        else:
+            row, asked = np.nonzero(got >= self.floor)
+        if not len(row):
+            return
+        found = frame.iloc[row].assign(_query=asked, _score=got[row, asked])
+        found = found if self.rows is None else pd.concat([self.rows, found])
+        found = found.sort_values(self.by, ascending=[True, False, *(True for _ in self.by[2:])], na_position="first", kind="stable").groupby("_query").head(self.k)
+        full = found.groupby("_query")["_score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.rows, self.floor[full.index.to_numpy()] = found, full["min"].to_numpy()
+
+
+def best(rows: DataFrame, passes: Iterable[list[tuple[list, Any]]], scores: Callable[[pa.RecordBatch, Any], np.ndarray], k: int, query: StructField, key: str, order: tuple[str, ...], score: str) -> DataFrame:
     """(query's key, key, order columns, score, rank from 0).
 
-    query: the output's first column; blocks: (query keys, what scores() needs of them), each broadcast; scores(batch, block) gives a
-    row per row of the batch and a column per query.  Equal scores go by `order`.
+    query: the output's first column; passes: lists of (query keys, what scores() needs of them), each broadcast and asked in one pass over the rows;
+    scores(batch, block) gives a row per row of the batch and a column per query.  Equal scores go by `order`.
     """
     spark, kept = rows.sparkSession, [key, *(c for c in order if c != key)]
     schema = StructType([query, *(rows.schema[c] for c in kept), StructField(score, DoubleType())])
@@ -43,31 +75,22 @@ def best(rows: DataFrame, blocks: Iterable[tuple[list, Any]], scores: Callable[[
 
     def search(shared) -> Callable:
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, block = shared.value
-            held, floor = None, np.full(len(names), -np.inf)
+            held = [Held(len(names), k, order) for names, _ in shared.value]
             for batch in batches:
-                if not batch.num_rows or not names:
+                if not batch.num_rows:
                     continue
                 frame = batch.select(kept).to_pandas().sort_values(list(order), na_position="first", kind="stable")
-                got = scores(batch, block)[frame.index.to_numpy()]
-                first = np.argsort(-got, axis=0, kind="stable")[:k]
-                mine, asked = first.T.reshape(-1), np.repeat(np.arange(len(names)), len(first))
-                value = got[mine, asked]
-                on = value >= floor[asked]
-                found = frame.iloc[mine[on]].assign(_query=asked[on], _score=value[on])
-                held = found if held is None else pd.concat([held, found])
-                held = held.sort_values(["_query", "_score", *order], ascending=[True, False, *(True for _ in order)], na_position="first", kind="stable").groupby("_query").head(k)
-                full = held.groupby("_query")["_score"].agg(["size", "min"])
-                full = full[full["size"] == k]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-            if held is not None:
-                columns = [[names[i] for i in held["_query"]], *(held[c] for c in kept), held["_score"]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k, from_pandas=True) for x, k in zip(columns, kinds, strict=True)], names=schema.names)
+                for mine, (_, block) in zip(held, shared.value, strict=True):
+                    mine.add(frame, scores(batch, block)[frame.index.to_numpy()])
+            for mine, (names, _) in zip(held, shared.value, strict=True):
+                if mine.rows is not None:
+                    columns = [[names[i] for i in mine.rows["_query"]], *(mine.rows[c] for c in kept), mine.rows["_score"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k, from_pandas=True) for x, k in zip(columns, kinds, strict=True)], names=schema.names)
 
         return of
 
     found = None
-    for names, block in blocks:
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast((names, block))), schema)
+    for blocks in passes:
+        part = rows.mapInArrow(search(spark.sparkContext.broadcast(blocks)), schema)
         found = part if found is None else found.unionByName(part)
     return ranked(found, query.name, score, k, order)

@@ -279,7 +279,8 @@ def test_many_queries_are_asked_in_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(i, f"w{i % 9} w{i % 4} nothing") for i in range(40)], "query_id int, query string")
     once = sorted(map(tuple, keyword.bm25_topk(chunks, queries, 5).collect()))
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk.query_blocks, "__defaults__", (1, 7))
+    monkeypatch.setattr(topk, "PASS_BLOCKS", 2)
+    monkeypatch.setattr(keyword, "PASS_BLOCKS", 2)
     assert sorted(map(tuple, keyword.bm25_topk(chunks, queries, 5).collect())) == once and len(once) == 200
 
 
