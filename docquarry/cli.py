@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import os
 import sys
 from collections.abc import Iterator
 from dataclasses import replace
@@ -34,20 +33,23 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--index", default="index")
         for option in ("chunker", "embedder", "retriever", "reranker"):
             p.add_argument(f"--{option}")
+        p.add_argument("--index-kind", choices=registry.INDEXES.names())
         p.add_argument("--k", type=int, default=0)
         if name in ("ingest", "diagnose"):
             p.add_argument("--corpus", required=True)
             p.add_argument("--force", action="store_true")
+            p.add_argument("--images", action="store_true", help="render every page into the index's folder")
         if name == "ask":
             p.add_argument("question")
             p.add_argument("--section", type=section)
             p.add_argument("--trace", help="folder for the trace as JSON")
         if name == "evaluate":
-            p.add_argument("--dataset", required=True)
+            p.add_argument("--dataset", help="evaluation cases; the seed set if none is given")
             p.add_argument("--generate", action="store_true")
         if name in ("ask", "evaluate"):
             p.add_argument("--generator", choices=("none", "stub", "anthropic"), default="none")
             p.add_argument("--model", default="")
+            p.add_argument("--answers", help="folder of a table of answers that are never asked for again")
         if name in ("diagnose", "evaluate"):
             p.add_argument("--out", default=name, help="folder for the reports")
     return top
@@ -64,21 +66,21 @@ def generator(args: argparse.Namespace):
     if args.generator == "stub":
         return generation.StubGenerator
     if args.generator == "anthropic":
-        key, model = os.environ.get("ANTHROPIC_API_KEY"), args.model
-        generation.anthropic_generator(model, key)  # fails here rather than in a task
-        return lambda: generation.anthropic_generator(model, key)
+        model = args.model
+        generation.anthropic_generator(model)  # fails here rather than in a task
+        return lambda: generation.anthropic_generator(model)
     return None
 
 
 def settings(args: argparse.Namespace) -> engine.Settings:
-    given = {k: getattr(args, k, None) for k in ("chunker", "embedder", "retriever", "reranker")}
+    given = {k: getattr(args, k, None) for k in ("chunker", "embedder", "retriever", "reranker")} | {"index": getattr(args, "index_kind", None)}
     return replace(engine.Settings.from_environment(), **{k: v for k, v in given.items() if v})
 
 
 def pages_of(spark: SparkSession, folder: str):
     """(pages, corpus hash); a file of an unknown section is an error."""
     files = corpus.list_corpus(spark, folder)
-    pages = pdf.read_pages(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder))
+    pages = pdf.read_pages(files)
     first = pages.where("page = 1").select("source_filename", corpus.detect_section(F.col("source_filename"), F.col("raw_text")).alias("section"))
     corpus.check_sections(first)
     return pages.join(first, "source_filename"), corpus.corpus_hash(files).first()[0]
@@ -92,7 +94,14 @@ def run(args: argparse.Namespace) -> int:
     spark, own = SparkSession.builder.getOrCreate(), settings(args)
     if args.command == "ingest":
         pages, named = pages_of(spark, args.corpus)
-        print("written" if engine.ingest(spark, engine.build_chunks(pages, own), args.index, own, args.force, named) else "up to date")
+        if not args.force and corpus.is_current(spark, args.index, own.index_config(named)):
+            print("up to date")
+            return 0
+        parsed = engine.write_steps(engine.parse(pages, own), f"{args.index}/steps")
+        if args.images:
+            pdf.render_pages(corpus.list_corpus(spark, args.corpus), engine.image_path).write.mode("overwrite").parquet(f"{args.index}/images")
+        engine.ingest(spark, parsed.chunks, args.index, own, True, named)
+        print("written")
     elif args.command == "diagnose":
         report(engine.diagnose(pages_of(spark, args.corpus)[0]), args.out)
         print(args.out)
@@ -100,7 +109,10 @@ def run(args: argparse.Namespace) -> int:
         chunks, vectors, _ = engine.load(spark, args.index, own)
         where = {"section": args.section} if args.section else None
         asked = spark.createDataFrame([(0, args.question)], "query_id long, query string")
-        trace = stash(engine.ask(chunks, asked, own, args.k, where, vectors, generator(args)), "trace")
+        make = generator(args)
+        trace = stash(engine.ask(chunks, asked, own, args.k, where, vectors, make, stored=corpus.load_more(spark, args.index), answers_at=args.answers), "trace")
+        if make and not trace.where("context != ''").take(1):
+            raise ValueError("nothing was found to answer from")
         if args.trace:
             corpus.write_jsonl(trace, args.trace)
         for row in trace.collect():  # one question
@@ -108,7 +120,8 @@ def run(args: argparse.Namespace) -> int:
     else:
         chunks, vectors, held = engine.load(spark, args.index, own)
         make = generator(args) if args.generate else None
-        summary, at = engine.save_run(chunks, corpus.load_cases(spark, args.dataset), own, args.out, args.k, vectors, make, held["corpus_hash"])
+        cases = corpus.load_cases(spark, args.dataset) if args.dataset else corpus.seed_cases(spark)
+        summary, at = engine.save_run(chunks, cases, own, args.out, args.k, vectors, make, held["corpus_hash"], corpus.load_more(spark, args.index))
         summary.show(truncate=False)
         print(at)
     return 0

@@ -35,15 +35,15 @@ def reciprocal_rank(expected: Column, retrieved: Column) -> Column:
     return F.when(at > 0, 1.0 / at).otherwise(0.0)
 
 
-def case_scores(cases: DataFrame) -> DataFrame:
-    """Every case with its scores; null where a metric leaves the case out."""
+def case_scores(cases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every case with its scores; null where a metric leaves the case out.  by: further columns to keep."""
     c = F.col
     scored = c("answerable") & (F.size("expected_articles") > 0)
     answered = (F.coalesce("answer_text", F.lit("")) != "") & ~c("is_unanswerable")
     known = F.forall("citation_articles", lambda x: F.array_contains("context_articles", x))
     terms = F.filter("expected_answer_terms", lambda t: F.contains(F.lower("answer_text"), F.lower(t)))
     return cases.select(
-        "case_id", "answerable",
+        *by, "case_id", "answerable",
         F.when(scored, recall(c("expected_articles"), c("retrieved_articles"))).alias("recall"),
         F.when(scored, reciprocal_rank(c("expected_articles"), c("retrieved_articles"))).alias("rr"),
         F.when(scored, any_match(c("expected_articles"), c("retrieved_articles")).cast("double")).alias("hit"),
@@ -54,10 +54,10 @@ def case_scores(cases: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(cases: DataFrame, k: int = 8) -> DataFrame:
-    """One row of rounded means; an empty denominator gives 0."""
+def metric_summary(cases: DataFrame, k: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of rounded means, or one for each value of `by`, which then has k; an empty denominator gives 0."""
     mean = lambda name, out: F.round(F.coalesce(F.avg(name), F.lit(0.0)), 4).alias(out)
-    return case_scores(cases).agg(
+    return case_scores(cases, by).groupBy(*by).agg(
         F.count("*").alias("n_cases"), F.coalesce(F.sum(F.col("answerable").cast("long")), F.lit(0)).alias("n_answerable"), mean("recall", "recall_at_k"), mean("rr", "mrr"), mean("hit", "article_hit_rate"),
-        mean("cited", "citation_accuracy"), mean("unsupported", "unsupported_claim_rate"), mean("handled", "unanswerable_handling"), mean("coverage", "answer_term_coverage"), F.lit(k).alias("k"),
+        mean("cited", "citation_accuracy"), mean("unsupported", "unsupported_claim_rate"), mean("handled", "unanswerable_handling"), mean("coverage", "answer_term_coverage"), *(() if by else (F.lit(k).alias("k"),)),
     )

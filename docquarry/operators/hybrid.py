@@ -17,11 +17,11 @@ def min_max(value: str, by: str) -> Column:
     return F.when(high - low < SPREAD, 0.0).otherwise((F.col(value) - low) / (high - low))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, k: int = 8, alpha: float = ALPHA, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame, k: int = 8, alpha: float | Column = ALPHA, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
     """(query_key, key, score, similarity, keyword_score, rank): alpha * vector + (1 - alpha) * keyword, each scaled within its own pool.
 
     vector has `similarity` and `rank`, keyword `score` and `rank`; a missing side counts 0.  Ties: the vector pool's order first, then
-    the keyword pool's.
+    the keyword pool's.  alpha: a number, or a column of the query key.
     """
     v = vector.select(query_key, key, "similarity", F.col("rank").alias("v_rank"), min_max("similarity", query_key).alias("v"))
     w = keyword.select(query_key, key, F.col("score").alias("keyword_score"), F.col("rank").alias("k_rank"), min_max("score", query_key).alias("w"))

@@ -48,21 +48,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, where: dict
     return found.select(query_key, key, "similarity", F.round(1 - F.col("similarity"), DIGITS).alias("distance"), "rank")
 
 
-def vector_topk_lsh(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", tables: int = 8, length: float = 2.0) -> DataFrame:
-    """vector_topk() by random projections: unit vectors near in cosine are near in Euclidean distance.  Approximate.
-
-    It saves work only where near vectors are far nearer than the rest; vectors without such clusters share a bucket with nearly all others.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    own = vectors.select(F.col(key).cast("long").alias(key), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
-    asked = queries.select(F.col(query_key).cast("long").alias(query_key), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=1).fit(own)
-    pairs = model.approxSimilarityJoin(asked, own, 2.0, "d").select(F.col(f"datasetA.{query_key}").alias(query_key), F.col(f"datasetB.{key}").alias(key), F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("similarity"))
-    return topk.ranked(pairs, query_key, "similarity", k, (key,))
-
-
 def quantised(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(key, code, scale): an index of every vector with a byte per number; a null vector has no row."""
 
@@ -77,12 +62,15 @@ def quantised(vectors: DataFrame, key: str = "vec_id", embedding: str = "embeddi
     return own.mapInArrow(of, f"{key} {dict(vectors.dtypes)[key]}, code binary, scale double")
 
 
-def vector_topk_quantised(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", pool: int = 4, index: DataFrame | None = None) -> DataFrame:
+def vector_topk_quantised(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", pool: int = 4, index: DataFrame | None = None, where: dict | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """vector_topk() in two steps, approximate: `pool` * k candidates of each query by the index's codes alone (an eighth of the vectors' bytes), then exact similarities of these.
 
     The codes' error is a few thousandths whatever the number of vectors, so only neighbours nearer than that to the pool's edge can be missed.  index: quantised().
+    Filters hold before ranking; equal similarities go by `order`, which is the key unless given.
     """
-    codes = quantised(vectors, key, embedding) if index is None else index
+    codes, order = quantised(vectors, key, embedding) if index is None else index, order or (key,)
+    if where:
+        codes = codes.join(vectors.where(metadata_filter(vectors, where)).select(key), key, "left_semi")
     asked = queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
 
     def scores(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
@@ -91,6 +79,8 @@ def vector_topk_quantised(vectors: DataFrame, queries: DataFrame, k: int = 8, ke
 
     passes = ([([r[query_key] for r in block], np.array([r["e"] for r in block], dtype=np.float32)) for block in blocks] for blocks in topk.query_passes(asked, query_key))
     near = topk.best(codes, passes, scores, pool * k, queries.schema[query_key], key, (key,), "near").select(query_key, key)
-    exact = near.join(vectors.select(key, F.col(embedding).alias("own")), key).join(asked, query_key)
-    found = exact.select(query_key, key, (F.round(X.dot(F.col("own"), F.col("e")), DIGITS) + F.lit(0.0)).alias("similarity"))
-    return topk.ranked(found, query_key, "similarity", k, (key,))
+    kept = [key, *(c for c in order if c != key)]
+    exact = near.join(vectors.select(*kept, F.col(embedding).alias("own")), key).join(asked, query_key)
+    found = exact.select(query_key, *kept, (F.round(X.dot(F.col("own"), F.col("e")), DIGITS) + F.lit(0.0)).alias("similarity"))
+    best = topk.ranked(found, query_key, "similarity", k, order)
+    return best.select(query_key, key, "similarity", F.round(1 - F.col("similarity"), DIGITS).alias("distance"), "rank")

@@ -141,7 +141,8 @@ SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM r WHERE rank < 8""
 
 O["vector_topk"] = _nearest("true")
 # exact top-k: every neighbour of these tables is found
-O["vector_topk_quantised"] = O["vector_topk"]
+O["vector_topk_quantised"] = O["vector_topk_graph"] = O["vector_topk"]
+O["vector_topk_graph_filtered"] = O["vector_topk_filtered"]
 O["vector_topk_filtered"] = _nearest("v.label IN (1, 2, 3)")
 O["normalize_query"] = f"SELECT conv_id, turn, {_SQUEEZE.format('text')} AS query FROM conversations"
 O["tokenize"] = "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS BIGINT) AS n, sha1(array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9]+'), ' ')) AS tokens_sha1 FROM documents"
@@ -183,6 +184,30 @@ a AS (SELECT e.n IS NOT NULL AS held, coalesce(found, 0)::DOUBLE / n AS recall,
 SELECT count(*) AS n_cases, count(*) FILTER (held) AS n_answerable, round(coalesce(avg(recall) FILTER (held), 0), 4) AS recall_at_k, round(coalesce(avg(rr) FILTER (held), 0), 4) AS mrr,
   round(coalesce(avg(hit) FILTER (held), 0), 4) AS article_hit_rate, 0::DOUBLE AS citation_accuracy, 0::DOUBLE AS unsupported_claim_rate, round(coalesce(avg(CASE WHEN held THEN 1 ELSE 0 END), 0), 4) AS unanswerable_handling,
   0::DOUBLE AS answer_term_coverage, 8 AS k FROM a"""
+O["retrieve_bm25_stored"] = f"WITH {_bm25(8)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"
+O["retrieve_bm25_stored_filtered"] = f"WITH {_bm25(8, 'tk.lang = ' + chr(39) + 'fr' + chr(39))} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"
+_scaled = lambda x: f"CASE WHEN max({x}) OVER w - min({x}) OVER w < 1e-12 THEN 0 ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
+O["evaluate_matrix"] = f"""WITH {_BM}, {_VEC},
+bf AS (SELECT query_id, vec_id, round(coalesce(s, 0), 6) AS score FROM qs CROSS JOIN tk LEFT JOIN hs USING (query_id, vec_id)),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'doc-' || (vec_id // 1048576), vec_id) - 1 AS rank FROM bf QUALIFY rank < 32),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, 'doc-' || (vec_id // 1048576), vec_id) - 1 AS rank FROM vf QUALIFY rank < 32),
+cf(config, retriever, alpha, k, depth) AS (VALUES (0, 'bm25', 0.5::DOUBLE, 4, 4), (1, 'bm25', 0.5, 8, 8), (2, 'vector', 0.5, 8, 8), (3, 'hybrid', 0.5, 8, 32), (4, 'hybrid', 0.25, 4, 16)),
+hv AS (SELECT config, alpha, k, query_id, vec_id, rank AS a, {_scaled("similarity")} AS x FROM vr JOIN cf ON retriever = 'hybrid' AND rank < depth WINDOW w AS (PARTITION BY config, query_id)),
+hb AS (SELECT config, alpha, k, query_id, vec_id, rank AS b, {_scaled("score")} AS y FROM br JOIN cf ON retriever = 'hybrid' AND rank < depth WINDOW w AS (PARTITION BY config, query_id)),
+hm AS (SELECT config, k, query_id, vec_id, a, b, round(alpha * coalesce(x, 0) + (1 - alpha) * coalesce(y, 0), 6) AS score FROM hv FULL JOIN hb USING (config, alpha, k, query_id, vec_id)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, a NULLS LAST, b) - 1 AS rank FROM hm),
+r AS (
+  SELECT config, query_id, vec_id // 1048576 AS doc_id, rank FROM br JOIN cf ON retriever = 'bm25' AND rank < k
+  UNION ALL SELECT config, query_id, vec_id // 1048576, rank FROM vr JOIN cf ON retriever = 'vector' AND rank < k
+  UNION ALL SELECT config, query_id, vec_id // 1048576, rank FROM hr WHERE rank < k),
+g AS (SELECT DISTINCT query_id, doc_id FROM qs JOIN (SELECT doc_id, {_SQUEEZE.format('text')} AS body FROM documents) ON query <> '' AND contains(body, query)),
+e AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+h AS (SELECT config, query_id, count(DISTINCT doc_id) AS found, min(rank) AS top FROM g JOIN r USING (query_id, doc_id) GROUP BY 1, 2),
+a AS (SELECT cf.config, retriever, alpha, k, e.n IS NOT NULL AS held, coalesce(found, 0)::DOUBLE / n AS recall, coalesce(1::DOUBLE / (top + 1), 0) AS rr, CASE WHEN top IS NULL THEN 0 ELSE 1 END AS hit
+  FROM cf CROSS JOIN qs LEFT JOIN e USING (query_id) LEFT JOIN h ON h.config = cf.config AND h.query_id = qs.query_id)
+SELECT config, retriever, alpha, k, count(*) AS n_cases, count(*) FILTER (held) AS n_answerable, round(coalesce(avg(recall) FILTER (held), 0), 4) AS recall_at_k, round(coalesce(avg(rr) FILTER (held), 0), 4) AS mrr,
+  round(coalesce(avg(hit) FILTER (held), 0), 4) AS article_hit_rate, 0::DOUBLE AS citation_accuracy, 0::DOUBLE AS unsupported_claim_rate, round(coalesce(avg(CASE WHEN held THEN 1 ELSE 0 END), 0), 4) AS unanswerable_handling,
+  0::DOUBLE AS answer_term_coverage FROM a GROUP BY 1, 2, 3, 4"""
 O["bm25_stats"] = f"WITH {_BM} SELECT CASE WHEN term = chr(1) THEN chr(0) ELSE term END AS term, df, round(idf, 6) AS idf, n_docs, round(avgdl, 4) AS avgdl FROM tm, sz"
 O["retrieve_bm25"] = f"WITH {_bm25(8)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"
 O["retrieve_bm25_filtered"] = f"WITH {_bm25(8, 'tk.lang = ' + chr(39) + 'fr' + chr(39))} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM br"

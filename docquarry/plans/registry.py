@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Any
 
-from docquarry.operators import chunking, context, embedding, hybrid, keyword, search
+from docquarry.operators import backends, chunking, context, embedding, hybrid, keyword, search
 
 
 class Registry:
     def __init__(self, kind: str) -> None:
         self.kind, self._made = kind, {}
 
-    def register(self, name: str, made: Callable) -> Callable:
+    def register(self, name: str, made: Any) -> Any:
         if name in self._made:
             raise ValueError(f"{self.kind} {name!r} is there already")
         self._made[name] = made
         return made
 
-    def get(self, name: str) -> Callable:
+    def get(self, name: str) -> Any:
         if name not in self._made:
             raise KeyError(f"no {self.kind} {name!r}; there are {', '.join(self.names())}")
         return self._made[name]
@@ -36,9 +36,9 @@ except ImportError:
     pass
 else:
     EMBEDDERS.register("minilm", lambda df, key, text, dim: embedding.neural_vectors(df, key, text))
-INDEXES.register("exact", search.vector_topk)
-INDEXES.register("quantised", search.vector_topk_quantised)
-INDEXES.register("lsh", search.vector_topk_lsh)
+INDEXES.register("exact", backends.EXACT)
+INDEXES.register("quantised", backends.QUANTISED)
+INDEXES.register("graph", backends.GRAPH)
 RETRIEVERS.register("vector", search.vector_topk)
 RETRIEVERS.register("bm25", keyword.bm25_topk)
 RETRIEVERS.register("hybrid", hybrid.fuse)

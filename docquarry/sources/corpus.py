@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,13 @@ def detect_title(name: Column, text: Column, pdf_title: Column) -> Column:
     return F.coalesce(header, F.when(pdf_title != "", X.strip(pdf_title)), F.concat(F.lit("SECTION "), detect_section(name, text)))
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, by: str = "") -> None:
+    """by: a column whose values get folders of their own; it stays in the lines, too."""
+    if by:
+        name = f"of_{by}"
+        df = df.withColumn(name, F.col(by)).repartition(name)
+    out = df.write.mode("overwrite").option("ignoreNullFields", "false")
+    (out.partitionBy(name) if by else out).json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -64,18 +70,28 @@ def check_sections(found: DataFrame) -> None:
         raise ValueError(f"no section in {', '.join(lost)}")
 
 
-def save_index(chunks: DataFrame, vectors: DataFrame, path: str, config: dict) -> None:
-    """Parquet tables chunks and vectors in a folder of their own, then one more manifest row that names it.  As many vectors as chunks, else an error.
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def save_index(chunks: DataFrame, vectors: DataFrame, path: str, config: dict, more: dict[str, DataFrame] | None = None) -> None:
+    """Parquet tables chunks, vectors and `more` in a folder of their own, then one more manifest row that names it.  As many vectors as chunks, and at least one, else an error.
 
     Readers follow the last manifest row, so a write that fails leaves the index before it as it was.
     """
     spark, at = chunks.sparkSession, uuid.uuid4().hex
-    chunks.write.parquet(f"{path}/{at}/chunks")
-    vectors.write.parquet(f"{path}/{at}/vectors")
+    if not chunks.take(1):
+        raise ValueError("no chunks: nothing to index")
+    write_tables({"chunks": chunks, "vectors": vectors, **(more or {})}, f"{path}/{at}")
     n, m = (spark.read.parquet(f"{path}/{at}/{x}").count() for x in ("chunks", "vectors"))
     if n != m:
         raise ValueError(f"{n} chunks and {m} vectors")
-    made = {"config": config, "n_chunks": n, "at": at, "number": (_manifest(spark, path) or {"number": 0})["number"] + 1}
+    made = {"config": config, "n_chunks": n, "at": at, "tables": sorted(more or {}), "number": (_manifest(spark, path) or {"number": 0})["number"] + 1}
     spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
 
 
@@ -97,6 +113,12 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
     return spark.read.parquet(f"{path}/{held['at']}/chunks"), spark.read.parquet(f"{path}/{held['at']}/vectors"), held["config"] | {"n_chunks": held["n_chunks"]}
 
 
+def load_more(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The index's further tables, by name; none for an index that was written without."""
+    held = _manifest(spark, path)
+    return read_tables(spark, f"{path}/{held['at']}", held.get("tables", ())) if held else {}
+
+
 def is_current(spark: SparkSession, path: str, config: dict) -> bool:
     """Whether an index with exactly this configuration is there."""
     held = _manifest(spark, path)
@@ -125,3 +147,21 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     if cases.where("case_id is null or question is null").limit(1).count():
         raise ValueError(f"{path}: a case without an id or a question")
     return cases
+
+
+#: An evaluation set to begin with, of our own questions: (id, question, expected articles, expected terms); without articles a question can't be answered.
+SEED = (
+    ("points", "How many points does the winner of a race get, and how many the others?", ("A2.2",), ("points", "first")),
+    ("shutdown", "What may a competitor not do while its factory is shut down?", ("B",), ("shutdown",)),
+    ("cost-cap", "Which costs count towards the cost cap?", ("D",), ("cost", "cap")),
+    ("fillet", "What is a fillet radius?", ("C3.2.6",), ("fillet", "concave")),
+    ("tappings", "How may pressure tappings be fitted?", ("C3.2.7",), ("pressure", "flush")),
+    ("entry", "What does an application to enter the championship have to hold?", ("A3.1",), ("entry", "application")),
+    ("doping", "Which duties do the anti-doping rules lay down?", ("A4.2",), ("anti-doping",)),
+    ("tickets", "What does a ticket for the Monaco race cost?", (), ()),
+    ("salary", "How much may a driver earn at most?", (), ()),
+)
+
+
+def seed_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, q, list(a), list(t), bool(a), None) for i, q, a, t in SEED], CASES)

@@ -1,51 +1,156 @@
-"""Pages of PDF files; needs PyMuPDF on the executors."""
+"""Pages of PDF files as a Spark data source: partitions are ranges of pages, and only the asked columns are made.
+
+Reading needs PyMuPDF where tasks run (another reader can be set), and paths that Python can open there, such as a shared mount.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
-PAGES = "source_filename string, page int, raw_text string, width double, height double, blocks array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>, areas array<double>, paths int"
+#: Pages of a partition.
+PAGES_OF_A_TASK, DPI = 32, 150
+#: What each column costs is paid only if it is asked for.
+COLUMNS = {
+    "raw_text": "string", "width": "double", "height": "double", "blocks": "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>", "areas": "array<double>", "paths": "int", "pdf_title": "string", "image": "binary",
+}
+TEXT = ("raw_text", "width", "height", "blocks", "areas", "paths", "pdf_title")
 
 
-def read_pages(files: DataFrame) -> DataFrame:
-    """PAGES of a binaryFile table (path, content): one task parses whole files, so large corpora spread by file."""
+class Pdf(Protocol):
+    """An opened file; pages count from 0."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n_pages: int
+
+    def value(self, page: int, column: str, dpi: int) -> Any: ...
+
+    def close(self) -> None: ...
+
+
+class Pymupdf:
+    """A file by the public PyMuPDF package."""
+
+    def __init__(self, path: str) -> None:
         try:
             import pymupdf
         except ImportError as e:
             raise RuntimeError("reading PDF needs PyMuPDF") from e
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                with pymupdf.open(stream=content, filetype="pdf") as pdf:
-                    for i, page in enumerate(pdf):
-                        blocks = [{"text": b[4].strip(), "x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3]} for b in page.get_text("blocks") if b[4].strip()]
-                        areas = [abs(box.width * box.height) for image in page.get_images(full=True) for box in page.get_image_rects(image[0])]
-                        rows.append((path.rpartition("/")[2], i + 1, page.get_text(), page.rect.width, page.rect.height, blocks, areas, len(page.get_drawings())))
-                yield pd.DataFrame(rows, columns=["source_filename", "page", "raw_text", "width", "height", "blocks", "areas", "paths"])
+        self.file = pymupdf.open(path)
+        self.n_pages = self.file.page_count
 
-    return files.select("path", "content").mapInPandas(of, PAGES)
+    def value(self, page: int, column: str, dpi: int) -> Any:
+        p = self.file[page]
+        if column == "raw_text":
+            return p.get_text()
+        if column in ("width", "height"):
+            return float(getattr(p.rect, column))
+        if column == "blocks":
+            return [(b[4].strip(), *map(float, b[:4])) for b in p.get_text("blocks") if b[4].strip()]
+        if column == "areas":
+            return [abs(float(box.width * box.height)) for image in p.get_images(full=True) for box in p.get_image_rects(image[0])]
+        if column == "paths":
+            return len(p.get_drawings())
+        if column == "pdf_title":
+            return (self.file.metadata or {}).get("title") or ""
+        return p.get_pixmap(dpi=dpi).tobytes("png")
 
+    def close(self) -> None:
+        self.file.close()
 
-def render_pages(files: DataFrame, pages: DataFrame, dpi: int = 110) -> DataFrame:
-    """(source_filename, page, image): PNG bytes of the stated pages (source_filename, page) of a binaryFile table."""
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("source_filename"), "content")
-    wanted = pages.groupBy("source_filename").agg(F.collect_set("page").alias("wanted"))
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@dataclass
+class PageRange(InputPartition):
+    """Pages [first, stop) of a file, counted from 0."""
+
+    path: str
+    first: int
+    stop: int
+
+
+def ranges(files: list[tuple[str, int]], of_a_task: int) -> list[PageRange]:
+    return [PageRange(path, at, min(at + of_a_task, n)) for path, n in files for at in range(0, n, of_a_task)]
+
+
+class PdfSource(DataSource):
+    """Options: files (JSON list of [path, pages]), columns (names of COLUMNS, by commas), pages_of_a_task, dpi.  open makes a Pdf of a path."""
+
+    open: Callable[[str], Pdf] = Pymupdf
+
+    @classmethod
+    def name(cls) -> str:
+        return "docquarry_pdf"
+
+    def columns(self) -> list[str]:
+        asked = self.options.get("columns", ",".join(TEXT)).split(",")
+        if unknown := set(asked) - set(COLUMNS):
+            raise ValueError(f"no column {', '.join(sorted(unknown))} in a PDF's pages")
+        return asked
+
+    def schema(self) -> StructType:
+        return StructType.fromDDL("source_filename string, page int, " + ", ".join(f"{c} {COLUMNS[c]}" for c in self.columns()))
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return PdfReader(type(self).open, json.loads(self.options["files"]), self.columns(), int(self.options.get("pages_of_a_task", PAGES_OF_A_TASK)), int(self.options.get("dpi", DPI)))
+
+
+class PdfReader(DataSourceReader):
+    def __init__(self, open_: Callable[[str], Pdf], files: list, columns: list[str], of_a_task: int, dpi: int) -> None:
+        self.open, self.files, self.columns, self.of_a_task, self.dpi = open_, files, columns, of_a_task, dpi
+
+    def partitions(self) -> list[PageRange]:
+        return ranges([tuple(x) for x in self.files], self.of_a_task)
+
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        pdf = self.open(local_path(partition.path))
         try:
-            import pymupdf
-        except ImportError as e:
-            raise RuntimeError("rendering PDF needs PyMuPDF") from e
+            for page in range(partition.first, partition.stop):
+                yield (partition.path.rpartition("/")[2], page + 1, *(pdf.value(page, c, self.dpi) for c in self.columns))
+        finally:
+            pdf.close()
+
+
+def local_path(path: str) -> str:
+    """A path that Python can open; one of a store that only Spark reads is an error."""
+    scheme, _, rest = path.partition(":")
+    if "/" not in scheme and rest and scheme != "file":
+        raise ValueError(f"{path}: PDF files have to lie where every task can open them")
+    return path if scheme != "file" else "/" + rest.lstrip("/")
+
+
+def page_counts(files: DataFrame, source: type[PdfSource] = PdfSource) -> list[tuple[str, int]]:
+    """(path, pages) of each file, counted by tasks."""
+    open_ = source.open
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content, numbers in zip(frame["source_filename"], frame["content"], frame["wanted"], strict=True):
-                with pymupdf.open(stream=content, filetype="pdf") as pdf:
-                    for number in sorted(int(x) for x in numbers):
-                        yield pd.DataFrame([(name, number, pdf[number - 1].get_pixmap(dpi=dpi).tobytes("png"))], columns=["source_filename", "page", "image"])
+            counts = []
+            for path in frame["path"]:
+                pdf = open_(local_path(path))
+                counts.append(pdf.n_pages)
+                pdf.close()
+            yield pd.DataFrame({"path": frame["path"], "n": counts})
+
+    paths = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    return sorted((r[0], r[1]) for r in paths.mapInPandas(of, "path string, n int").collect())  # a row per file
+
+
+def read_pages(files: DataFrame, columns: tuple[str, ...] = TEXT, pages_of_a_task: int = PAGES_OF_A_TASK, dpi: int = DPI, source: type[PdfSource] = PdfSource) -> DataFrame:
+    """(source_filename, page from 1, columns) of the files (path); a large file is read by many tasks."""
+    spark: SparkSession = files.sparkSession
+    spark.dataSource.register(source)
+    options = {"files": json.dumps(page_counts(files, source)), "columns": ",".join(columns), "pages_of_a_task": pages_of_a_task, "dpi": dpi}
+    return spark.read.format(source.name()).options(**options).load()
+
 
-    return named.join(wanted, "source_filename").mapInPandas(of, "source_filename string, page int, image binary")
+def render_pages(files: DataFrame, path_of: Callable, dpi: int = DPI, source: type[PdfSource] = PdfSource) -> DataFrame:
+    """(source_filename, page, page_image_path, image): a PNG of every page; path_of: of the two columns, its name."""
+    found = read_pages(files, ("image",), dpi=dpi, source=source)
+    return found.select("source_filename", "page", path_of(F.col("source_filename"), F.col("page")).alias("page_image_path"), "image")
