@@ -5,10 +5,11 @@ Articles: source_filename, section, article_seq, article_number, parent_article,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import exprs as X
+from docquarry.operators.prefix import running_total
 
 CHUNK_TOKENS, OVERLAP_TOKENS = 350, 60
 
@@ -65,24 +66,24 @@ def chunk_regulation(articles: DataFrame, tokens: int = CHUNK_TOKENS, overlap: i
 def chunk_fixed_window(articles: DataFrame, tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """Windows over the words of a whole document, whatever the articles; a window belongs to the article of its first word.
 
-    Word numbers come from running totals of article lengths, so a document is never gathered: each article sends its stretch of words to
-    the windows that it overlaps.
+    Word numbers come from running totals of article lengths in two levels (see running_total()), so a document is never gathered, nor one task's work: each
+    article sends its stretch of words to the windows that it overlaps.  An article's number is its own within its document.
     """
     most, step = window_shape(tokens, overlap)
     sizes = articles.select("source_filename", "article_seq", F.size(X.words(F.col("text"))).alias("size")).where("size > 0")
-    before = Window.partitionBy("source_filename").orderBy("article_seq").rowsBetween(Window.unboundedPreceding, -1)
-    # running totals over lengths alone; texts are joined to them, not sorted
-    sizes = sizes.select("source_filename", "article_seq", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int").alias("first"))
+    # over lengths alone; texts are joined to them, not sorted
+    sizes = running_total(sizes, "source_filename", ("article_seq",), "size", "first").select("source_filename", "article_seq", "first")
     w = articles.join(sizes, ["source_filename", "article_seq"])
 
     def cut(w: Column) -> Column:
         first, end = F.col("first"), F.col("first") + F.size(w)
-        low = F.greatest(F.lit(0), F.floor((first - most) / step) + 1).cast("int")
-        high = F.floor((end - 1) / step).cast("int")
+        low = F.greatest(F.lit(0).cast("long"), F.floor((first - most) / step) + 1)
+        high = F.floor((end - 1) / step)
 
         def part(i: Column) -> Column:
             start = F.greatest(i * step, first)
-            return F.struct(i.alias("win"), F.array_join(F.slice(w, start - first + 1, F.least(i * step + most, end) - start), " ").alias("said"))
+            within = (start - first + 1).cast("int"), (F.least(i * step + most, end) - start).cast("int")
+            return F.struct(i.cast("int").alias("win"), F.array_join(F.slice(w, *within), " ").alias("said"))
 
         return F.when(low <= high, F.transform(F.sequence(low, high), part))
 

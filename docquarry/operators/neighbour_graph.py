@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from docquarry.operators import topk
@@ -27,7 +28,7 @@ PART_NUMBERS, SAMPLE, CELLS, LEARN = 1 << 20, 20_000, 1024, 6
 #: Near links of a vector, and links after those from the other side; far links; rounds of joins at most; vectors joined at a time.
 NEAR, LINKS, FAR, ROUNDS, TOGETHER = 14, 24, 2, 10, 256
 #: Cells that a question goes to, and vectors that a walk follows; it begins with as many as the root of their number, so that it meets most clusters.
-PROBE, BEAM = 8, 160
+PROBE, BEAM = 4, 160
 
 
 @dataclass
@@ -209,7 +210,8 @@ def build(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     held = stash(dealt.withColumn("_part", part).groupBy("_part").applyInPandas(linked, schema), "graph")
     nodes = held.where("node is not null").select(*(F.col(c).alias(c) for c in ("part", "node", *kept)))
     parts = held.where("node is null").select(*(F.col(c).alias(c) for c in ("cell", "part", "n", "vectors", "links")))
-    return Graph(parts, nodes, spark.createDataFrame([(i, c) for i, c in enumerate(centroids.tolist())], "cell int, centroid array<double>"))
+    learned = [(i, c) for i, c in enumerate(centroids.tolist())] if n else []
+    return Graph(parts, nodes, spark.createDataFrame(learned, "cell int, centroid array<double>"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -227,9 +229,9 @@ def walks(index: Graph, queries: DataFrame, k: int = 8, probe: int = 0, beam: in
     asked = queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
     parts = index.parts if allowed is None else index.parts.join(allowed, "part")
     schema = StructType([queries.schema[query_key], *StructType.fromDDL("part long, node int, similarity double, touched int").fields])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [to_arrow_type(f.dataType) for f in schema]
+    if not cells:
+        return spark.createDataFrame([], schema)
 
     def of(shared) -> Callable:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,7 +79,7 @@ def parse(pages: DataFrame, settings: Settings, min_fraction: float = 0.5) -> Pa
 
 def image_path(source_filename: Column, page: Column) -> Column:
     """Where a page's image is kept: the name of its row in the table of images."""
-    return F.concat(F.regexp_replace(source_filename, r"\.[^.]*$", ""), F.lit("/page-"), F.lpad(page.cast("string"), 3, "0"), F.lit(".png"))
+    return F.concat(F.regexp_replace(source_filename, r"\.[^.]*$", ""), F.lit("/page-"), F.when(page > 999, page.cast("string")).otherwise(F.lpad(page.cast("string"), 3, "0")), F.lit(".png"))
 
 
 def document_meta(pages: DataFrame) -> DataFrame:

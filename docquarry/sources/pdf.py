@@ -94,8 +94,8 @@ class PdfSource(DataSource):
             raise ValueError(f"no column {', '.join(sorted(unknown))} in a PDF's pages")
         return asked
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL("source_filename string, page int, " + ", ".join(f"{c} {COLUMNS[c]}" for c in self.columns()))
+    def schema(self) -> str:
+        return "source_filename string, page int, " + ", ".join(f"{c} {COLUMNS[c]}" for c in self.columns())
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PdfReader(type(self).open, json.loads(self.options["files"]), self.columns(), int(self.options.get("pages_of_a_task", PAGES_OF_A_TASK)), int(self.options.get("dpi", DPI)))
