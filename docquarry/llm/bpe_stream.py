@@ -1,15 +1,17 @@
 """BPE encoding and decoding as bounded-lookahead streaming transducers.
 
-Encoding.  A text is read in slices (`Encoding.feed`).  What is read is decided in two ways, and decided tokens leave at once:
+Encoding.  A text is read in slices (`Encoding.feed`) and cut into pieces (the byte-level pre-tokens, each encoded apart from the others): a blank before a
+non-blank starts a piece whatever follows, and any other piece is decided by three characters from its start and one behind its end.  All ids leave through one
+rule, `Transducer.stable`: of the bytes of a piece that are read and haven't left, those tokens leave that nothing behind them can change.
 
-* Pieces (the byte-level pre-tokens, each encoded apart from the others): a blank before a non-blank starts a piece whatever follows, and any other
-  piece is decided by three characters from its start and one behind its end.
-* Within a piece whose end isn't read yet: a merge rule a+b can be undone at the right edge of a prefix only by an earlier rule that takes b, or a
-  piece at b's right end, together with what follows; that rule can in turn be undone only by a still earlier one.  Such chains run through
-  strictly falling ranks, so the longest chain's bytes are a sufficient lookahead (`sufficient_lookahead`): tokens that end at least so far before
-  the edge can't change.
+* A merge rule a+b can be undone at the right edge of a prefix only by an earlier rule that takes b, or a piece at b's right end, together with what
+  follows; that rule can in turn be undone only by a still earlier one.  Such chains run through strictly falling ranks.  So a token's end is
+  settled once as many bytes behind it are read as the longest chain from the token's own right edge has (`lookaheads`: 119 bytes at most for a
+  vocabulary of 50,000, 47 or fewer for half of its tokens), and a settled end settles all tokens before it.
+* Behind a piece's end nothing can change it: there the lookahead is met whatever the token.
 
-So the state stays below a slice, a window and the lookahead however long a text or a piece is; known pieces are remembered in tables of bounded size.
+Unknown pieces are fed FEED bytes at a time, so what is held stays below FEED and the largest lookahead (`Transducer.lookahead`) however long a piece is; short
+pieces that were encoded before are remembered in tables of bounded size, as a shortcut with the same ids.
 
 Decoding.  Token bytes pass through an incremental byte-to-text machine, which holds the up to three bytes of an
 unfinished character between steps.
@@ -22,6 +24,7 @@ import heapq
 import json
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -39,6 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KNOWN = 300_000
 #: Characters that are read at a time; an unfinished piece of more is encoded token by token.
 SLICE = 1 << 14
+#: Bytes of a piece that are looked at together with those that haven't left.
+FEED = 64
 #: A pair that no rule merges.
 NONE = 1 << 62
 #: Letters of the longest piece, or blank and what stands behind it, that is remembered.
@@ -56,20 +61,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
-    """Bytes behind a token that decide it: the longest chain of rules of falling rank, each taking the right end of the last one's right part."""
-    right_part: dict[bytes, bytes] = {}
-    reach: dict[bytes, int] = {}
-    most = 0
-    for left, right in merges:  # by rank
-        longest, end = 0, right
-        while end is not None:
-            longest, end = max(longest, reach.get(end, 0)), right_part.get(end)
-        need = len(right) + longest
-        reach[left] = max(reach.get(left, 0), need)
-        right_part.setdefault(left + right, right)
-        most = max(most, need)
-    return most
+def lookaheads(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
+    """Bytes behind a token that settle its end.  Tokens that aren't named need none.
+
+    A rule that crosses the end takes the token, or a part at its right end before that part was merged away: so by a rank under that of the rule that took the
+    part.  What it takes from behind can be undone in the same manner, by a still lower rank.  The longest such chain is what has to be seen.
+    """
+    made: dict[bytes, list[tuple[int, bytes]]] = {}  # by which rules, with which right parts
+    ranks: dict[bytes, list[int]] = {}
+    most: dict[bytes, list[int]] = {}  # of rules with this left part: ascending ranks, and the longest chain up to each
+
+    def along(end: bytes, below: int) -> int:
+        """The longest chain from a token's right end by rules of lower ranks than `below`."""
+        at = bisect_left(ranks.get(end, ()), below)
+        longest = most[end][at - 1] if at else 0
+        for rank, right in made.get(end, ()):
+            longest = max(longest, along(right, min(below, rank)))
+        return longest
+
+    for rank, (left, right) in enumerate(merges):
+        need = len(right) + along(right, rank)
+        held = most.setdefault(left, [])
+        ranks.setdefault(left, []).append(rank)
+        held.append(max(need, held[-1]) if held else need)
+        made.setdefault(left + right, []).append((rank, right))
+    return {token: need for token in {*ranks, *made} if (need := along(token, len(merges)))}
 
 
 class Chunks(dict):
@@ -105,7 +121,9 @@ class Transducer:
         self.rules = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in reversed([*enumerate(merges)])}
         self.bytes_of = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.lengths = {v: len(k) for k, v in ids.items()}
-        self.slice, self.lookahead = slice_, sufficient_lookahead(merges)
+        needs = lookaheads(merges)
+        self.slice, self.lookahead = slice_, max(needs.values(), default=0)
+        self.need = {v: needs.get(k, 0) for k, v in ids.items()}
         pattern = regex.compile(PATTERN)
         self.split, self.each = pattern.findall, pattern.finditer
         self.starts = tuple({x[:n] for x in self.special for n in range(1, len(x))})
@@ -154,20 +172,30 @@ class Transducer:
                     heapq.heappush(heap, (rule, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def stable(self, data: bytes) -> tuple[bytes, bytes]:
-        """(ids of the first tokens that no bytes behind data can change, the bytes behind those tokens)."""
-        end, sure, edge = 0, [], len(data) - self.lookahead
-        for x in self.merge(data) if edge > 0 else ():
-            if end + self.lengths[x] > edge:
-                break
-            end += self.lengths[x]
-            sure.append(x)
-        return np.array(sure, dtype="<u4").tobytes(), data[end:]
+    def stable(self, data: bytes, ended: bool) -> tuple[list[int], bytes]:
+        """(ids of the first tokens that no bytes behind data can change, the bytes behind those tokens); ended: the piece ends with data."""
+        ids = self.merge(data)
+        if ended:
+            return ids, b""
+        sure, end, behind = 0, 0, len(data)
+        for i, x in enumerate(ids):
+            behind -= self.lengths[x]
+            if behind >= self.need[x]:  # this end is settled, and so are those before it
+                sure, end = i + 1, len(data) - behind
+        return ids[:sure], data[end:]
+
+    def run(self, piece: bytes) -> Iterator[list[int]]:
+        """A whole piece's ids, as they are settled while it is fed."""
+        held = b""
+        for at in range(0, max(1, len(piece)), FEED):
+            held += piece[at : at + FEED]
+            ids, held = self.stable(held, at + FEED >= len(piece))
+            yield ids
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = array("I", self.merge(piece.encode())).tobytes()
+            got = array("I", [x for ids in self.run(piece.encode()) for x in ids]).tobytes()
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= KNOWN:
                     self.pieces.clear()
@@ -257,8 +285,8 @@ class Encoding:
         if len(text) > max(3, self.machine.slice):  # no contraction
             self.kind = next(kind for kind, run in RUNS.items() if run.match(text[-1]).end())
             self.rest, text = (text[-1], text[:-1]) if self.kind == "spaces" else ("", text)
-            ids, self.open = self.machine.stable(text.encode())
-            yield ids
+            self.open = text.encode()
+            yield from self._settled(False)
 
     def _go_on(self, text: str, last: bool) -> Generator[bytes, None, str]:
         """Reads an unfinished piece's further characters; what is behind them.  The last blank of several may belong to the next piece."""
@@ -267,14 +295,18 @@ class Encoding:
         if self.kind == "spaces" and not (last and end == len(text)):
             end -= 1
         self.open += text[:end].encode()
+        yield from self._settled(ended)
         if ended:
-            yield np.array(self.machine.merge(self.open), dtype="<u4").tobytes()
-            self.kind, self.open = None, b""
-        else:
-            ids, self.open = self.machine.stable(self.open)
-            yield ids
+            self.kind = None
         return text[end:]
 
+    def _settled(self, ended: bool) -> Iterator[bytes]:
+        """Ids of the open piece that are settled; FEED further bytes are looked at with what is held."""
+        data, self.open = self.open, b""
+        for at in range(0, max(1, len(data)), FEED):
+            ids, self.open = self.machine.stable(self.open + data[at : at + FEED], ended and at + FEED >= len(data))
+            yield array("I", ids).tobytes()
+
 
 def last_start(text: str) -> int:
     """The last blank before a non-blank: a piece starts there whatever follows; 0 where there is none."""
