@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import stash
+from docquarry.llm.common import drop_stash, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A link with a host of its own: absolute or protocol-relative.
@@ -22,6 +22,8 @@ LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 #: Share of its mass that a host passes on, the distrust from which a host is blocked, the step at which ranks stand still,
 #: and what they may still lack then, with some room: the sum of all steps to come is under 0.85 / 0.15 of the last.
 DAMPING, THRESHOLD, STEP, SLACK = 0.85, 0.5, 1e-8, 1e-7
+#: Rounds of a job.
+FOLD = 12
 
 
 def lower_ascii(column: Column) -> Column:
@@ -58,28 +60,38 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, n); hosts without mass are left out.
 
-    A round is one join and one grouping over both kinds; ranks are written each round, so lineage stays short.
-    It ends when all that moved in a round is at most STEP: the sum over the hosts for trust, each host's own for distrust, whose
-    steps shrink by `damping` each round.
+    A round is one join and one grouping over both kinds.  Each host has, beside its links, a row to itself that carries on what it has, so a
+    round reads the ranks once and FOLD rounds are one job; only then ranks are written, and those before them deleted.  Links pass on what moved in
+    the round before and nothing else.  It ends when all that moved in a round is at most STEP: the sum over the hosts for trust, each host's own for
+    distrust, whose steps shrink by `damping` each round.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = (damping * F.col("n") / F.col("total")).alias("share")
     links = edges.join(out, "src").select("src", "dst", share)
     forward, backward = links.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "share"), links.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "share")
-    flows = stash(forward.unionByName(backward), "flows")
-    ranks = stash(
-        seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("rank")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("rank")))).alias("x"))
-        .select("x.kind", "host", "x.rank", F.col("x.rank").alias("step"))
-        .where("rank > 0"),
-        "seeds",
-    )
-    moving = bool(flows.take(1))
-    while moving:
-        step = F.col("step") * F.col("share")
-        moved = ranks.where("step > 0").join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), step.alias("rank"), step.alias("step"))
-        ranks = stash(ranks.withColumn("step", F.lit(0.0)).unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step")), "ranks")
-        left = ranks.agg(F.sum(F.when(F.col("kind") == 0, F.col("step"))), F.max(F.when(F.col("kind") == 1, F.col("step")))).first()
-        moving = max(x or 0.0 for x in left) > STEP
+    both = forward.unionByName(backward)
+    ranks = seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("rank")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("rank")))).alias("x"))
+    ranks = stash(ranks.select("x.kind", "host", "x.rank", F.col("x.rank").alias("step")).where("rank > 0"), "ranks")
+    if not edges.take(1):
+        return _by_host(ranks)
+    hosts = both.select("kind", "host").unionByName(both.select("kind", F.col("to").alias("host"))).unionByName(ranks.select("kind", "host")).distinct()
+    flows = stash(both.unionByName(hosts.select("kind", "host", F.col("host").alias("to"), F.lit(None).cast("double").alias("share"))), "flows")
+    own, left = F.col("share").isNull(), 1.0
+    while left > STEP:
+        before = ranks
+        for _ in range(FOLD):
+            moved = ranks.join(flows, ["kind", "host"]).where(own | (F.col("step") > 0))
+            moved = moved.select("kind", F.col("to").alias("host"), F.when(own, F.col("rank")).otherwise(F.col("step") * F.col("share")).alias("rank"), F.when(own, 0.0).otherwise(F.col("step") * F.col("share")).alias("step"))
+            ranks = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("step").alias("step"))
+        ranks = stash(ranks, "ranks")
+        drop_stash(before)
+        row = ranks.agg(F.sum(F.when(F.col("kind") == 0, F.col("step"))), F.max(F.when(F.col("kind") == 1, F.col("step")))).first()
+        left = max(x or 0.0 for x in row)
+    drop_stash(flows)
+    return _by_host(ranks)
+
+
+def _by_host(ranks: DataFrame) -> DataFrame:
     at = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(at(0).alias("trust"), at(1).alias("distrust"))
 
