@@ -52,6 +52,17 @@ def drop_stash(held: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """Tells apart rows that share a doc_id but not a text; equal rows share it and get equal results."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -23,6 +23,9 @@ SYMBOLS = 64
 ORDER, SIZE = 3, 256
 #: Labelled documents of each language to learn from, at most.
 SAMPLE = 4000
+#: A text of so many different n-grams (the square of their number over the sum of their counts' squares) whose largest cosine is under so many times the
+#: spread of unrelated vectors' cosines, 1 / sqrt(SIZE), is in no learned language.
+MANY, SPREADS = 96, 1.6
 #: Code points looked at together; bounds the memory of a very long text.
 BLOCK = 1 << 18
 
@@ -75,16 +78,20 @@ class Profiler:
 
     def unit(self, text: str | None) -> np.ndarray | None:
         """The text's bundle at unit length; None for null and for texts without a letter."""
+        return self.look(text)[0]
+
+    def look(self, text: str | None) -> tuple[np.ndarray | None, float]:
+        """(unit(), how many different n-grams the text's are worth)."""
         if not text:
-            return None
+            return None, 0.0
         codes, counts = ngram_counts(text, self.symbols)
         keep = codes != 0
-        codes, counts = codes[keep], counts[keep]
+        codes, counts = codes[keep], counts[keep].astype(np.float32)
         if not len(codes):
-            return None
-        bundle = counts.astype(np.float32) @ self.vectors[codes].astype(np.float32)
+            return None, 0.0
+        bundle = counts @ self.vectors[codes].astype(np.float32)
         norm = float(np.linalg.norm(bundle))
-        return bundle / norm if norm else None
+        return (bundle / norm if norm else None), float(counts.sum()) ** 2 / float(counts @ counts)
 
 
 @lru_cache(maxsize=1)
@@ -162,7 +169,8 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], doc_id: str = "doc_i
 def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, that predict() doesn't call `und`, a null lang filled with the predicted one; no join, no shuffle.
 
-    Where no language was learned, every document is `und`, so none is left.  There is no least cosine: that of unrelated texts spreads by 1 / sqrt(SIZE), so a short clean text can lie below any useful one.
+    Where no language was learned, every document is `und`, so none is left.  Cosines of unrelated vectors spread by 1 / sqrt(SIZE), and a short clean text can lie
+    within that; so only texts worth MANY different n-grams are rejected for a cosine, if all of theirs are under SPREADS times the spread.
     """
     arrow_limits(docs.sparkSession)
     names, matrix = sorted(protos), np.array([protos[k] for k in sorted(protos)])
@@ -170,11 +178,12 @@ def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], text: str =
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = shared_profiler()
         for batch in batches:
-            units = [profiler.unit(x) if names else None for x in batch.column(text).to_pylist()]
-            said = batch.column(lang).to_pylist()
-            filled = [names[int(np.argmax(np.round(matrix @ u.astype(np.float64), 6)))] if x is None and u is not None else x for x, u in zip(said, units, strict=True)]
+            looked = [profiler.look(x) if names else (None, 0.0) for x in batch.column(text).to_pylist()]
+            cosines = [matrix @ u.astype(np.float64) if u is not None else None for u, _ in looked]
+            stays = [c is not None and (n < MANY or c.max() >= SPREADS * SIZE**-0.5) for c, (_, n) in zip(cosines, looked, strict=True)]
+            filled = [names[int(np.argmax(np.round(c, 6)))] if x is None and c is not None else x for x, c in zip(batch.column(lang).to_pylist(), cosines, strict=True)]
             at = batch.schema.get_field_index(lang)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(filled, batch.schema.field(at).type)).filter(pa.array([u is not None for u in units], pa.bool_()))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(filled, batch.schema.field(at).type)).filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import arrow_limits, pick, row_key, shared_dir, stash
+from docquarry.llm.common import arrow_limits, fresh, pick, row_key, shared_dir, stash
 
 BLANK = " \t\n\v\f\r"
 
@@ -159,21 +159,22 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(left), len(lines), len(lines) - len(left)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a column named __keep; bitmaps are joined by id and row key, nulls included."""
-    own = docs.withColumn("__rk", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
-    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk2"), F.col("keep").alias("__keep"))
-    on = (F.col("__rk") == F.col("__rk2")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
-    return own.join(right, on, "left").drop("__rk", "__rk2", "__id")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """(docs with one more column, its name): bitmaps joined by id and row key, nulls included.  Columns of docs keep their names and values, whatever these are."""
+    keep, rk, other, own_id = fresh(docs, "__keep", "__rk", "__rk2", "__id")
+    own = docs.withColumn(rk, F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
+    right = bitmaps.select(F.col("doc_id").alias(own_id), F.col("rk").alias(other), F.col("keep").alias(keep))
+    on = (F.col(rk) == F.col(other)) & F.col(doc_id).cast("long").eqNullSafe(F.col(own_id))
+    return own.join(right, on, "left").drop(rk, other, own_id), keep
 
 
 def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row, with its bitmap applied."""
-    joined = with_bitmaps(pick(docs, doc_id, text), keep_bitmaps(docs, doc_id, text, min_chars, min_docs))
+    joined, keep = with_bitmaps(pick(docs, doc_id, text), keep_bitmaps(docs, doc_id, text, min_chars, min_docs))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [kept_text(x, y) for x, y in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist(), strict=True)]
+            got = [kept_text(x, y) for x, y in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist(), strict=True)]
             columns = [
                 batch.column("doc_id"),
                 pa.array([x[1] for x in got], pa.int64()),
@@ -182,19 +183,19 @@ def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "__keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.select("doc_id", "text", keep).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the lines of keep_bitmaps() taken out of the text column; every row and every other column stays."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, doc_id, text, min_chars, min_docs), doc_id, text)
+    joined, keep = with_bitmaps(docs, keep_bitmaps(docs, doc_id, text, min_chars, min_docs), doc_id, text)
     names, place = docs.columns, docs.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(text).to_pylist(), batch.column("__keep").to_pylist(), strict=True)
-            kept = pa.array([x if keep is None else kept_text(x, keep)[0] for x, keep in pairs], pa.string())
+            pairs = zip(batch.column(text).to_pylist(), batch.column(keep).to_pylist(), strict=True)
+            kept = pa.array([x if bits is None else kept_text(x, bits)[0] for x, bits in pairs], pa.string())
             columns = [*batch.columns[:place], kept, *batch.columns[place + 1 : -1]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "__keep").mapInArrow(of, docs.schema)
+    return joined.select(*(F.col(f"`{c}`") for c in names), keep).mapInArrow(of, docs.schema)

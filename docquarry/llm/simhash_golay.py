@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import arrow_limits, pick, row_key, stash
+from docquarry.llm.common import arrow_limits, fresh, pick, row_key, stash
 from docquarry.llm.components import connected_components
 
 #: Generator polynomial of the (23,12,7) code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; of rows equal in id and text one stays."""
     near = near_duplicates(docs, doc_id, text, width)
-    kept = stash(near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    own = docs.withColumn("__rk", row_key(doc_id, text)).join(kept.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own_id, rk = fresh(docs, "__id", "__rk")
+    kept = stash(near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct(), "kept")
+    own = docs.withColumn(rk, row_key(doc_id, text)).join(kept.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(own_id)), "left_semi")
     # only rows with an equal one are dealt by their key: written down, so that their number is known before texts would move
-    again = stash(docs.select(row_key(doc_id, text).alias("__rk")).groupBy("__rk").count().where("count > 1").select("__rk"), "again")
-    return own.join(again, "__rk", "left_anti").unionByName(own.join(again, "__rk", "left_semi").dropDuplicates([doc_id, "__rk"])).drop("__rk")
+    again = stash(docs.select(row_key(doc_id, text).alias(rk)).groupBy(rk).count().where("count > 1").select(rk), "again")
+    return own.join(again, rk, "left_anti").unionByName(own.join(again, rk, "left_semi").dropDuplicates([doc_id, rk])).drop(rk)
