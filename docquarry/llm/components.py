@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import stash
+from docquarry.llm.common import drop_stash, stash
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         # small-star: a node and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        older, edges = edges, stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_stash(older)
         state, before = _state(edges), state
         if state == before:
             break

@@ -24,7 +24,7 @@ from docquarry.llm.common import arrow_limits, stash
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Numbers of a block of vectors, about; points of a leaf at most, unless they are equal.
-BLOCK_NUMBERS, LEAF = 1 << 18, 48
+BLOCK_NUMBERS, LEAF = 1 << 18, 64
 #: Share of a distance by which a bound must hold before an entry is struck off: far above what doubles lose.
 SURE = 1e-9
 
@@ -56,35 +56,24 @@ class Tree:
 
 
 def anchors(points: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """(the points that each anchor owns, distances looked at): about sqrt(n) anchors, each the point farthest from its own anchor of the widest one so far."""
-    gap = np.sqrt(((points - points[0]) ** 2).sum(axis=1))
-    order = np.argsort(-gap, kind="stable")
-    pivots, owned, gaps, looked = [points[0]], [order], [gap[order]], len(points)
+    """(the points that each anchor owns, distances looked at): about sqrt(n) anchors, each the point farthest from its own anchor so far."""
+    gap, owner = np.sqrt(((points - points[0]) ** 2).sum(axis=1)), np.zeros(len(points), dtype=np.int64)
+    pivots, looked = [points[0]], len(points)
     for _ in range(1, int(np.ceil(np.sqrt(len(points))))):
-        widest = int(np.argmax([g[0] for g in gaps]))
-        if gaps[widest][0] == 0:
+        far = int(np.argmax(gap))
+        if gap[far] == 0:
             break  # only equal points are left together
-        new = points[owned[widest][0]]
-        taken, distances = [], []
+        new = points[far]
         between = np.sqrt(((np.array(pivots) - new) ** 2).sum(axis=1))
-        for i, far in enumerate(between.tolist()):
-            # a point within half the way to the new anchor can't be nearer to that one
-            n = int(np.searchsorted(-gaps[i], -far / 2, side="left"))
-            if not n:
-                continue
-            d = np.sqrt(((points[owned[i][:n]] - new) ** 2).sum(axis=1))
-            looked += n
-            go = d < gaps[i][:n]
-            if go.any():
-                taken.append(owned[i][:n][go])
-                distances.append(d[go])
-                stay = np.append(~go, np.ones(len(owned[i]) - n, dtype=bool))
-                owned[i], gaps[i] = owned[i][stay], gaps[i][stay]
-        mine, gap = np.concatenate(taken), np.concatenate(distances)
-        order = np.argsort(-gap, kind="stable")
+        # a point within half the way from its anchor to the new one can't be nearer to that one
+        may = np.flatnonzero(gap > between[owner] / 2)
+        distance = np.sqrt(((points[may] - new) ** 2).sum(axis=1))
+        looked += len(may)
+        go = distance < gap[may]
+        owner[may[go]], gap[may[go]] = len(pivots), distance[go]
         pivots.append(new)
-        owned.append(mine[order])
-        gaps.append(gap[order])
+    order = np.argsort(owner, kind="stable")
+    owned = np.split(order, np.cumsum(np.bincount(owner, minlength=len(pivots)))[:-1])
     # an anchor that is a copy of a later one's place could lose all its points; it is no ball then
     return [x for x in owned if len(x)], looked
 
