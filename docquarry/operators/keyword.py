@@ -58,7 +58,8 @@ def bm25_topk(
     (score 0), in the corpus order given by `order`.
 
     Blocks of queries, as weights of their terms, are broadcast.  A chunk is scored in its own row against all of a block's queries by one
-    product, and each task keeps k chunks for each query, so no pairs of query and chunk are ever rows.
+    product, and each task keeps k chunks for each query, so no pairs of query and chunk are ever rows.  Statistics and the queries' weights are worked out as this is
+    called, as blocks are made of them; the scan of the chunks waits for an action.
     """
     terms, corpus = bm25_stats(chunks, epsilon=epsilon)
     asked = queries.select(query_key, F.explode(X.search_tokens(F.col(query))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
