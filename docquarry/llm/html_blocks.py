@@ -46,9 +46,9 @@ LETTERS = re.compile(r"[a-z]+")
 #: Sizes of the learned tables, of a cell, and the threshold.
 PATHS, WORDS, PATH_DIM, WORD_DIM, PLAIN, CELL, SURE = 2048, 2048, 12, 6, 4, 16, 0.5
 #: Pages that are read side by side; steps whose inputs are held at a time; pages and rounds of training.
-SIDE, STEPS, PAGES, EPOCHS = 128, 4096, 1500, 8
+SIDE, STEPS, PAGES, EPOCHS = 128, 4096, 2500, 8
 #: Share of the pages in training whose words are shown, too.
-HEARD = 0.5
+HEARD = 0.3
 #: Characters of html that a task labels at a time, about.
 PIECE = 1 << 22
 
@@ -489,13 +489,13 @@ def layouts(seed: int, pages: int) -> Iterator[tuple[list[Block], np.ndarray]]:
 
 @lru_cache(maxsize=1)
 def trained(seed: int = 5, pages: int = PAGES, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """The labeller's weights: the same for the same arguments, learned once in a driver (a few seconds, whatever the corpus)."""
+    """The labeller's weights: the same for the same arguments, learned once in a driver (about ten seconds, whatever the corpus)."""
     w, r = new_weights(seed), np.random.default_rng(seed)
     data = sorted(((Inputs(b), y) for b, y in layouts(seed, pages)), key=lambda x: len(x[1]))
     batches = [data[i : i + 32] for i in range(0, len(data), 32)]
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for epoch in range(epochs):
-        rate = 0.02 if epoch < epochs - 2 else 0.005
+        rate = 0.015 if epoch < epochs - 3 else 0.004
         for i in r.permutation(len(batches)):
             step += 1
             _, got = gradient([x for x, _ in batches[i]], [y for _, y in batches[i]], w, r.random(len(batches[i])) < HEARD)
