@@ -47,9 +47,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stash(held: DataFrame) -> None:
     """Deletes what stash() wrote, once everything that reads it has been written itself."""
-    jvm, conf = held.sparkSession._jvm, held.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(held._stash)
-    path.getFileSystem(conf).delete(path, True)
+    drop_path(held.sparkSession, held._stash)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
