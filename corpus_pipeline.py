@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.bpe_stream import encode_checked
-from docquarry.llm.common import shared_dir, table
+from docquarry.llm.common import drop_path, shared_dir, table
 from docquarry.llm.decontam import drop_contaminated
 from docquarry.llm.langid_hd import keep_identified, prototypes
 from docquarry.llm.line_bitmaps import drop_repeated_lines
@@ -19,7 +19,7 @@ from docquarry.llm.simhash_golay import keep_one_of_each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what op6 calls `und`: documents without a letter, and all where no language was learned; a null lang becomes the predicted one."""
+    """Drops what op6 calls `und` (documents without a letter, and all where no language was learned) and long texts that are near no learned language; a null lang becomes the predicted one."""
     return keep_identified(docs, prototypes(docs))
 
 
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, at, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            drop_path(spark, before)  # read by this stage alone
+        before = f"{at}/{name}"
+        docs = spark.read.parquet(before)
     return docs
