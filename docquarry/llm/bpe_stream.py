@@ -195,7 +195,8 @@ class Transducer:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = array("I", [x for ids in self.run(piece.encode()) for x in ids]).tobytes()
+            data = piece.encode()
+            got = array("I", self.stable(data, True)[0] if len(data) <= FEED else [x for ids in self.run(data) for x in ids]).tobytes()
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= KNOWN:
                     self.pieces.clear()
