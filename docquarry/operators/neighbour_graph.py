@@ -29,11 +29,13 @@ PART_NUMBERS, SAMPLE, CELLS, LEARN = 1 << 20, 20_000, 1024, 6
 NEAR, LINKS, FAR, ROUNDS, TOGETHER = 14, 24, 2, 10, 256
 #: Cells that a question goes to, and vectors that a walk follows; it begins with as many as the root of their number, so that it meets most clusters.
 PROBE, BEAM = 4, 160
+#: Vectors that a check compares at a time.
+COMPARED = 2048
 
 
 @dataclass
 class Graph:
-    """parts: cell, part, n, vectors, links, a row per part; nodes: part, node, key, order columns; centroids: cell, centroid."""
+    """parts: cell, part, n, radius (largest distance from the cell's centroid), vectors, links, a row per part; a node's number is its place in the order; nodes: part, node, key, order columns; centroids: cell, centroid."""
 
     parts: DataFrame
     nodes: DataFrame
@@ -195,21 +197,21 @@ def build(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     sizes = {r[0]: r[1] for r in dealt.groupBy("_cell").count().collect()}  # a row per cell
     splits = F.create_map(*(F.lit(x) for c, size in (sizes or {0: 1}).items() for x in (c, -(-size // most))))
     part = F.col("_cell").cast("long") * (1 << 24) + F.pmod(F.xxhash64(key), splits[F.col("_cell")].cast("long"))
-    schema = StructType([*columns, *StructType.fromDDL("part long, node int, cell int, n int, vectors binary, links binary").fields])
+    schema = StructType([*columns, *StructType.fromDDL("part long, node int, cell int, n int, radius double, vectors binary, links binary").fields])
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(kept, kind="stable").reset_index(drop=True)
+        rows = rows.sort_values([*order, key], na_position="first", kind="stable").reset_index(drop=True)
         x = np.frombuffer(b"".join(rows["_v"]), dtype=kind).reshape(len(rows), width)
         links = navigable(neighbour_lists(x.astype(np.float32)))
         at, cell = int(rows["_part"].iloc[0]), int(rows["_cell"].iloc[0])
         nodes = rows[kept].assign(part=at, node=np.arange(len(rows), dtype=np.int32))
-        whole = pd.DataFrame([{"part": at, "cell": cell, "n": len(rows), "vectors": x.tobytes(), "links": links.astype("<i4").tobytes()}])
+        whole = pd.DataFrame([{"part": at, "cell": cell, "n": len(rows), "radius": float(np.linalg.norm(x - shared.value[cell], axis=1).max()), "vectors": x.tobytes(), "links": links.astype("<i4").tobytes()}])
         out = pd.concat([nodes, whole], ignore_index=True).reindex(columns=schema.names)
         return out.astype({"part": "int64", "node": "Int32", "cell": "Int32", "n": "Int32"})
 
     held = stash(dealt.withColumn("_part", part).groupBy("_part").applyInPandas(linked, schema), "graph")
     nodes = held.where("node is not null").select(*(F.col(c).alias(c) for c in ("part", "node", *kept)))
-    parts = held.where("node is null").select(*(F.col(c).alias(c) for c in ("cell", "part", "n", "vectors", "links")))
+    parts = held.where("node is null").select(*(F.col(c).alias(c) for c in ("cell", "part", "n", "radius", "vectors", "links")))
     learned = [(i, c) for i, c in enumerate(centroids.tolist())] if n else []
     return Graph(parts, nodes, spark.createDataFrame(learned, "cell int, centroid array<double>"))
 
@@ -272,10 +274,51 @@ def walks(index: Graph, queries: DataFrame, k: int = 8, probe: int = 0, beam: in
     return out
 
 
-def search(index: Graph, queries: DataFrame, k: int = 8, where: dict | None = None, rows: DataFrame | None = None, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", order: tuple[str, ...] = (), probe: int = 0, beam: int = 0) -> DataFrame:
+def unmissed(index: Graph, found: DataFrame, queries: DataFrame, k: int = 8, embedding: str = "embedding", query_key: str = "query_id", allowed: DataFrame | None = None) -> DataFrame:
+    """(query_key, part, node, similarity): of each part the k best that reach a question's k-th similarity in `found`, ties by node.
+
+    A part's vectors are compared unless its cell's centroid and radius show that none of them can reach it.
+    """
+    spark = queries.sparkSession
+    centroids = {r["cell"]: np.array(r["centroid"]) for r in index.centroids.collect()}  # bounded by CELLS
+    asked = topk.with_floors(queries.select(query_key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null"), found, query_key, "similarity", k)
+    parts = (index.parts if allowed is None else index.parts.join(allowed, "part")).drop("links")
+    schema = StructType([queries.schema[query_key], *StructType.fromDDL("part long, node int, similarity double").fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def of(shared) -> Callable:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = np.frombuffer(row["vectors"], dtype="<f8" if len(row["vectors"]) == 8 * row["n"] * len(centroids[row["cell"]]) else "<f4").reshape(row["n"], -1)
+                    nodes = np.sort(np.array(row["allowed"], dtype=np.int64)) if "allowed" in row else np.arange(row["n"])
+                    for names, matrix, floor in shared.value:
+                        most = matrix @ centroids[row["cell"]] + np.linalg.norm(matrix, axis=1) * row["radius"]
+                        mine = np.flatnonzero(most + topk.SLACK >= floor)
+                        if not len(mine):
+                            continue
+                        held = topk.Held(len(mine), k, ("node",), floor[mine])
+                        for at in range(0, len(nodes), COMPARED):
+                            some = nodes[at : at + COMPARED]
+                            held.add(pd.DataFrame({"node": some}), np.round(x[some].astype(np.float64) @ matrix[mine].T, DIGITS) + 0.0)
+                        if held.rows is not None:
+                            columns = [[names[mine[i]] for i in held.rows["_query"]], np.full(len(held.rows), row["part"]), held.rows["node"], held.rows["_score"]]
+                            yield pa.RecordBatch.from_arrays([pa.array(v, kind, from_pandas=True) for v, kind in zip(columns, kinds, strict=True)], names=schema.names)
+
+        return check
+
+    out = spark.createDataFrame([], schema)
+    for blocks in topk.query_passes(asked, query_key):
+        held = [([r[query_key] for r in rows], np.array([r["e"] for r in rows]), topk.floor_of(rows)) for rows in blocks]
+        out = out.unionByName(parts.mapInArrow(of(spark.sparkContext.broadcast(held)), schema))
+    return out
+
+
+def search(index: Graph, queries: DataFrame, k: int = 8, where: dict | None = None, rows: DataFrame | None = None, key: str = "vec_id", embedding: str = "embedding", query_key: str = "query_id", order: tuple[str, ...] = (), probe: int = 0, beam: int = 0, exact: bool = False) -> DataFrame:
     """(query_key, key, similarity, distance, rank from 0), as vector_topk() gives them but approximate: the near vectors that walks found; similarities are exact.
 
     where: a filter on the columns of `rows` (key and what is filtered by); a walk goes through other vectors, but only returns those that match.
+    exact: a check of all parts follows (unmissed()), so that the result is that of vector_topk().
     """
     order, allowed = order or (key,), None
     if where:
@@ -284,6 +327,9 @@ def search(index: Graph, queries: DataFrame, k: int = 8, where: dict | None = No
         match = rows.where(metadata_filter(rows, where)).select(key)
         allowed = index.nodes.join(match, key, "left_semi").groupBy("part").agg(F.collect_list("node").alias("allowed"))
     found = walks(index, queries, k, probe, beam, embedding, query_key, allowed)
+    if exact:
+        found = stash(found.drop("touched"), "walked")
+        found = found.unionByName(unmissed(index, found, queries, k, embedding, query_key, allowed)).groupBy(query_key, "part", "node").agg(F.max("similarity").alias("similarity"))
     kept = [key, *(c for c in order if c != key)]
     named = found.join(index.nodes.select("part", "node", *kept), ["part", "node"])
     best = topk.ranked(named, query_key, "similarity", k, order)
