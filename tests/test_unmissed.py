@@ -20,12 +20,22 @@ def rows(df):
 
 
 @pytest.mark.parametrize("where", [None, {"label": [1, 2]}])
-def test_checked_walks_are_exact(copies, where):
+def test_checked_walks_and_codes_are_exact(copies, where):
     asked = copies.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     want = rows(search.vector_topk(copies, asked, 8, where))
     index = G.build(copies, part_numbers=300 * 16)
     assert rows(G.search(index, asked, 8, where, copies, probe=1, exact=True)) == want
     assert rows(G.search(index, asked, 8, where, copies, probe=1)) != want
+    assert rows(search.vector_topk_quantised(copies, asked, 8, where=where, exact=True)) == want
+
+
+def test_codes_miss_a_group_of_near_vectors_without_the_check(spark):
+    r = np.random.default_rng(5)
+    x = G._unit(G._unit(r.normal(size=16)) + 0.002 * r.normal(size=(2000, 16)))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = rows(search.vector_topk(df, asked, 8))
+    assert rows(search.vector_topk_quantised(df, asked, 8, exact=True)) == want != rows(search.vector_topk_quantised(df, asked, 8))
 
 
 def test_similarities_are_rounded_as_the_sql_does(spark):
