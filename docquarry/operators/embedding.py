@@ -8,15 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM = 256
-
+from docquarry.functions.tokens import tokenized
+from docquarry.sources.shared import arrow_limits
 
-def hash_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+DIM = 256
 
 
 def _hashed(token: str) -> tuple[int, int]:
@@ -27,9 +25,9 @@ def _hashed(token: str) -> tuple[int, int]:
 
 def _tables(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     """Each row's hashed vector as whole numbers: a hash for each different token of the batch, then one count."""
-    tokens = batch.column("tokens")
-    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
-    known = tokens.flatten().dictionary_encode()
+    sizes, tokens = tokenized(batch.column("lowered"))
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    known = tokens.dictionary_encode()
     hashed = [_hashed(x) for x in known.dictionary.to_pylist()]
     bucket, sign = np.array([h % dim for h, _ in hashed], dtype=np.int64), np.array([s for _, s in hashed], dtype=np.float64)
     place = known.indices.to_numpy(zero_copy_only=False)
@@ -39,6 +37,7 @@ def _tables(batch: pa.RecordBatch, dim: int) -> np.ndarray:
 
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, bucket, value): the non-zero cells of each text's hashed vector, as whole numbers before normalisation.  A row alone decides its cells: no shuffle."""
+    arrow_limits(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,11 +46,12 @@ def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
             columns = [batch.column(key).take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(table[row, bucket].astype(np.int64), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "bucket", "value"])
 
-    return df.select(key, hash_tokens(F.col(text)).alias("tokens")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, bucket int, value long")
+    return df.select(key, F.lower(F.col(text)).alias("lowered")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, bucket int, value long")
 
 
 def hash_vectors(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, embedding): unit vectors of dim numbers; texts without a token have the zero vector.  No shuffle."""
+    arrow_limits(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, dim), pa.int32()), pa.array(table.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(key), vectors], names=[key, "embedding"])
 
-    return df.select(key, hash_tokens(F.col(text)).alias("tokens")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
+    return df.select(key, F.lower(F.col(text)).alias("lowered")).mapInArrow(of, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
 
 
 def neural_vectors(df: DataFrame, key: str, text: str, model: str = "sentence-transformers/all-MiniLM-L6-v2", batch: int = 32) -> DataFrame:
