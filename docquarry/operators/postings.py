@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 
 from docquarry.functions import exprs as X
 from docquarry.operators import topk
-from docquarry.operators.keyword import B, DIGITS, EPSILON, K1, bm25_stats, bm25_topk, index_tokens
+from docquarry.operators.keyword import B, DIGITS, EPSILON, K1, bm25_stats, bm25_topk, index_tokens, lowered
 from docquarry.operators.search import metadata_filter
 from docquarry.sources.shared import stash
 
@@ -84,22 +84,23 @@ def invert(tokens: pa.ListArray, average: float, k1: float, b: float) -> tuple[n
     starts = np.flatnonzero(within % BLOCK == 0)
     stops = np.append(starts[1:], len(term))
     best = np.maximum.reduceat(factor(tf, k1 * (1 - b + b * length[doc] / average), k1), starts)
+    tops = np.maximum.reduceat(tf, starts).tolist()  # most blocks are of a rare term, once in each chunk: nothing to pack
     gaps, names = np.diff(doc, prepend=0) - 1, known.dictionary.take(pa.array(order)).to_pylist()
     out = []
     for i, (a, z) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
         packed = pack(gaps[a + 1 : z]) if z - a > 1 else b""
-        out.append((names[term[a]], int(within[a]) // BLOCK, int(doc[a]), int(doc[z - 1]), z - a, float(best[i]), packed, pack(tf[a:z] - 1)))
+        out.append((names[term[a]], int(within[a]) // BLOCK, int(doc[a]), int(doc[z - 1]), z - a, float(best[i]), packed, pack(tf[a:z] - 1) if tops[i] > 1 else b""))
     return length, out
 
 
 def build(chunks: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ("chunk_id",), text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON, segment: int = 0) -> Postings:
-    """The index of all chunks.  Two passes over the texts (statistics, then postings); what is shuffled is tokens by corpus order and packed blocks by term."""
+    """The index of all chunks.  Two passes over the texts (statistics, then postings); what is shuffled is texts by corpus order and packed blocks by term."""
     segment = segment or SEGMENT
     terms, corpus = (stash(x, "statistics") for x in bm25_stats(chunks, text, epsilon))
     row = corpus.first()
     average, n = row["avgdl"] or 1.0, row["n_docs"] or 0
     kept = [key, *(c for c in order if c != key)]
-    rows = chunks.select(*kept, index_tokens(F.col(text)).alias("_tokens"))
+    rows = chunks.select(*kept, lowered(F.col(text)).alias("_lowered"))
     # a range of the corpus order for each task, about a segment
     rows = rows.repartitionByRange(max(1, -(-n // segment)), *(F.col(c).asc_nulls_first() for c in order)).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in order))
     own = [chunks.schema[c] for c in kept]
@@ -112,7 +113,7 @@ def build(chunks: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ("c
 
         def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
-            length, found = invert(whole.column("_tokens").combine_chunks(), average, k1, b)
+            length, found = invert(index_tokens(whole.column("_lowered").combine_chunks()), average, k1, b)
             at = part << 20 | number
             yield _rows(arrow, len(length), {**{c: whole.column(c).combine_chunks() for c in kept}, "kind": ["doc"] * len(length), "segment": [at] * len(length), "doc": np.arange(len(length), dtype=np.int32)})
             yield _rows(arrow, 1, {"kind": ["lengths"], "segment": [at], "lengths": [length.astype("<i4").tobytes()]})
