@@ -12,13 +12,15 @@ on collections of short strings that together hold every window of `length` byte
    them the collection's transform and common prefixes grow by one symbol (a word of bytes) of each string a round, from the last column to the
    first, by sequential passes over two files.  Neighbours in suffix order that share `length` bytes form classes; a class of two windows, or of one
    in a string of weight two, is a repeat.
-4. A mark with very many different strings is dealt over several buckets; their classes then meet by a hash of their bytes.
+4. Strings of a mark with very many different ones are cut further, into windows whose mark lies within `width` places of each other.  Those share more bytes
+   than the mark, which are their new mark; `width` goes down to 1, where a mark's strings are all alike.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import BinaryIO
 
 import numpy as np
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import arrow_limits, drop_stash, pick, stash
 
-#: Bytes of a marking string; windows hashed at a time; strings of a bucket, about; different strings of a mark from which it is dealt over several buckets.
+#: Bytes of a marking string; windows hashed at a time; strings of a bucket, about; different strings of a mark from which they are cut further.
 GRAM, BLOCK, BUCKET, SPREAD = 32, 1 << 15, 1000, 1000
+#: By what a window's width goes down when strings of one mark are cut further.
+NARROW = 4
 #: Bytes of a symbol at most; strings of one construction, about; records of a file that are held at a time.
 WORD, TOGETHER, RECORDS = 25, 250, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
@@ -94,6 +98,26 @@ def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(marks), np.concatenate(twice)
 
 
+def narrower(segment: bytes, length: int, width: int) -> list[tuple[int, int, int]]:
+    """(first window, windows, mark) of a segment's parts, in order: windows that hold its first mark in one of `width` places, counted from the window's start.
+
+    Equal windows hold it at one place, so they get equal marks, which are made of the bytes that all such windows share.
+    """
+    hashes = gram_hashes(np.frombuffer(segment, dtype=np.uint8))
+    at = np.flatnonzero(hashes == hashes.min())
+    starts = np.arange(len(segment) - length + 1)
+    place = at[np.searchsorted(at, starts)]
+    group = (place - starts) // width
+    firsts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (group[1:] != group[:-1])))
+    out = []
+    for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(starts)], strict=True):
+        c = int(group[a])
+        begin = int(place[a]) - c * width  # the last start of such windows
+        shared = segment[begin : begin + length - width + 1] if width < length else b""
+        out.append((a, b - a, xxhash.xxh3_64_intdigest(b"%d %d " % (width, c) + shared) - (1 << 63)))
+    return out
+
+
 class Records:
     """A file of equal numbers that is only written and read from its start to its end."""
 
@@ -265,13 +289,13 @@ def word_names(data: np.ndarray, word: int) -> np.ndarray:
     return names
 
 
-FOUND_SCHEMA = "s1 long, s2 long, first int, stop int, w1 long, w2 long, weight long"
+FOUND_SCHEMA = "s1 long, s2 long, first int, stop int"
 
 
 def bucket_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of one bucket: ranges of windows known to be repeats; for marks over several buckets also the classes by hash."""
-    pdf = pdf.drop_duplicates(["s1", "s2"]).sort_values("h", kind="stable")  # repeated rows fetch a string twice
-    marks, segs, weight, hot = pdf["h"].to_numpy(), pdf["seg"].tolist(), pdf["n"].to_numpy(), pdf["hot"].to_numpy()
+    """Of one bucket: ranges of windows that are repeats."""
+    pdf = pdf.drop_duplicates(["h", "s1", "s2"]).sort_values("h", kind="stable")  # repeated rows fetch a string twice
+    marks, segs, weight = pdf["h"].to_numpy(), pdf["seg"].tolist(), pdf["n"].to_numpy()
     key = pdf[["s1", "s2"]].to_numpy().tolist()
     # a mark's strings are neighbours, so cutting the list between marks keeps them together
     changes = np.flatnonzero(np.diff(marks)) + 1
@@ -283,23 +307,15 @@ def bucket_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     for begin, end in zip(cuts, [*cuts[1:], len(segs)], strict=True):
         who, start, number = classes(segs[begin:end], length)
         own = weight[begin:end][who]
-        total = np.bincount(number, weights=own).astype(np.int64)[number]
-        repeat = total > 1
+        repeat = np.bincount(number, weights=own).astype(np.int64)[number] > 1
         edges = np.diff(np.where(repeat, who + 1, 0), prepend=0, append=0)
         at = np.flatnonzero(edges)
         # runs of repeated windows of one string: both sides of each change
         for a, b in zip(at, at[1:]):  # noqa: B905
             if repeat[a]:
-                out.append((*key[begin + who[a]], int(start[a]), int(start[b - 1]) + 1, None, None, None))
-        if hot[begin:end].any():
-            # one row for each class as a partner, and one for each window that is still alone
-            chosen = np.flatnonzero(hot[begin:end][who] & (~repeat | np.isin(np.arange(len(who)), np.unique(number, return_index=True)[1])))
-            for x in chosen.tolist():
-                i, a = begin + int(who[x]), int(start[x])
-                w = xxhash.xxh3_128_intdigest(segs[i][a : a + length])
-                out.append((*key[i], a, a + 1, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63), int(total[x])))
+                out.append((*key[begin + who[a]], int(start[a]), int(start[b - 1]) + 1))
     names = [x.split()[0] for x in FOUND_SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({"first": "int32", "stop": "int32", **dict.fromkeys(("w1", "w2", "weight"), "Int64")})
+    return pd.DataFrame(out, columns=names).astype({"s1": "int64", "s2": "int64", "first": "int32", "stop": "int32"})
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -308,6 +324,29 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"))
 
 
+def _narrowed(segs: DataFrame, length: int, width: int) -> DataFrame:
+    """Members with their bytes, cut further from segs (k1, k2, at, seg) by narrower(); those whose new mark is at one place are left out."""
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "at", "windows", "h", "s1", "s2", "seg"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for batch in batches:
+            rows = []
+            for k1, k2, at, seg in zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "at", "seg")), strict=True):
+                for first, count, mark in narrower(seg, length, width):
+                    part = seg[first : first + count + length - 1]
+                    s = xxhash.xxh3_128_digest(part)
+                    rows.append((k1, k2, at + first, count, mark, int.from_bytes(s[:8], "little", signed=True), int.from_bytes(s[8:], "little", signed=True), part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    cut = stash(segs.select("k1", "k2", "at", "seg").mapInArrow(narrow, "k1 long, k2 long, at int, windows int, h long, s1 long, s2 long, seg binary"), "narrower")
+    shared = cut.groupBy("h").count().where("count > 1").select("h")
+    held = stash(cut.join(shared, "h"), "members")
+    drop_stash(cut)
+    return held
+
+
 def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """(k1, k2, spans) by a row's key: its bytes [start, end) that lie in a repeated string.  Rows without a repeat are left out."""
     arrow_limits(docs.sparkSession)
@@ -333,17 +372,33 @@ def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     each = cut.select("k1", "k2", F.explode(F.arrays_zip("at", "windows", "h", "s1", "s2")).alias("x")).select("k1", "k2", "x.*")
     members = stash(each.join(shared, "h"), "members")
     drop_stash(cut)
-    # all of a string's firsts are of one row
-    strings = members.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "windows")))
-    strings = stash(strings, "strings")
+    parts, width, kept = [], length - GRAM + 1, members.columns
+    while True:
+        # all of a string's firsts are of one row
+        strings = members.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "windows")))
+        strings = stash(strings, "strings")
+        many = stash(strings.groupBy("h").count().where(F.col("count") > SPREAD).select("h"), "many")
+        if width == 1 or many.isEmpty():
+            parts.append((members.select(*kept), strings, strings))
+            break
+        parts.append((members.select(*kept), strings.join(many, "h", "left_anti"), strings))
+        width = -(-width // NARROW)
+        segs = members.join(many, "h", "left_semi")
+        if len(parts) == 1:
+            # a small table of places, so that texts need not be shuffled; a repeated row comes as often as it is there
+            places = stash(segs.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "windows")).alias("cut")), "places")
+            seg = lambda x: F.struct(x["at"].alias("at"), F.substring(F.col("text").cast("binary"), x["at"] + 1, x["windows"] + length - 1).alias("seg"))
+            segs = own.join(places, ["k1", "k2"]).select("k1", "k2", F.explode(F.transform("cut", seg)).alias("x")).select("k1", "k2", "x.*")
+        members = _narrowed(segs, length, width)
+    union = lambda i: reduce(DataFrame.unionByName, (x[i] for x in parts))
+    strings, members = union(1), union(0)  # members that were cut further keep a string that no bucket has
     buckets = strings.count() // BUCKET + 1
-    many = strings.groupBy("h").count().where(F.col("count") > SPREAD).select("h", F.ceil(F.col("count") / SPREAD).alias("spread"))
-    bucket = F.pmod(F.xxhash64("h", F.pmod(F.col("s1"), F.coalesce("spread", F.lit(1)))), F.lit(buckets))
-    dealt = strings.join(many, "h", "left").select("k1", "k2", F.struct(bucket.alias("bucket"), "h", "s1", "s2", "n", F.col("spread").isNotNull().alias("hot"), "at", "windows").alias("x"))
+    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets))
+    dealt = strings.select("k1", "k2", F.struct(bucket.alias("bucket"), "h", "s1", "s2", "n", "at", "windows").alias("x"))
     wanted = dealt.groupBy("k1", "k2").agg(F.collect_list("x").alias("cut"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last = ["bucket", "h", "s1", "s2", "n", "hot"], None
+        names, last = ["bucket", "h", "s1", "s2", "n"], None
         for batch in batches:
             rows = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "cut")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
             got, bodies = [], []
@@ -353,18 +408,15 @@ def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 last = (k1, k2)
                 got += cut
                 bodies += [raw[x["at"] : x["at"] + x["windows"] + length - 1] for x in cut]
-            kinds = (pa.int64(),) * 5 + (pa.bool_(),)
             for at in range(0, len(got), 4096):
-                columns = [pa.array([x[c] for x in got[at : at + 4096]], k) for c, k in zip(names, kinds, strict=True)]
+                columns = [pa.array([x[c] for x in got[at : at + 4096]], pa.int64()) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies[at : at + 4096], pa.binary())], names=[*names, "seg"])
 
-    fetched = own.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(fetch, "bucket long, h long, s1 long, s2 long, n long, hot boolean, seg binary")
+    fetched = own.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(fetch, "bucket long, h long, s1 long, s2 long, n long, seg binary")
     found = stash(fetched.groupBy("bucket").applyInPandas(lambda pdf: bucket_repeats(pdf, length), FOUND_SCHEMA), "repeats")
-    drop_stash(strings)
-    met = found.where("w1 is not null")
-    twice = met.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    known = found.where("w1 is null").select("s1", "s2", "first", "stop").unionByName(met.join(twice, ["w1", "w2"]).select("s1", "s2", "first", "stop"))
-    ranges = known.groupBy("s1", "s2").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
+    for _, _, held in parts:
+        drop_stash(held)
+    ranges = found.groupBy("s1", "s2").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
     spans = members.select("k1", "k2", "at", "s1", "s2").join(ranges, ["s1", "s2"])
     span = F.transform("ranges", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["stop"] - 1 + length).alias("b")))
     return spans.select("k1", "k2", F.explode(span).alias("x")).groupBy("k1", "k2").agg(F.collect_set("x").alias("spans"))

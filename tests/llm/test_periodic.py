@@ -47,3 +47,44 @@ def test_runs_of_one_period(spark, length):
 def test_a_mark_at_two_places_of_one_segment():
     one, two = unlike(random.Random(1), 400).encode(), b"ab " * 90
     assert not suffix_bcr.segments(one, 200)[3].any() and suffix_bcr.segments(two, 200)[3].all()
+
+
+@pytest.mark.parametrize("length", [200, 64])
+def test_a_common_passage_between_unlike_texts(spark, monkeypatch, length):
+    # marks of very many different strings are cut further; no bucket writes a row for each of their windows
+    rows, held, plain = [], {}, suffix_bcr.stash
+
+    def counted(df, name):
+        out = plain(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_bcr, "SPREAD", 8)
+    monkeypatch.setattr(suffix_bcr, "stash", counted)
+    r = random.Random(length)
+    passage = unlike(r, 300)
+    ends = [unlike(r, 20) for _ in range(4)]
+    for _ in range(120):
+        # some go on alike for some bytes on one side or both
+        rows.append(unlike(r, r.randrange(50, 250)) + r.choice(ends)[r.randrange(20) :] + passage + r.choice(ends)[: r.randrange(20)] + unlike(r, r.randrange(50, 250)))
+    rows += rows[:3] + ["ab " * 90, "ab " * 80 + passage, passage[:length]]
+    df = spark.createDataFrame([*enumerate(rows), (0, rows[0])], "doc_id long, text string")
+    got = sorted(tuple(x) for x in suffix_bcr.repeats_digest(df, length).collect())
+    assert [x[1:] for x in got] == brute([rows[0], *rows], length)
+    assert held["repeats"] <= 1000  # 20559 and 4071 before
+
+
+def test_narrower_parts_of_equal_windows_share_their_mark():
+    r = random.Random(5)
+    core = unlike(r, 320)
+    for width in (43, 11, 3, 1):
+        marks = {}
+        for raw in (core.encode(), (unlike(r, 90) + core[20:300] + unlike(r, 90)).encode(), b"ab " * 120):
+            for first, count, _, _ in zip(*suffix_bcr.segments(raw, 200), strict=True):
+                segment = raw[first : first + count + 199]
+                parts = suffix_bcr.narrower(segment, 200, width)
+                assert [a for a, _, _ in parts] == [sum(n for _, n, _ in parts[:i]) for i in range(len(parts))] and sum(n for _, n, _ in parts) == count
+                for a, n, mark in parts:
+                    assert n <= width
+                    for x in range(a, a + n):
+                        assert marks.setdefault(segment[x : x + 200], mark) == mark
