@@ -46,9 +46,9 @@ def split_boilerplate(pages: DataFrame, min_fraction: float = 0.5) -> DataFrame:
     return joined.select("source_filename", "page", "pos", "line", (F.coalesce("again", F.lit(False)) | X.is_boilerplate(F.col("line"))).alias("removed"))
 
 
-def toc_signal(text: Column) -> Column:
-    """A CONTENTS line, or five lines or more that are bare numbers."""
-    return text.rlike(CONTENTS) | (F.size(F.filter(X.lines(text), lambda x: x.rlike(X.BARE_INT))) >= MIN_BARE_INTS)
+def toc_signal(text: Column, lines: Column | None = None) -> Column:
+    """A CONTENTS line, or five lines or more that are bare numbers; lines: the text's, where they are known."""
+    return text.rlike(CONTENTS) | (F.size(F.filter(X.lines(text) if lines is None else lines, lambda x: x.rlike(X.BARE_INT))) >= MIN_BARE_INTS)
 
 
 def body_start(pages: DataFrame) -> DataFrame:
@@ -64,9 +64,15 @@ def toc_pages(pages: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, min_fraction: float = 0.5) -> DataFrame:
-    """(source_filename, page, page_label, text, is_toc, removed_lines), a row per page."""
-    lines = split_boilerplate(pages, min_fraction).groupBy("source_filename", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "removed"))).alias("all"))
+    """(source_filename, page, page_label, text, is_toc, removed_lines), a row per page.
+
+    A page is cut into lines once and cleaned within its row: only a document's recurring lines and its body's first page are joined to it, so no line is
+    shuffled.  A document's recurring lines are at most those that its bands hold, divided by the pages that each of them is on.
+    """
+    again = recurring_lines(pages, min_fraction).groupBy("source_filename").agg(F.collect_list("norm").alias("_again"))
+    own = pages.select("source_filename", "page", "raw_text").join(body_start(pages), "source_filename").join(again, "source_filename", "left").withColumn("_lines", X.lines(F.col("raw_text")))
+    removed = lambda x: F.coalesce(F.array_contains("_again", X.normalize_line(x)), F.lit(False)) | X.is_boilerplate(x)
+    is_toc = (F.col("page") < F.col("body_start")) & toc_signal(F.col("raw_text"), F.col("_lines"))
+    marked = own.select("source_filename", "page", X.label_among(F.col("_lines")).alias("page_label"), is_toc.alias("is_toc"), F.transform("_lines", lambda x: F.struct(x.alias("line"), removed(x).alias("removed"))).alias("all"))
     pick = lambda removed: F.transform(F.filter("all", lambda x: x["removed"] == removed), lambda x: x["line"])
-    joined = pages.select("source_filename", "page", X.page_label(F.col("raw_text")).alias("page_label")).join(toc_pages(pages), ["source_filename", "page"]).join(lines, ["source_filename", "page"], "left")
-    text, gone = F.coalesce(F.array_join(pick(False), "\n"), F.lit("")), F.coalesce(pick(True), F.array().cast("array<string>"))
-    return joined.select("source_filename", "page", "page_label", X.strip(text).alias("text"), "is_toc", gone.alias("removed_lines"))
+    return marked.select("source_filename", "page", "page_label", X.strip(F.array_join(pick(False), "\n")).alias("text"), "is_toc", pick(True).alias("removed_lines"))
