@@ -13,7 +13,8 @@ on collections of short strings that together hold every window of `length` byte
    first, by sequential passes over two files.  Neighbours in suffix order that share `length` bytes form classes; a class of two windows, or of one
    in a string of weight two, is a repeat.
 4. Strings of a mark with very many different ones are cut further, into windows whose mark lies within `width` places of each other.  Those share more bytes
-   than the mark, which are their new mark; `width` goes down to 1, where a mark's strings are all alike.
+   than the mark, which are their new mark; `width` goes down to 1, where a mark's strings are all alike.  Parts are places in the different strings, whose bytes
+   are there already; what is found in them is carried back to the strings.
 """
 
 from __future__ import annotations
@@ -324,29 +325,51 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("k2"))
 
 
-def _narrowed(segs: DataFrame, length: int, width: int) -> DataFrame:
-    """Members with their bytes, cut further from segs (k1, k2, at, seg) by narrower(); those whose new mark is at one place are left out."""
+def _narrowed(strings: DataFrame, length: int, width: int) -> DataFrame:
+    """Members (k1, k2, at, windows, h, s1, s2, n) of strings (s1, s2, n, seg), which are their k1 and k2, cut by narrower(); those whose new mark is at one place are left out."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "at", "windows", "h", "s1", "s2", "seg"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ["k1", "k2", "at", "windows", "h", "s1", "s2", "n"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
-            for k1, k2, at, seg in zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "at", "seg")), strict=True):
+            for k1, k2, n, seg in zip(*(batch.column(x).to_pylist() for x in ("s1", "s2", "n", "seg")), strict=True):
                 for first, count, mark in narrower(seg, length, width):
-                    part = seg[first : first + count + length - 1]
-                    s = xxhash.xxh3_128_digest(part)
-                    rows.append((k1, k2, at + first, count, mark, int.from_bytes(s[:8], "little", signed=True), int.from_bytes(s[8:], "little", signed=True), part))
+                    s = xxhash.xxh3_128_digest(seg[first : first + count + length - 1])
+                    rows.append((k1, k2, first, count, mark, int.from_bytes(s[:8], "little", signed=True), int.from_bytes(s[8:], "little", signed=True), n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    cut = stash(segs.select("k1", "k2", "at", "seg").mapInArrow(narrow, "k1 long, k2 long, at int, windows int, h long, s1 long, s2 long, seg binary"), "narrower")
-    shared = cut.groupBy("h").count().where("count > 1").select("h")
+    cut = stash(strings.select("s1", "s2", "n", "seg").mapInArrow(narrow, "k1 long, k2 long, at int, windows int, h long, s1 long, s2 long, n long"), "narrower")
+    shared = cut.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     held = stash(cut.join(shared, "h"), "members")
     drop_stash(cut)
     return held
 
 
+def _fetched(bodies: DataFrame, strings: DataFrame, length: int) -> DataFrame:
+    """(h, s1, s2, n, seg): the strings' bytes, each from its place (k1, k2, at, windows) in the bodies (k1, k2, body).  A repeated body may give a string twice; its n is above 1 then."""
+    dealt = strings.select("k1", "k2", F.struct("h", "s1", "s2", "n", "at", "windows").alias("x"))
+    wanted = dealt.groupBy("k1", "k2").agg(F.collect_list("x").alias("cut"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = ["h", "s1", "s2", "n"], None
+        for batch in batches:
+            rows = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "cut")), batch.column("body").cast(pa.binary()).to_pylist(), strict=True)
+            got, parts = [], []
+            for k1, k2, cut, raw in rows:
+                if (k1, k2) == last:
+                    continue
+                last = (k1, k2)
+                got += cut
+                parts += [raw[x["at"] : x["at"] + x["windows"] + length - 1] for x in cut]
+            for at in range(0, len(got), 4096):
+                columns = [pa.array([x[c] for x in got[at : at + 4096]], pa.int64()) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts[at : at + 4096], pa.binary())], names=[*names, "seg"])
+
+    return bodies.join(wanted, ["k1", "k2"]).mapInArrow(fetch, "h long, s1 long, s2 long, n long, seg binary")
+
+
 def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """(k1, k2, spans) by a row's key: its bytes [start, end) that lie in a repeated string.  Rows without a repeat are left out."""
     arrow_limits(docs.sparkSession)
@@ -372,50 +395,34 @@ def repeat_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     each = cut.select("k1", "k2", F.explode(F.arrays_zip("at", "windows", "h", "s1", "s2")).alias("x")).select("k1", "k2", "x.*")
     members = stash(each.join(shared, "h"), "members")
     drop_stash(cut)
-    parts, width, kept = [], length - GRAM + 1, members.columns
+    members, bodies, levels, width = members.withColumn("n", F.lit(1).cast("long")), own.select("k1", "k2", F.col("text").alias("body")), [], length - GRAM + 1
     while True:
         # all of a string's firsts are of one row
-        strings = members.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "windows")))
+        strings = members.groupBy("h", "s1", "s2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "windows")))
         strings = stash(strings, "strings")
         many = stash(strings.groupBy("h").count().where(F.col("count") > SPREAD).select("h"), "many")
+        got = _fetched(bodies, strings, length)
         if width == 1 or many.isEmpty():
-            parts.append((members.select(*kept), strings, strings))
+            levels.append((members, strings, got, (strings,)))
             break
-        parts.append((members.select(*kept), strings.join(many, "h", "left_anti"), strings))
+        # strings are cut further where they are, so that the texts are shuffled for bytes once; many has a row for over SPREAD strings
+        got, many = stash(got, "bytes"), F.broadcast(many)
+        levels.append((members, strings.join(many, "h", "left_anti"), got.join(many, "h", "left_anti"), (strings, got)))
         width = -(-width // NARROW)
-        segs = members.join(many, "h", "left_semi")
-        if len(parts) == 1:
-            # a small table of places, so that texts need not be shuffled; a repeated row comes as often as it is there
-            places = stash(segs.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "windows")).alias("cut")), "places")
-            seg = lambda x: F.struct(x["at"].alias("at"), F.substring(F.col("text").cast("binary"), x["at"] + 1, x["windows"] + length - 1).alias("seg"))
-            segs = own.join(places, ["k1", "k2"]).select("k1", "k2", F.explode(F.transform("cut", seg)).alias("x")).select("k1", "k2", "x.*")
-        members = _narrowed(segs, length, width)
-    union = lambda i: reduce(DataFrame.unionByName, (x[i] for x in parts))
-    strings, members = union(1), union(0)  # members that were cut further keep a string that no bucket has
-    buckets = strings.count() // BUCKET + 1
+        bodies = got.join(many, "h", "left_semi")
+        members = _narrowed(bodies, length, width)
+        bodies = bodies.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("seg").alias("body"))
+    union = lambda i: reduce(DataFrame.unionByName, (x[i] for x in levels))
+    buckets = union(1).count() // BUCKET + 1
     bucket = F.pmod(F.xxhash64("h"), F.lit(buckets))
-    dealt = strings.select("k1", "k2", F.struct(bucket.alias("bucket"), "h", "s1", "s2", "n", "at", "windows").alias("x"))
-    wanted = dealt.groupBy("k1", "k2").agg(F.collect_list("x").alias("cut"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last = ["bucket", "h", "s1", "s2", "n"], None
-        for batch in batches:
-            rows = zip(*(batch.column(x).to_pylist() for x in ("k1", "k2", "cut")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
-            got, bodies = [], []
-            for k1, k2, cut, raw in rows:
-                if (k1, k2) == last:
-                    continue
-                last = (k1, k2)
-                got += cut
-                bodies += [raw[x["at"] : x["at"] + x["windows"] + length - 1] for x in cut]
-            for at in range(0, len(got), 4096):
-                columns = [pa.array([x[c] for x in got[at : at + 4096]], pa.int64()) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies[at : at + 4096], pa.binary())], names=[*names, "seg"])
-
-    fetched = own.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(fetch, "bucket long, h long, s1 long, s2 long, n long, seg binary")
-    found = stash(fetched.groupBy("bucket").applyInPandas(lambda pdf: bucket_repeats(pdf, length), FOUND_SCHEMA), "repeats")
-    for _, _, held in parts:
+    found = stash(union(2).groupBy(bucket.alias("bucket")).applyInPandas(lambda pdf: bucket_repeats(pdf, length), FOUND_SCHEMA), "repeats")
+    for held in (x for level in levels for x in level[3]):
         drop_stash(held)
+    # what was found in a part lies in the string that was cut, from the narrowest to the first
+    for members, *_ in reversed(levels[1:]):
+        above = members.join(found, ["s1", "s2"]).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("stop")).alias("stop"))
+        found = found.unionByName(above)
+    members = levels[0][0]
     ranges = found.groupBy("s1", "s2").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
     spans = members.select("k1", "k2", "at", "s1", "s2").join(ranges, ["s1", "s2"])
     span = F.transform("ranges", lambda x: F.struct((F.col("at") + x["first"]).alias("a"), (F.col("at") + x["stop"] - 1 + length).alias("b")))
