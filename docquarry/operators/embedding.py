@@ -17,10 +17,11 @@ from docquarry.sources.shared import arrow_limits
 DIM = 256
 
 
-def _hashed(token: str) -> tuple[int, int]:
-    """(the first eight md5 bytes as a little-endian number, the sign by the top bit of the eighth)."""
-    raw = hashlib.md5(token.encode()).digest()
-    return int.from_bytes(raw[:8], "little"), 1 if raw[7] >= 128 else -1
+def _hashed(tokens: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, sign) of each token: the first eight md5 bytes as a little-endian number modulo dim, the sign by the top bit of the eighth."""
+    raw = b"".join([hashlib.md5(x).digest() for x in tokens.cast(pa.binary()).to_pylist()])
+    first = np.frombuffer(raw, dtype="<u8")[::2]
+    return (first % np.uint64(dim)).astype(np.int64), np.where(first >> np.uint64(63), 1.0, -1.0)
 
 
 def _tables(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -28,8 +29,7 @@ def _tables(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     sizes, tokens = tokenized(batch.column("lowered"))
     row = np.repeat(np.arange(batch.num_rows), sizes)
     known = tokens.dictionary_encode()
-    hashed = [_hashed(x) for x in known.dictionary.to_pylist()]
-    bucket, sign = np.array([h % dim for h, _ in hashed], dtype=np.int64), np.array([s for _, s in hashed], dtype=np.float64)
+    bucket, sign = _hashed(known.dictionary, dim)
     place = known.indices.to_numpy(zero_copy_only=False)
     flat = np.bincount(row * dim + bucket[place], weights=sign[place], minlength=batch.num_rows * dim) if len(place) else np.zeros(batch.num_rows * dim)
     return flat.reshape(batch.num_rows, dim)
