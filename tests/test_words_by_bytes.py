@@ -44,6 +44,36 @@ def test_chunks_by_bytes_are_those_of_the_columns(spark, tokens, overlap):
     assert got.where(F.size(X.words(F.col("piece"))) != F.col("n_words")).isEmpty()
 
 
+def shuffled(spark) -> int:
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_holders_shuffle_no_text(spark, monkeypatch):
+    r = random.Random(1)
+    word = lambda: "".join(r.choices("abcdefgh", k=9))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(200)]
+    items = [(i, "  ".join(t.split(" ")[20 : 20 + n])) for i, (t, n) in enumerate(zip(texts, (1, 2, 3, 4, 8, 9, 40) * 10, strict=False))]
+    docs = spark.createDataFrame([*enumerate(texts), (500, "　".join(texts[4].split(" "))), (501, None)], "doc_id long, text string").repartition(3).cache()
+    asked = spark.createDataFrame([*items, (900, ""), (901, "a b c")], "query_id long, text string").select("query_id", queries.X.squeeze(F.col("text")).alias("query"))
+    docs.count()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = sorted(tuple(x) for x in queries._holders(docs, asked).collect())
+        assert shuffled(spark) - before < 0.1 * sum(map(len, texts))  # hashes of all windows, and texts, before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    squeezed = [(i, " ".join(t.split())) for i, t in items]
+    rows = [*enumerate(texts), (500, texts[4])]
+    assert got == sorted((i, d) for i, x in squeezed for d, t in rows if x in t)
+    # several passes give the same
+    monkeypatch.setattr(queries.topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(queries.topk, "PASS_BLOCKS", 2)
+    assert sorted(tuple(x) for x in queries._holders(docs, asked).collect()) == got
+
+
 def test_hybrid_retrieval_cuts_its_chunks_once(spark, monkeypatch):
     made, plain = [], queries.chunks
     monkeypatch.setattr(queries, "chunks", lambda *a, **k: made.append(1) or plain(*a, **k))
